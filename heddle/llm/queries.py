@@ -6,21 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .packing import pack
+from .pii import detect_pii
+from .quality import score_quality, train_quality
+from .secret_scan import detect_secrets
+from .toxicity import score_toxicity, train_toxicity
 from .url_filter import judge_urls
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_quality(documents, train_quality(documents, table(spark, sf_dir, "labels")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_pii(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_toxicity(documents, train_toxicity(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_url_cascade": op7_url_cascade,
+    "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
 }
 
