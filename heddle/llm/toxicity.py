@@ -1,20 +1,20 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
 
-The kernel of two words is the sum over common character triples, read in order
-and with gaps, of a decay for every skipped character, over both words' norms.  A triple spans
-at most ``SPAN`` characters, so insults with inserted or missing characters still
-share most of their triples.  Words stand where white space parts them, so marks
+The kernel of two words is the sum over common subsequences of three and of five
+characters, read in order and with gaps, of a decay for every skipped character,
+over both words' norms.  Triples span at most five characters and fives at most
+six, so insults with inserted or missing characters still share many of them.  Words stand where white space parts them, so marks
 put inside a word are gaps too.
 
 A support vector machine on Nyström features of landmark words is linear in the
-triples, f(x) = sum over landmarks of beta * k(x, landmark); the sum of the
-landmarks' triples, weighted by beta, is one table over triples, and a word's
+subsequences, f(x) = sum over landmarks of beta * k(x, landmark); the sum of the
+landmarks' subsequences, weighted by beta, is one table, and a word's
 margin is a sum of lookups.  That is the same function at a small cost, for
 whole texts in one pass.
 
-A mark before each word's first character lets triples tell beginnings.
+A mark before each word's first character lets them tell beginnings.
 
-Training is on at most ``per_class`` labelled documents a class.  Which triples
+Training is on at most ``per_class`` labelled documents a class.  Which subsequences
 stand out in toxic ones is counted in the cluster, by documents; they pick the
 word of each document that is most likely to blame.  Those words of toxic
 documents are positive, those of clean documents and a bounded choice of their
@@ -38,8 +38,11 @@ from pyspark.sql import types as T
 
 from .labelled import fit_logistic, held_out, labelled_sample, predict_logistic
 
-SPAN, DECAY, CLASSES, MARK = 5, np.float32(0.7), 64, 63
-GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+DECAY, CLASSES, MARK = 0.7, 64, 63
+#: Places after the first character, for triples and for fives.
+GAPS = [(a, b) for b in range(2, 5) for a in range(1, b)] + [(1, 2, 3, 4)] + [tuple(x for x in range(1, 6) if x != g) for g in range(1, 5)]
+TRIPLES, FIVES = CLASSES**3, 1 << 20  # triples have a place each, fives are hashed
+SIZE = TRIPLES + FIVES
 LONGEST = 40  # training words; scored words have any length
 CHUNK = 1_000_000  # characters at a time
 
@@ -56,6 +59,10 @@ def _classes() -> np.ndarray:
     return table
 
 
+def weight(gaps: tuple[int, ...]) -> float:
+    return DECAY ** (gaps[-1] - len(gaps))
+
+
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     return _classes()[np.minimum(points, 0x2FFF)]
@@ -65,7 +72,7 @@ def codes(text: str) -> np.ndarray:
 def _norms() -> np.ndarray:
     """Norm of a word's triples, each place its own, by length; beyond 256 it grows as the root."""
     n = np.arange(257)
-    square = sum(float(DECAY) ** (2 * (b - 2)) * np.maximum(0, n - b) for _, b in GAPS)
+    square = sum(weight(g) ** 2 * np.maximum(0, n - g[-1]) for g in GAPS)
     return np.sqrt(np.maximum(square, 1.0)).astype(np.float32)
 
 
@@ -84,61 +91,70 @@ def marked(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, starts, ends
 
 
-def triples_at(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each pair of gaps: span, and at each place the triple's number and whether it stays in its word."""
+def subsequences(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each pattern of gaps: its weight, and at each place the number and whether it stays in its word."""
     left = np.full(len(c), -1, np.int32)  # characters after this one in its word
     lengths = ends - starts
     place = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
     left[place] = np.repeat(ends - 1, lengths) - place
-    high, mid = c << 12, c << 6
-    for a, b in GAPS:
-        if len(c) > b:
-            n = len(c) - b
-            yield b, high[:n] + mid[a : a + n] + c[b:], left[:n] >= b
+    for gaps in GAPS:
+        n = len(c) - gaps[-1]
+        if n <= 0:
+            continue
+        number = c[:n]
+        for g in gaps:
+            number = (number << 6) + c[g : g + n]
+        if len(gaps) > 2:
+            number = TRIPLES + ((number.view(np.uint32) * np.uint32(2654435761)) >> np.uint32(12)).view(np.int32)
+        yield weight(gaps), number, left[:n] >= gaps[-1]
 
 
 def margins(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Of each word: the table's sum over its triples, over the word's norm."""
+    """Of each word: the table's sum over its subsequences, over the word's norm."""
     if not len(starts):
         return np.empty(0, np.float32)
     total = np.zeros(len(c), np.float32)
-    for b, triple, inside in triples_at(c, starts, ends):
-        total[: len(triple)] += np.where(inside, table[triple], np.float32(0)) * DECAY ** (b - 2)
+    for w, number, inside in subsequences(c, starts, ends):
+        total[: len(number)] += table[number] * (inside * np.float32(w))
     return np.add.reduceat(total, starts) / norm(ends - starts)
 
 
-def triples(words: list[str]) -> list[dict[int, float]]:
-    """Sparse normed triples of each word."""
+def features(words: list[str]) -> list[dict[int, float]]:
+    """Sparse normed subsequences of each word."""
     out = []
-    for w in words:
-        c = marked(w)[0]
+    for word in words:
+        c, starts, ends = marked(word)
         found: dict[int, float] = {}
-        for a, b in GAPS:
-            for i in range(len(c) - b):
-                k = int(c[i] << 12 | c[i + a] << 6 | c[i + b])
-                found[k] = found.get(k, 0.0) + float(DECAY) ** (b - 2)
-        size = float(norm(np.array([len(c)]))[0])
+        for w, number, inside in subsequences(c, starts, ends):
+            for k in number[inside].tolist():
+                found[k] = found.get(k, 0.0) + w
+        size = float(norm(np.array([len(word) + 1]))[0])
         out.append({k: v / size for k, v in found.items()})
     return out
 
 
-def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    dense = np.zeros((len(landmarks), CLASSES**3), np.float32)
-    for row, t in zip(dense, triples(landmarks)):
-        row[list(t)] = list(t.values())
-    out = np.zeros((len(words), len(landmarks)), np.float64)
-    for row, t in zip(out, triples(words)):
-        if t:
-            row[:] = dense[:, list(t)] @ np.fromiter(t.values(), np.float32)
+def _kernel(words: list[dict[int, float]], landmarks: list[dict[int, float]]) -> np.ndarray:
+    column: dict[int, int] = {}
+    for f in landmarks:
+        for k in f:
+            column.setdefault(k, len(column))
+    dense = np.zeros((len(landmarks), len(column)))
+    for row, f in zip(dense, landmarks):
+        row[[column[k] for k in f]] = list(f.values())
+    out = np.zeros((len(words), len(landmarks)))
+    for row, f in zip(out, words):
+        if own := [k for k in f if k in column]:
+            row[:] = dense[:, [column[k] for k in own]] @ np.array([f[k] for k in own])
     return out
 
 
 def fit_svm(words: list[str], y: np.ndarray, landmarks: list[str], cost: float = 10.0) -> np.ndarray:
-    """The table over triples; its last entry is the bias."""
-    kmm = _kernel(landmarks, landmarks)
+    """The table over subsequences; its last entry is the bias."""
+    marks = features(landmarks)
+    kmm = _kernel(marks, marks)
     values, vectors = np.linalg.eigh(kmm + 1e-6 * np.eye(len(kmm)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = np.hstack([_kernel(words, landmarks) @ root, np.ones((len(words), 1))])
+    z = np.hstack([_kernel(features(words), marks) @ root, np.ones((len(words), 1))])
     sign, w = 2.0 * y - 1, np.zeros(z.shape[1])
     weight = np.where(y > 0, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (len(y) - y.sum())))
     for _ in range(50):  # Newton steps of the squared hinge
@@ -149,9 +165,9 @@ def fit_svm(words: list[str], y: np.ndarray, landmarks: list[str], cost: float =
             break
         w = new
     beta = root @ w[:-1]
-    table = np.zeros(CLASSES**3 + 1, np.float32)
-    for b, t in zip(beta, triples(landmarks)):
-        for k, v in t.items():
+    table = np.zeros(SIZE + 1, np.float32)
+    for b, f in zip(beta, marks):
+        for k, v in f.items():
             table[k] += b * v
     table[-1] = w[-1]
     return table
@@ -217,29 +233,29 @@ def _words(sample: DataFrame) -> DataFrame:
 
 
 def _blame(sample: DataFrame, n: dict[int, int]) -> np.ndarray:
-    """A first table: the log odds of triples that stand out in toxic documents, by documents."""
+    """A first table: the log odds of what stands out in toxic documents, counted by documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, CLASSES**3), np.int64)
+        counts = np.zeros((2, SIZE), np.int64)
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1)):
-                own = np.zeros(CLASSES**3, bool)
+                own = np.zeros(SIZE, bool)
                 for part in pieces(t.as_py().lower()):
-                    for _, triple, inside in triples_at(*marked(part)):
-                        own[triple[inside]] = True
+                    for _, number, inside in subsequences(*marked(part)):
+                        own[number[inside]] = True
                 counts[y.as_py()] += own
         seen = np.flatnonzero(counts.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1][seen]), pa.array(counts[0][seen])], names=["triple", "t", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1][seen]), pa.array(counts[0][seen])], names=["number", "t", "c"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "triple int, t long, c long").groupBy("triple").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = rows.collect()  # at most CLASSES ** 3
-    k, t, c = (np.array([r[i] for r in rows], float) for i in range(3))
+    rows = sample.select("text", "label").mapInArrow(run, "number int, t long, c long").groupBy("number").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     share = n[1] / (n[0] + n[1])
-    expected = (t + c) * share
-    apart = t * np.log(np.maximum(t, 1e-9) / expected) + c * np.log(np.maximum(c, 1e-9) / (t + c - expected))
-    odds = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
-    table = np.zeros(CLASSES**3 + 1, np.float32)
-    table[k.astype(int)] = np.where((apart > 8) & (odds > 0.5), odds * apart / (apart + 20), 0)
+    t, c, all_ = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    term = lambda k, p: F.when(k > 0, k * F.log(k / (all_ * p))).otherwise(0.0)
+    odds = F.log((t + 0.5) / (n[1] + 1)) - F.log((c + 0.5) / (n[0] + 1))
+    rows = rows.select("number", (term(t, share) + term(c, 1 - share)).alias("apart"), odds.alias("odds")).filter("apart > 8 AND odds > 0.5")
+    table = np.zeros(SIZE + 1, np.float32)
+    for r in rows.collect():  # at most SIZE
+        table[r["number"]] = r["odds"] * r["apart"] / (r["apart"] + 20)
     return table
 
 
@@ -264,7 +280,7 @@ def train_toxicity(
     doc_id: str = "doc_id",
     text: str = "text",
 ):
-    """(table over triples, logistic model), or a constant score."""
+    """(table over subsequences, logistic model), or a constant score."""
     sample = labelled_sample(documents, labels, label, per_class=per_class, doc_id=doc_id, text=text, name="toxic")
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
@@ -272,7 +288,7 @@ def train_toxicity(
     other = [r["word"] for r in _words(sample).orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
     rows = _tops(sample, _blame(sample, n))  # at most 2 * per_class
     down: set[str] = set()
-    table = np.zeros(CLASSES**3 + 1, np.float32)
+    table = np.zeros(SIZE + 1, np.float32)
     for _ in range(rounds):
         short = [(r["label"], r["word"][:LONGEST]) for r in rows if r["word"]]
         down |= {w for y, w in short if y == 0}
