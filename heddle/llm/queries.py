@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import detect_pii
 from .quality import score_quality, train_quality
@@ -27,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, train_quality(documents, table(spark, sf_dir, "labels")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
@@ -115,4 +121,20 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op7_url_cascade": OP7_SQL, "op9_decontaminate": OP9_SQL}
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(""" + LOWER_SQL.format("text") + r""", '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))
+), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) AS c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op1_top_k": OP1_SQL, "op7_url_cascade": OP7_SQL, "op9_decontaminate": OP9_SQL}
