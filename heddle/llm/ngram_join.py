@@ -202,3 +202,24 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, heav
     linked = own.filter("n > 0").join(placed, ["d1", "d2"], "left").select("doc", "n", "comp")
     alone = own.filter("n = 0").select("doc", "n", F.col("doc").alias("comp"))
     return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
+def without_ids(documents: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids`` (distinct, in a column of that name); rows without id stay."""
+    small = ids.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if small else ids, doc_id, "left_anti")
+
+
+def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component: that of the smallest id; rows without id stay."""
+    found = settle(near_duplicates(documents, doc_id=doc_id, text=text, **options), "components")
+    named = found.filter("doc_id IS NOT NULL")
+    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    gone = settle(gone.select("doc_id", (F.col("least") < F.col("doc_id")).alias("gone"), "rows"), "decided")
+    kept = without_ids(documents, gone.filter("gone").select(F.col("doc_id").alias(doc_id)), doc_id)
+    repeated = gone.filter("rows > 1 AND NOT gone")
+    if repeated.isEmpty():
+        return kept
+    # Ids that stand on several rows: equal texts once each.
+    several = repeated.select(F.col("doc_id").alias(doc_id))
+    return kept.join(several, doc_id, "left_anti").unionByName(kept.join(several, doc_id, "left_semi").dropDuplicates([doc_id, text]))

@@ -124,3 +124,20 @@ def score_quality(documents: DataFrame, model, *, doc_id: str = "doc_id", text:
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(doc_id).alias("held_out"))
     return own.mapInArrow(run, schema)
+
+
+def keep_good(documents: DataFrame, model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least the threshold."""
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = None if isinstance(model, float) else Compressors(*model[:3])
+        for batch in batches:
+            if z is None:
+                good = np.full(batch.num_rows, model >= threshold)
+            else:
+                f = np.array([z.features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, 2)
+                good = predict_logistic(model[3], f) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return documents.mapInArrow(run, documents.schema)

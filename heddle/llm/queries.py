@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .lm import score_texts
 from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import detect_pii
@@ -57,6 +58,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_quality": op2_quality,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_url_cascade": op7_url_cascade,
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 LOWER_SQL = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,4 +143,4 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) AS c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op1_top_k": OP1_SQL, "op7_url_cascade": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_url_cascade": OP7_SQL, "op9_decontaminate": OP9_SQL}

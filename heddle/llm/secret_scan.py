@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .spans import Span, scan_spans
@@ -77,3 +78,38 @@ def detect_secrets(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         return lambda t: find_secrets(t, tokens, ratio)
 
     return scan_spans(documents, scanner, base=BASE, added=ADDED, doc_id=doc_id, text=text)
+
+
+def without_secrets(text: str, spans: list[Span]) -> str:
+    """The text with every run of overlapping spans replaced by one mark."""
+    out, at = [], 0
+    for _, s, e, _ in sorted(spans, key=lambda x: (x[1], x[2])):
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(documents: DataFrame, *, text: str = "text", size: str | None = "n_chars", ratio: float = 1.9, vocabulary: str | None = None) -> DataFrame:
+    """All rows and columns, secrets in the text replaced, and the size column set to match; null texts stay null."""
+    at = documents.columns.index(text)
+    size_at = documents.columns.index(size) if size in documents.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = token_counter(vocabulary)
+        for batch in batches:
+            texts, lengths = [], batch.column(size_at).to_pylist() if size_at is not None else []
+            for i, value in enumerate(batch.column(at)):
+                t = value.as_py()
+                if t and (spans := find_secrets(t, tokens, ratio)):
+                    t = without_secrets(t, spans)
+                    if size_at is not None:
+                        lengths[i] = len(t)
+                texts.append(t)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, columns[at].type)
+            if size_at is not None:
+                columns[size_at] = pa.array(lengths, columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return documents.mapInArrow(run, documents.schema)
