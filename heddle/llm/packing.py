@@ -29,7 +29,7 @@ from .common import settle
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")  # no apostrophe or underscore
-CACHED_WORDS = 500_000
+CACHED_WORDS, CACHED_PARTS = 500_000, 1_500_000  # some 350 MB in a worker at most
 
 
 @lru_cache(maxsize=2)
@@ -52,13 +52,28 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
     def encode(words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    seam = tokenizer.encode("\x01", add_special_tokens=False).ids
+
+    def encode_parts(new: list[str]) -> list[bytes]:
+        # Many at a time, with a character between them that no part holds.
+        out = []
+        for i in range(0, len(new), 5000):
+            (ids,) = encode([" \x01 ".join(new[i : i + 5000])])
+            cut = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == seam[0])
+            out += [ids[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(ids)])]
+        return out
+
     def learn(words: list[str]) -> None:
         # Letters with marks after them, the usual case, are two runs to the vocabulary.
         split = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
-        for table, new in ((parts, {p for pair in split.values() for p in pair if p}), (known, set(words).difference(split))):
-            new = list(new.difference(table))
-            table.update(zip(new, encode(new)))
+        wanted = {p for pair in split.values() for p in pair if p}
+        if len(parts) > CACHED_PARTS:
+            parts.clear()
+        new = list(wanted.difference(parts))
+        parts.update(zip(new, encode_parts(new)))
         known.update((w, parts[a] + parts[b] if b else parts[a]) for w, (a, b) in split.items())
+        other = [w for w in words if w not in split]
+        known.update(zip(other, encode(other)))
 
     def ids(text: str) -> bytes:
         if _UNSURE.search(text):
@@ -67,7 +82,6 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
         if new := set(words).difference(known):
             if len(known) > CACHED_WORDS:
                 known.clear()
-                parts.clear()
                 new = set(words)
             learn(list(new))
         return b"".join(map(known.__getitem__, words))
