@@ -9,6 +9,9 @@ n - ceil(threshold * n) + 1 of each, under every global order of the tokens.
    whole corpus, within blocks; the ``heavy`` most frequent are sent to the
    tasks, a fixed bound; any table gives a valid order).  Prefix tokens under A
    are dealt out by token; tokens of one text only drop out.
+   The prefixes are longer than the least by ``extra`` percent of n: two similar
+   texts then share that many tokens of their prefixes, and a text that shares
+   fewer with all others together drops out before any pair is made.
 3. Candidates of one token are checked in three steps, each of which looks only
    at pairs that are not yet in one component: every text with the list's head
    that it shares most tokens with; every text with each of its heads; last,
@@ -83,8 +86,12 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, f"kind int, doc {kind}, n long, d1 long, d2 long")
 
 
-def _postings(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(token, doc) of the prefixes under order A; heavy is sorted, weight its frequencies."""
+def _postings(docs: DataFrame, k: int, percent: int, extra: int, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(token, doc) of the prefixes under order A; heavy is sorted, weight its frequencies.
+
+    With e = extra * n // 100 more tokens than the least prefix, the first
+    min(e of either) + 1 common tokens of two similar sets are in both prefixes.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((heavy, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +104,7 @@ def _postings(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, weight:
                     if not len(s) or (d := digests(s)) in seen:
                         continue
                     seen.add(d)
-                    p = len(s) - needed(len(s), percent) + 1
+                    p = len(s) - needed(len(s), percent) + 1 + extra * len(s) // 100
                     if len(heavy):
                         place = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                         rank = np.where(heavy[place] == s, weight[place], 0)
@@ -145,7 +152,7 @@ def _fit(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, heavy: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
@@ -162,18 +169,22 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, heav
     by_token = Window.partitionBy("token")
     spread = lambda c: (F.min(c).over(by_token), F.max(c).over(by_token))
     lo, hi = spread("doc")
-    shared = _postings(docs.filter("doc IS NOT NULL"), k, percent, token[order], weight[order])
+    shared = _postings(docs.filter("doc IS NOT NULL"), k, percent, extra, token[order], weight[order])
     shared = settle(shared.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "doc"), "shared-tokens")
     reps = shared.join(aliases, "doc", "left").select("token", F.coalesce("rep", "doc").alias("rep")).distinct()
     lo, hi = spread("rep")
-    lists = reps.withColumns({"head": lo, "hi": hi}).filter("head < hi").select("token", "rep", "head")
-    lists = settle(lists.join(classes.select("rep", "n"), "rep"), "lists")
+    reps = reps.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "rep").join(classes.select("rep", "n"), "rep")
+    # A partner has at least percent of n tokens, so this many are shared with it.
+    least = F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100) + 1
+    reps = reps.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep"))).filter(F.col("shared") >= least)
+    lists = reps.withColumns({"head": lo, "hi": hi}).filter("head < hi").select("token", "rep", "n", "head")
+    lists = settle(lists, "lists")
 
     sizes = classes.select(F.col("rep").alias("head"), F.col("n").alias("nh"))
     heads = lists.filter("rep <> head").groupBy("head", "rep", "n").agg(F.count(F.lit(1)).alias("votes")).join(sizes, "head")
     heads = settle(heads.filter(_fit(F.col("n"), F.col("nh"), percent)).select(F.col("head").alias("a"), F.col("rep").alias("b"), "votes"), "heads")
     ids = lists.select(F.col("rep").alias("doc")).distinct()
-    sets = settle(_sets(docs, ids, k).dropDuplicates(["doc"]), "sets")
+    sets = settle(_sets(docs, ids, k), "sets")
 
     best = heads.groupBy("b").agg(F.max_by("a", "votes").alias("a"))
     links = settle(_verify(best, sets, percent), "links")
