@@ -53,7 +53,7 @@ def merged_bins(parts: DataFrame) -> DataFrame:
 
 
 def running_state(stream: DataFrame, *, key: str, us: str, cost: str, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Running count, cost and last time of each key, kept until idle for a day."""
+    """Running count, cost and last time of each key, kept until event time has passed it by a day."""
     kind = dict(stream.dtypes)[key]
     schema = f"key {kind}, n bigint, cost double, last_us bigint"
 
@@ -65,8 +65,8 @@ def running_state(stream: DataFrame, *, key: str, us: str, cost: str, idle_ms: i
         for f in frames:
             n, total, last = n + len(f), total + float(f["cost"].fillna(0).sum()), max(last, int(f["us"].max()))
         state.update((n, total, last))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"key": [k[0]], "n": [n], "cost": [total], "last_us": [last]})
 
-    own = stream.select(F.col(key).alias("key"), F.col(us).alias("us"), F.col(cost).alias("cost"))
-    return own.groupBy("key").applyInPandasWithState(step, T._parse_datatype_string(schema), "n bigint, cost double, last_us bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    own = stream.select(F.col(key).alias("key"), F.col(us).alias("us"), F.col(cost).alias("cost"), F.timestamp_micros(us).alias("at")).withWatermark("at", "1 day")
+    return own.groupBy("key").applyInPandasWithState(step, T._parse_datatype_string(schema), "n bigint, cost double, last_us bigint", "update", GroupStateTimeout.EventTimeTimeout)
