@@ -41,6 +41,7 @@ from .components import connected_components
 from .words import mix, shingles, signed, text_blocks, word_hashes
 
 BROADCAST_IDS = 2_000_000
+COUNTED = 3_000_000  # tokens that are counted together before the cluster adds counts up
 
 
 def token_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -64,9 +65,20 @@ def needed(n: Column | int, percent: int):
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: (doc, n, d1, d2) of each text; kind 1: n texts of a block hold the token d1."""
 
+    names = ["kind", "doc", "n", "d1", "d2"]
+
+    def frequent(own: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        own.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), "int32")), pa.nulls(len(token), kind), pa.array(count), pa.array(signed(token)), pa.array(np.zeros(len(token), np.int64))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        held, kind = 0, None
         for batch in batches:
-            n, d1, d2, own, seen = [], [], [], [], set()
+            n, d1, d2, kind = [], [], [], batch.column(0).type
             for _, sets in token_sets(batch.column(1), k):
                 for s in sets:
                     d = digests(s) if len(s) else (0, 0)
@@ -76,11 +88,14 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     if d not in seen:
                         seen.add(d)
                         own.append(s)
-            names = ["kind", "doc", "n", "d1", "d2"]
+                        held += len(s)
+                if held > COUNTED:
+                    yield frequent(own, kind)
+                    held = 0
+                    seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), "int32")), batch.column(0), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], names=names)
-            token, count = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), "int32")), pa.nulls(len(token), batch.column(0).type), pa.array(count), pa.array(signed(token)), pa.array(np.zeros(len(token), np.int64))], names=names)
+        if own:
+            yield frequent(own, kind)
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "text").mapInArrow(run, f"kind int, doc {kind}, n long, d1 long, d2 long")

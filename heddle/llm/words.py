@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-BLOCK = 1 << 22  # bytes of text at a time; a longer text is a block of its own
+BLOCK = 1 << 20  # bytes of text at a time; a longer text is a block of its own
 _U = np.uint64
 
 
@@ -33,7 +33,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_of(BASE, size), _powers_of(pow(BASE, -1, 1 << 64), size)
 
@@ -47,7 +47,7 @@ def _values() -> np.ndarray:
     return v.astype(np.uint64)
 
 
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) of runs of texts; nulls are empty."""
     texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
@@ -58,11 +58,11 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     if texts.null_count:  # a null may lie over bytes
         keep = texts.fill_null("").cast(pa.large_string())
-        yield from text_blocks(keep)
+        yield from text_blocks(keep, block)
         return
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + block, side="right")) - 1)
         yield i, data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
         i = j
 
