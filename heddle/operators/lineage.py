@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import written
+
 
 def own_cost(parents: DataFrame, children: DataFrame, *, key: str, parent: str, cost: str, child_cost: str, accept: Column | None = None) -> DataFrame:
     """Each parent's cost without what its children carried, never under 0; clamped rows are flagged.
@@ -37,8 +39,9 @@ def without_wrappers(records: DataFrame, *, key: str, parent: str, session: str,
 def owners(records: DataFrame, *, key: str, parent: str, is_owner: Column, hops: int = 64, link: Column | None = None) -> DataFrame:
     """(key, owner, hops, provenance): the nearest owner up the chain of parents.
 
-    Pointers double, so a chain of 64 takes seven joins, each co-partitioned by
-    key.  ``link`` can refuse a step (parent's columns prefixed with ``p_``).
+    Pointers double, so a chain of 64 takes seven joins; each round is written
+    (else the plan would double too), and rounds end when no chain goes on.
+    ``link`` can refuse a step (parent's columns prefixed with ``p_``).
     Provenance is ``self``, ``parent``, ``ancestor``, or ``unknown`` without owner.
     """
     if link is None:
@@ -58,7 +61,10 @@ def owners(records: DataFrame, *, key: str, parent: str, is_owner: Column, hops:
             F.when(F.col("owner").isNull() & F.col("_owner").isNull(), F.col("_next")).alias("next"),
             (F.col("reach") + F.coalesce("_reach", F.lit(0))).alias("reach"),
         )
+        state = written(state, "owners")
         done *= 2
+        if state.filter("next IS NOT NULL").isEmpty():
+            break
     within = F.col("owner").isNotNull() & (F.col("n") <= hops)
     how = F.when(~within, "unknown").when(F.col("n") == 0, "self").when(F.col("n") == 1, "parent").otherwise("ancestor")
     return state.select("key", F.when(within, F.col("owner")).alias("owner"), F.when(within, F.col("n")).cast("bigint").alias("hops"), how.alias("provenance"))
