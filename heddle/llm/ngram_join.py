@@ -12,11 +12,11 @@ n - ceil(threshold * n) + 1 of each, under every global order of the tokens.
    The prefixes are longer than the least by ``extra`` percent of n: two similar
    texts then share that many tokens of their prefixes, and a text that shares
    fewer with all others together drops out before any pair is made.
-3. Candidates of one token are checked in three steps, each of which looks only
-   at pairs that are not yet in one component: every text with the list's head
-   that it shares most tokens with; every text with each of its heads; last,
-   whatever pairs are left.  So a large group of near copies costs about a pair
-   a text and no link between components is missed.
+   What is left of a text's tokens is cut by the same rule, rarest first.
+3. In each of some turns, a text meets one head: a text of one of its lists,
+   chosen by a hash, that is not in its component yet.  Last, whatever pairs of
+   different components are left are checked.  So a large group of near copies
+   costs some pairs a text, and no link between components is missed.
 4. A candidate's sizes must fit, and it must share prefix tokens under the
    orders B and C (ascending and descending by another hash) before the exact
    count of common tokens decides.
@@ -167,7 +167,7 @@ def _fit(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
@@ -188,41 +188,46 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extr
     shared = settle(shared.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "doc"), "shared-tokens")
     reps = shared.join(aliases, "doc", "left").select("token", F.coalesce("rep", "doc").alias("rep")).distinct()
     lo, hi = spread("rep")
-    reps = reps.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "rep").join(classes.select("rep", "n"), "rep")
-    # A partner has at least percent of n tokens, so this many are shared with it.
+    size = F.count(F.lit(1)).over(by_token)
+    reps = reps.withColumns({"lo": lo, "hi": hi, "size": size}).filter("lo < hi").select("token", "rep", "size").join(classes.select("rep", "n"), "rep")
+    # A partner has at least percent of n tokens, so at least this many are shared with it.
     least = F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100) + 1
-    reps = reps.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep"))).filter(F.col("shared") >= least)
-    lists = reps.withColumns({"head": lo, "hi": hi}).filter("head < hi").select("token", "rep", "n", "head")
-    lists = settle(lists, "lists")
+    by_rep = Window.partitionBy("rep")
+    reps = reps.withColumns({"shared": F.count(F.lit(1)).over(by_rep), "at": F.row_number().over(by_rep.orderBy("size", "token"))})
+    # The same lemma again, on what is shared: without its most frequent least - 1 tokens.
+    lists = settle(reps.filter(F.col("at") <= F.col("shared") - least + 1).select("token", "rep", "n"), "lists")
+    sets = settle(_sets(docs, lists.select(F.col("rep").alias("doc")).distinct(), k), "sets")
 
-    sizes = classes.select(F.col("rep").alias("head"), F.col("n").alias("nh"))
-    heads = lists.filter("rep <> head").groupBy("head", "rep", "n").agg(F.count(F.lit(1)).alias("votes")).join(sizes, "head")
-    heads = settle(heads.filter(_fit(F.col("n"), F.col("nh"), percent)).select(F.col("head").alias("a"), F.col("rep").alias("b"), "votes"), "heads")
-    ids = lists.select(F.col("rep").alias("doc")).distinct()
-    sets = settle(_sets(docs, ids, k), "sets")
-
-    best = heads.groupBy("b").agg(F.max_by("a", "votes").alias("a"))
-    links = settle(_verify(best, sets, percent), "links")
-    comps = connected_components(links)
+    comps, links = None, None
 
     def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
+        if comps is None:
+            return df.withColumn(name, F.col(node))
         known = comps.select(F.col("node").alias(node), F.col("comp").alias("_c"))
         return df.join(known, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    apart = comp_of(comp_of(heads, "a", "ca"), "b", "cb").filter("ca <> cb").join(best, ["a", "b"], "left_anti")
-    more = settle(_verify(apart, sets, percent), "links")
-    if not more.isEmpty():
-        links = settle(links.unionByName(more), "links")
+    def learn(pairs: DataFrame) -> bool:
+        nonlocal comps, links
+        more = settle(_verify(pairs, sets, percent), "links")
+        if more.isEmpty():
+            return False
+        links = settle(links.unionByName(more), "links") if links is not None else more
         comps = connected_components(links)
+        return True
 
     lo, hi = spread("comp")
-    mixed = comp_of(lists, "rep", "comp").withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "rep", "n", "comp", "head")
-    mixed = settle(mixed.filter("rep <> head"), "mixed-lists")  # pairs with heads are done
-    x, y = mixed.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    left = x.join(y, "token").filter((F.col("ca") < F.col("cb")) & _fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    more = settle(_verify(left, sets, percent), "links")
-    if not more.isEmpty():
-        comps = connected_components(links.unionByName(more))
+    for turn in range(turns):
+        # Each text against one head: of the heads of its lists, a text of each list by a hash
+        # of the turn, the one that it shares most tokens with.
+        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp", "n")).over(by_token)
+        mixed = comp_of(lists, "rep", "comp").withColumns({"lo": lo, "hi": hi}).filter("lo < hi").withColumn("head", head)
+        far = mixed.filter((F.col("comp") != F.col("head.comp")) & _fit(F.col("n"), F.col("head.n"), percent))
+        votes = far.groupBy(F.col("head.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+        if not learn(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))):
+            break
+    mixed = settle(comp_of(lists, "rep", "comp").withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "rep", "n", "comp"), "mixed-lists")
+    x, y = (mixed.select("token", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("comp").alias(f"c{r}")) for r in "ab")
+    learn(x.join(y, "token").filter((F.col("ca") < F.col("cb")) & _fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
 
     placed = comp_of(classes.select("d1", "d2", "rep"), "rep", "comp").select("d1", "d2", "comp")
     linked = own.filter("n > 0").join(placed, ["d1", "d2"], "left").select("doc", "n", "comp")
