@@ -379,6 +379,18 @@ def test_mixer_learns():
     assert np.allclose(copy.run(types, learn=False), mixer.run(types, learn=False), atol=1e-6)
 
 
+def test_a_long_word_costs_all_its_bytes(spark):
+    r = random.Random(11)
+    junk = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, t) for i, t in enumerate(texts()) if i not in held] + [(held[0], junk), (held[1], junk[:1000])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for frequent in (1 << 18, 1):
+        got = {x["doc_id"]: x for x in lm.score_texts(docs, frequent=frequent).collect()}
+        assert got[held[0]]["score"] < -100_000 and got[held[1]]["score"] < -1000
+        assert min(got[i]["bits_per_byte"] for i in held) > 4
+
+
 # pipeline
 def test_pipeline_stages(spark, nasty, empty, labels, tmp_path):
     import corpus_pipeline as cp
