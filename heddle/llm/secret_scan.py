@@ -3,8 +3,8 @@
 Base kinds (``assign access hex``) follow fixed patterns and are always
 reported.  The method adds ``random`` spans: runs of key characters with few
 characters per token under a byte-level BPE vocabulary.  Ordinary words compress
-well; random strings do not.  Digests of known lengths, UUIDs and plain numbers
-are left out, as is what a base span covers.  Null and empty texts have no
+well; random strings do not.  Digests of known lengths, UUIDs and runs
+without letters are left out, and letters alone need a lower ratio; left out is, too, what a base span covers.  Null and empty texts have no
 spans; very long runs are measured in blocks; other columns are not looked at.
 """
 
@@ -28,12 +28,12 @@ _ASSIGN = re.compile(rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=
 _GATE = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 BLOCK = 256
+LETTERS = 0.2  # how much lower the ratio has to be where no digit stands
 
 
 @lru_cache(maxsize=2)
@@ -60,15 +60,14 @@ def find_secrets(text: str, tokens: Callable[[str], int], ratio: float = 1.9) ->
     if "AKIA" in text:
         found += [("access", *m.span(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
-    if _DIGIT.search(text):
-        base = sorted((s, e) for _, s, e, _ in found)
-        for m in _RUN.finditer(text):
-            s, e = m.span()
-            if any(a < e and s < b for a, b in base) or not _DIGIT.search(m[0]) or not any(c.isalpha() for c in m[0]) or known_identifier(m[0]):
-                continue
-            per_token = (e - s) / tokens(m[0])
-            if per_token < ratio:
-                found.append(("random", s, e, min(1.0, ratio - per_token + 0.5)))
+    base = sorted((s, e) for _, s, e, _ in found)
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        if any(a < e and s < b for a, b in base) or not any(c.isalpha() for c in m[0]) or known_identifier(m[0]):
+            continue
+        per_token = (e - s) / tokens(m[0])
+        if per_token < ratio - LETTERS * (not any(c.isdigit() for c in m[0])):
+            found.append(("random", s, e, min(1.0, ratio - per_token + 0.5)))
     return found
 
 

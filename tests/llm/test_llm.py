@@ -232,6 +232,16 @@ def test_random_strings_and_redaction(spark, nasty):
 
 
 # 5
+def test_random_strings_without_digits():
+    tokens, r = secret_scan.token_counter(None), random.Random(4)
+    for n in (20, 32, 40):
+        keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n)) for _ in range(100)]
+        found = [[s[:3] for s in secret_scan.find_secrets(f"the {k} of", tokens)] == [("random", 4, 4 + n)] for k in keys]
+        assert sum(found) >= 95
+    for t in ("services/production/webhooks/incoming", "internationalization_configuration", "=" * 40, "Donaudampfschifffahrtsgesellschaft", "1234567890" * 2):
+        assert secret_scan.find_secrets(t, tokens) == []
+
+
 def test_packing(spark, nasty, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
