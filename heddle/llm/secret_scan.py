@@ -3,8 +3,10 @@
 Base kinds (``assign access hex``) follow fixed patterns and are always
 reported.  The method adds ``random`` spans: runs of key characters with few
 characters per token under a byte-level BPE vocabulary.  Ordinary words compress
-well; random strings do not.  Digests of known lengths, UUIDs and runs
-without letters are left out, and letters alone need a lower ratio; left out is, too, what a base span covers.  Null and empty texts have no
+well; random strings do not.  Where a whole run reads well, the heaviest groups of
+its parts between ``/ = _ + -`` are measured.  Digests of known lengths, UUIDs and
+runs without letters are left out, and letters alone need a lower ratio, as is what a base span covers; what a base span
+leaves of a run is measured by itself, down to 4 characters of the same key.  Null and empty texts have no
 spans; very long runs are measured in blocks; other columns are not looked at.
 """
 
@@ -29,11 +31,14 @@ _GATE = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SEPARATORS = "/=_+-"
+_SEPARATOR = re.compile(r"[/=_+-]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 BLOCK = 256
 LETTERS = 0.2  # how much lower the ratio has to be where no digit stands
+LEAST, REST = 20, 4  # characters of a random string, and of what a base span leaves of one
 
 
 @lru_cache(maxsize=2)
@@ -52,6 +57,68 @@ def known_identifier(run: str) -> bool:
     return bool(_UUID.fullmatch(run)) or run.isdigit() or (len(run) in DIGEST_LENGTHS and bool(_ALL_HEX.fullmatch(run)))
 
 
+def _outside(s: int, e: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of s to e outside the sorted spans."""
+    for a, b in base:
+        if a < e and s < b:
+            if s < a:
+                yield s, a
+            s = max(s, b)
+    if s < e:
+        yield s, e
+
+
+def _heavy(values: list[float]) -> list[tuple[int, int]]:
+    """The disjoint segments of greatest sum above 0 (Ruzzo and Tompa), in order."""
+    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum with it
+    done: list[tuple[int, int, float, float]] = []  # those that nothing later can join
+    total = 0.0
+    for i, v in enumerate(values):
+        before, total = total, total + v
+        if v <= 0:
+            continue
+        start, low = i, before
+        while True:
+            j = next((j for j in range(len(kept) - 1, -1, -1) if kept[j][2] < low), -1)
+            if j < 0:
+                done += kept
+                kept = []
+            if j < 0 or kept[j][3] >= total:
+                break
+            start, low = kept[j][0], kept[j][2]
+            del kept[j:]
+        kept.append((start, i + 1, low, total))
+    return [(a, b) for a, b, _, _ in done + kept]
+
+
+def _random_parts(text: str, start: int, end: int, base: list[tuple[int, int]], tokens: Callable[[str], int], ratio: float) -> Iterator[tuple[int, int]]:
+    """Random strings of a run: all of it, or its parts between separators, outside base spans."""
+
+    def is_random(s: int, e: int) -> bool:
+        return any(c.isalpha() for c in text[s:e]) and not known_identifier(text[s:e]) and (e - s) / tokens(text[s:e]) < ratio - LETTERS * (not any(c.isdigit() for c in text[s:e]))
+
+    for s, e in _outside(start, end, base):
+        if e - s >= LEAST and is_random(s, e):
+            yield s, e
+        elif e - s >= LEAST:
+            cuts = [s, *(c for m in _SEPARATOR.finditer(text, s, e) if (c := m.start()) > s), e]
+            pieces = list(zip(cuts, cuts[1:]))
+            for i, j in _heavy([ratio * tokens(text[a:b]) - (b - a) for a, b in pieces]):
+                a, b = cuts[i], cuts[j]
+                while a < b and text[a] in SEPARATORS:
+                    a += 1
+                if b - a >= LEAST and is_random(a, b):
+                    yield a, b
+        elif e - s < end - start:  # a short rest, up to a separator, of a key that a base span cuts
+            left, right = s > start and text[s] not in SEPARATORS, e < end and text[e - 1] not in SEPARATORS
+            if left:
+                e = m.start() if (m := _SEPARATOR.search(text, s, e)) and not right else e
+            elif right:
+                s = max(s, *(m.end() for m in _SEPARATOR.finditer(text, s, e)), s)
+            if (left or right) and e - s >= REST and is_random(s, e):
+                yield s, e
+
+
 def find_secrets(text: str, tokens: Callable[[str], int], ratio: float = 1.9) -> list[Span]:
     found: list[Span] = []
     low = text.lower()
@@ -62,12 +129,8 @@ def find_secrets(text: str, tokens: Callable[[str], int], ratio: float = 1.9) ->
     found += [("hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
     base = sorted((s, e) for _, s, e, _ in found)
     for m in _RUN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in base) or not any(c.isalpha() for c in m[0]) or known_identifier(m[0]):
-            continue
-        per_token = (e - s) / tokens(m[0])
-        if per_token < ratio - LETTERS * (not any(c.isdigit() for c in m[0])):
-            found.append(("random", s, e, min(1.0, ratio - per_token + 0.5)))
+        for s, e in _random_parts(text, *m.span(), base, tokens, ratio):
+            found.append(("random", s, e, min(1.0, ratio - (e - s) / tokens(text[s:e]) + 0.5)))
     return found
 
 

@@ -242,6 +242,23 @@ def test_random_strings_without_digits():
         assert secret_scan.find_secrets(t, tokens) == []
 
 
+def test_random_strings_in_longer_runs():
+    tokens, r = secret_scan.token_counter(None), random.Random(4)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(20)) for _ in range(100)]
+    for before in ("session_identifier=", "/services/production/webhooks/incoming/"):
+        at = len(before)
+        assert sum(any(s <= at and at + 20 <= e for _, s, e, _ in secret_scan.find_secrets(before + k, tokens)) for k in keys) >= 95
+    text = "key Qz9XpLk2" + "0123456789abcdef01234567" + "QzWpLk2Rt9 x"
+    assert secret_scan.without_secrets(text, secret_scan.find_secrets(text, tokens)) == "key [SECRET][SECRET][SECRET] x"
+    assert secret_scan.find_secrets("word-longer/" * 30_000, tokens) == []
+    for _ in range(200):
+        v = [r.randint(-3, 3) for _ in range(12)]
+        best = max(sum(v[i:j]) for i in range(12) for j in range(i, 13))
+        got = secret_scan._heavy(v)
+        assert max((sum(v[i:j]) for i, j in got), default=0) == best
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
+
+
 def test_packing(spark, nasty, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
