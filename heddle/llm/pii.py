@@ -4,7 +4,8 @@ Base kinds (``email ip card phone``) follow fixed patterns and checks and are
 always reported.  The method adds ``iban`` (mod-97) and ``ssn`` spans; those are
 kept when their score, a prior plus what the checksum and nearby words give or
 take, reaches ``threshold``.  Matches of a kind are leftmost and do not overlap;
-one that fails its check is dropped and not retried.  Null and empty texts have
+one that fails its check is dropped and not retried, save that an ``iban`` may end
+at, and the next one start after, any word of the match.  Null and empty texts have
 no spans; repeated rows are scanned one by one; other columns are not looked at.
 """
 
@@ -28,6 +29,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_LENGTHS = {
+    code[:2]: int(code[2:])
+    for code in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.3}
@@ -57,6 +66,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches that end with a word where the country's length and mod-97 hold; the longest such for other codes."""
+    m = _IBAN.search(text)
+    while m:
+        at, length = m.start() + 4, _IBAN_LENGTHS.get(m[0][:2])
+        end = m.end()
+        while end > m.start():
+            size = end - m.start() - text.count(" ", m.start(), end)
+            if size >= 15 and size == (length or size) and mod97(text[m.start() : end]):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+        m = _IBAN.search(text, at)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of local@domain, found from each ``@`` outward in linear time."""
     done, at = 0, text.find("@")
@@ -105,9 +130,8 @@ def find_pii(text: str, threshold: float = 0.5) -> list[Span]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 add("phone", *m.span())
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            add("iban", *m.span(), True)
+    for s, e in ibans(text):
+        add("iban", s, e, True)
     for m in _SSN.finditer(text):
         add("ssn", *m.span())
     return found

@@ -232,6 +232,18 @@ def test_random_strings_and_redaction(spark, nasty):
 
 
 # 5
+def test_ibans_before_other_words():
+    def find(t):
+        return [t[s:e] for k, s, e, _ in pii.find_pii(t) if k == "iban"]
+
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for t in (f"IBAN {de} BIC COBADEFFXXX", f"{de}", f"REF AB12 {de} EUR 500.", f"{de} {de[:4]}", f"{de} PLEASE TRANSFER NOW OR NEVER"):
+        assert find(t) == [de]
+    assert find(f"{gb} EUR 500 to") == [gb] and find(f"{de} {gb} {de}") == [de, gb, de]
+    assert find("NO93 8601 1117 947 KR 5") == ["NO93 8601 1117 947"]
+    assert find(f"{de[:-1]}1 BIC COBADEFFXXX") == find("DE89 3704 0044 0532 0130") == find(f"{de}X") == []
+
+
 def test_random_strings_without_digits():
     tokens, r = secret_scan.token_counter(None), random.Random(4)
     for n in (20, 32, 40):
