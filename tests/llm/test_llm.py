@@ -418,6 +418,19 @@ def test_mixer_learns():
     assert np.allclose(copy.run(types, learn=False), mixer.run(types, learn=False), atol=1e-6)
 
 
+def test_word_order_counts(spark):
+    r = random.Random(6)
+    phrases = [" ".join(r.choice(["alpha", "bravo", "carol", "delta", "eagle", "fancy", "giant"]) + str(i) for _ in range(6)) for i in range(6)]
+    rows = [(i, " ".join(r.choice(phrases) for _ in range(20))) for i in range(1000, 1150)]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    text = " ".join(r.choice(phrases) for _ in range(20)).split()
+    mixed = r.sample(text, len(text))
+    docs = spark.createDataFrame([*rows, (held[0], " ".join(text)), (held[1], " ".join(mixed))], "doc_id bigint, text string")
+    for frequent in (1 << 18, 1):
+        got = {x["doc_id"]: x["score"] for x in lm.score_texts(docs, frequent=frequent).collect()}
+        assert got[held[0]] > got[held[1]] / 2
+
+
 def test_a_long_word_costs_all_its_bytes(spark):
     r = random.Random(11)
     junk = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
