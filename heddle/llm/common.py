@@ -15,6 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,6 +68,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcastable(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint where its values take at most ``limit`` bytes; counted, so ``df`` should be settled."""
+    flat = all(isinstance(f.dataType, (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for f in df.schema)
+    if not flat:
+        return df
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -1,29 +1,33 @@
 """Near-duplicate texts by an n-gram Jaccard join with several global token orders.
 
-A text's tokens are its distinct shingles of ``k`` words.  Two sets whose Jaccard
-similarity is at least the threshold share a token among the first
-n - ceil(threshold * n) + 1 of each, under every global order of the tokens.
+A text's tokens are its distinct shingles of ``k`` words.  Two sets of nx and ny tokens
+whose Jaccard similarity is at least t have t / (1 + t) * (nx + ny) tokens in common or more.
+Under any global order of the tokens, all of these but the last few lie in a prefix of
+either set: at most as many lie outside as the longer of the two rests holds.
 
-1. Texts with equal sets form a class; its smallest id stands for it.
+1. Texts with equal sets form a class, told by a digest of the set; what follows is
+   about classes, so ids may be repeated or absent.
 2. Order A puts tokens that are frequent last (frequencies counted over the
    whole corpus, within blocks; the ``heavy`` most frequent are sent to the
    tasks, a fixed bound; any table gives a valid order).  Prefix tokens under A
-   are dealt out by token; tokens of one text only drop out.
-   The prefixes are longer than the least by ``extra`` percent of n: two similar
-   texts then share that many tokens of their prefixes, and a text that shares
-   fewer with all others together drops out before any pair is made.
-   What is left of a text's tokens is cut by the same rule, rarest first.
-3. In each of some turns, a text meets one head: a text of one of its lists,
-   chosen by a hash, that is not in its component yet.  Last, whatever pairs of
-   different components are left are checked.  So a large group of near copies
-   costs some pairs a text, and no link between components is missed.
-4. A candidate's sizes must fit, and it must share prefix tokens under the
-   orders B and C (ascending and descending by another hash) before the exact
-   count of common tokens decides.
+   are dealt out by token; tokens of one class only drop out.  Prefixes are longer than
+   the least by ``extra`` percent of n, so similar sets share many tokens of them.
+3. What is left of a set's prefix is put in order again, rarest first.  A shared token
+   with f tokens from it on admits partners of those sizes alone for which f common
+   tokens are enough.  Token lists are cut by bands of both sizes, and a set enters
+   those bands that it admits; lists without two sides drop out.
+4. In each of some turns, a set meets one head: the one of its lists' heads that most
+   of them name.  First the heads are the sets with most shared tokens (what the
+   others were copied from), then sets by a hash, of other components.  Last, the
+   pairs of different components that are left are made, where both sides admit the other.
+5. Orders B and C (ascending and descending by another hash): candidates must share as
+   many tokens of their prefixes under each as similar sets do.  Whole sets meet,
+   and common tokens are counted, only for those that pass.
 
 Shingles are compared by 64-bit hashes.  Null and empty texts, and texts without
-words, have no tokens and stay alone.  Rows that repeat an id belong to each of
-their texts' classes; a null id takes its class's component, or none.
+words, have no tokens and stay alone.  Rows that repeat an id each belong to their own
+text's class; a null id takes its class's component (null where no id is in it).  An
+empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import broadcastable, settle
 from .components import connected_components
 from .words import mix, shingles, signed, text_blocks, word_hashes
 
-BROADCAST_IDS = 2_000_000
 COUNTED = 3_000_000  # tokens that are counted together before the cluster adds counts up
 
 
@@ -102,155 +106,220 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, k: int, percent: int, extra: int, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(token, doc) of the prefixes under order A; heavy is sorted, weight its frequencies.
-
-    With e = extra * n // 100 more tokens than the least prefix, the first
-    min(e of either) + 1 common tokens of two similar sets are in both prefixes.
-    """
+    """(token, d1) of the prefixes under order A; heavy is sorted, weight its frequencies."""
     sent = docs.sparkSession.sparkContext.broadcast((heavy, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, weight = sent.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at, sets in token_sets(batch.column(1), k):
-                tokens, rows = [], []
-                for i, s in enumerate(sets):
+            for _, sets in token_sets(batch.column(0), k):
+                tokens, keys = [], []
+                for s in sets:
                     if not len(s) or (d := digests(s)) in seen:
                         continue
                     seen.add(d)
-                    p = len(s) - needed(len(s), percent) + 1 + extra * len(s) // 100
+                    p = len(s) - outside(len(s), percent, extra)
                     if len(heavy):
                         place = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                         rank = np.where(heavy[place] == s, weight[place], 0)
                         if rank.any():
                             s = s[np.argsort(rank, kind="stable")]
                     tokens.append(s[:p])
-                    rows.append(np.full(p, at + i))
+                    keys.append(np.full(p, d[0]))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), batch.column(0).take(pa.array(np.concatenate(rows)))], names=["token", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(keys))], names=["token", "d1"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"token long, doc {docs.schema['doc'].dataType.simpleString()}")
+    return docs.select("text").mapInArrow(run, "token long, d1 long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc, n, tokens) of the given ids, tokens under the order of another hash."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kind = docs.schema["doc"].dataType.simpleString()
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, extra: int) -> DataFrame:
+    """(key, n, rising, falling, tokens) of the wanted classes (key, rep, d1, d2): whole sets, and prefixes under orders B and C."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, sets in token_sets(batch.column(1), k):
+            for _, sets in token_sets(batch.column(0), k):
+                d = [digests(s) if len(s) else (0, 0) for s in sets]
                 sets = [np.sort(signed(mix(s ^ np.uint64(0xD1342543DE82EF95)))) for s in sets]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(np.diff(offsets)), lists], names=["doc", "n", "tokens"])
+                p = [len(s) - outside(len(s), percent, extra) if len(s) else 0 for s in sets]
+                columns = [pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)]
+                for part in ([s[:n] for s, n in zip(sets, p)], [s[len(s) - n :] for s, n in zip(sets, p)], sets):
+                    offsets = np.cumsum([0, *map(len, part)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part) if part else np.empty(0, np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "rising", "falling", "tokens"])
+
+    reps = settle(wanted.select(F.col("rep").alias("_rep")).distinct(), "representatives")
+    some = docs.join(broadcastable(reps), docs["doc"].eqNullSafe(reps["_rep"]), "left_semi")
+    found = some.select("text").mapInArrow(run, "d1 long, d2 long, rising array<long>, falling array<long>, tokens array<long>")
+    found = found.join(broadcastable(wanted.select("key", "n", "d1", "d2")), ["d1", "d2"])
+    # Of rows with equal sets one serves; a representative's id seldom stands on several.
+    return found.drop("d1", "d2").dropDuplicates(["key"])
 
-    found = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, f"doc {kind}, n int, tokens array<long>")
-    return found
 
+def outside(n: Column | int, percent: int, extra: int):
+    """How many of a set's n tokens lie outside its prefix."""
+    return needed(n, percent) - 1 - (n * extra // 100 if isinstance(n, int) else F.floor(n * extra / 100))
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def required(nx: Column, ny: Column, percent: int, extra: int) -> Column:
+    """The least number of common tokens in the prefixes, under one order, of similar sets of nx and ny."""
+    common = F.ceil((nx + ny) * percent / (100 + percent))
+    return common - F.greatest(outside(nx, percent, extra), outside(ny, percent, extra))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, extra: int) -> DataFrame:
     """Those (a, b) of pairs that are similar."""
-    one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    pa_, pb = (F.col(n) - needed(F.col(n), percent).cast("int") + 1 for n in ("na", "nb"))
-    rising = F.arrays_overlap(F.slice("ta", F.lit(1), pa_), F.slice("tb", F.lit(1), pb))
-    falling = F.arrays_overlap(F.slice("ta", F.col("na") - pa_ + 1, pa_), F.slice("tb", F.col("nb") - pb + 1, pb))
-    common = F.size(F.array_intersect("ta", "tb"))
-    similar = F.when(rising & falling, common * 100 >= percent * (F.col("na") + F.col("nb") - common)).otherwise(False)
-    return both.filter(similar).select("a", "b")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("key").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    parts = ("n", "rising", "falling")
+    both = pairs.select("a", "b").join(side("a", *parts), "a").join(side("b", *parts), "b")
+    least = F.greatest(F.lit(1), required(F.col("n_a"), F.col("n_b"), percent, extra))
+    passing = both.filter((F.size(F.array_intersect("rising_a", "rising_b")) >= least) & (F.size(F.array_intersect("falling_a", "falling_b")) >= least))
+    passing = settle(passing.select("a", "b", "n_a", "n_b"), "passing")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    whole = passing.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    return whole.filter(common * 100 >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def _fit(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
+def _banded(lists: DataFrame, percent: int, extra: int, step: float = 1.05) -> DataFrame:
+    """Lists (token, n, f ...) dealt to pairs of size bands (small, large) that f admits; ``band`` is the own one."""
+    band = lambda n: F.floor(F.log(n) / float(np.log(step))).cast("int")
+    n = F.col("n")
+    near = F.sequence(band(F.ceil(n * percent / 100)) - 1, band(F.floor(n * 100 / percent)) + 1)
+    dealt = lists.withColumn("band", band(n)).withColumn("other", F.explode(near))
+    # The least required number over a band is at one of its ends; one more on either side for rounding.
+    ends = [F.greatest(F.lit(1), F.floor(F.pow(F.lit(step), F.col("other"))) - 1), F.ceil(F.pow(F.lit(step), F.col("other") + 1)) + 1]
+    least = F.least(*(required(n, e, percent, extra) for e in ends)) - 1
+    dealt = dealt.filter(F.col("f") >= least)
+    return dealt.withColumns({"small": F.least("band", "other"), "large": F.greatest("band", "other")}).drop("other")
+
+
+def _alive(lists: DataFrame, comp: str) -> DataFrame:
+    """Rows of the lists that hold several components, and both bands."""
+    by = Window.partitionBy("token", "small", "large")
+    ends = {"lo": F.min(comp).over(by), "hi": F.max(comp).over(by), "_b0": F.min("band").over(by), "_b1": F.max("band").over(by)}
+    return lists.withColumns(ends).filter("lo < hi AND _b0 = small AND _b1 = large").drop("lo", "hi", "_b0", "_b1")
+
+
+def _classes(docs: DataFrame, *, k: int, percent: int, extra: int, heavy: int, turns: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, d1, d2) of every row, and (d1, d2, component_id) of every set."""
     signatures = settle(_signatures(docs, k), "signatures")
-    own = signatures.filter("kind = 0")
+    own = signatures.filter("kind = 0").drop("kind")
     frequent = signatures.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "d1").limit(heavy)
     table = frequent.select("d1", "n").toArrow()  # at most ``heavy`` rows
     token, weight = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(token)
-    classes = own.filter("n > 0 AND doc IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
-    classes = settle(classes, "classes")
-    aliases = own.filter("n > 0").join(classes.drop("n"), ["d1", "d2"]).filter("doc <> rep").select("doc", "rep").distinct()
-
-    by_token = Window.partitionBy("token")
-    spread = lambda c: (F.min(c).over(by_token), F.max(c).over(by_token))
-    lo, hi = spread("doc")
-    shared = _postings(docs.filter("doc IS NOT NULL"), k, percent, extra, token[order], weight[order])
-    shared = settle(shared.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "doc"), "shared-tokens")
-    reps = shared.join(aliases, "doc", "left").select("token", F.coalesce("rep", "doc").alias("rep")).distinct()
-    lo, hi = spread("rep")
-    size = F.count(F.lit(1)).over(by_token)
-    reps = reps.withColumns({"lo": lo, "hi": hi, "size": size}).filter("lo < hi").select("token", "rep", "size").join(classes.select("rep", "n"), "rep")
-    # A partner has at least percent of n tokens, so at least this many are shared with it.
-    least = F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100) + 1
-    by_rep = Window.partitionBy("rep")
-    reps = reps.withColumns({"shared": F.count(F.lit(1)).over(by_rep), "at": F.row_number().over(by_rep.orderBy("size", "token"))})
-    # The same lemma again, on what is shared: without its most frequent least - 1 tokens.
-    lists = settle(reps.filter(F.col("at") <= F.col("shared") - least + 1).select("token", "rep", "n"), "lists")
-    sets = settle(_sets(docs, lists.select(F.col("rep").alias("doc")).distinct(), k), "sets")
+    classes = own.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
+    # 64 bits stand for a set; where they are those of another set too, other 64 bits do.
+    first = F.row_number().over(Window.partitionBy("d1").orderBy("d2")) == 1
+    classes = settle(classes.withColumn("key", F.when(first, F.col("d1")).otherwise(F.xxhash64("d1", "d2"))), "classes")
+
+    by_token, by_key = Window.partitionBy("token"), Window.partitionBy("key")
+    spread = lambda c: {"lo": F.min(c).over(by_token), "hi": F.max(c).over(by_token)}
+    shared = _postings(docs, k, percent, extra, token[order], weight[order])
+    shared = settle(shared.withColumns(spread("d1")).filter("lo < hi").select("token", "d1"), "shared-tokens")
+    lists = shared.distinct().join(classes.select("d1", "key", "n"), "d1").select("token", "key", "n")
+    lists = lists.withColumn("size", F.count(F.lit(1)).over(by_token))
+    lists = lists.withColumns({"shared": F.count(F.lit(1)).over(by_key), "at": F.row_number().over(by_key.orderBy("size", "token"))})
+    lists = lists.withColumn("f", F.col("shared") - F.col("at") + 1).filter(F.col("f") > F.floor(F.col("n") * extra / 100))
+    lists = settle(_alive(_banded(lists, percent, extra), "key").select("token", "small", "large", "band", "key", "n", "shared", "f"), "lists")
+    wanted = settle(classes.join(lists.select("key").distinct(), "key", "left_semi"), "wanted")
+    sets = settle(_sets(docs, wanted, k, percent, extra), "sets")
 
     comps, links = None, None
+    by_list = Window.partitionBy("token", "small", "large")
 
-    def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
+    def comp_of(df: DataFrame) -> DataFrame:
         if comps is None:
-            return df.withColumn(name, F.col(node))
-        known = comps.select(F.col("node").alias(node), F.col("comp").alias("_c"))
-        return df.join(known, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+            return df.withColumn("comp", F.col("key"))
+        known = comps.select(F.col("node").alias("key"), F.col("comp").alias("_c"))
+        return df.join(known, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
 
     def learn(pairs: DataFrame) -> bool:
         nonlocal comps, links
-        more = settle(_verify(pairs, sets, percent), "links")
+        more = settle(_verify(pairs, sets, percent, extra), "links")
         if more.isEmpty():
             return False
         links = settle(links.unionByName(more), "links") if links is not None else more
         comps = connected_components(links)
         return True
 
-    lo, hi = spread("comp")
+    def admits(x: str, y: str) -> Column:
+        least = required(F.col(f"{x}n"), F.col(f"{y}n"), percent, extra)
+        return (F.col(f"{x}f") >= least) & (F.col(f"{y}f") >= least) & _fit(F.col(f"{x}n"), F.col(f"{y}n"), percent)
+
     for turn in range(turns):
-        # Each text against one head: of the heads of its lists, a text of each list by a hash
-        # of the turn, the one that it shares most tokens with.
-        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp", "n")).over(by_token)
-        mixed = comp_of(lists, "rep", "comp").withColumns({"lo": lo, "hi": hi}).filter("lo < hi").withColumn("head", head)
-        far = mixed.filter((F.col("comp") != F.col("head.comp")) & _fit(F.col("n"), F.col("head.n"), percent))
-        votes = far.groupBy(F.col("head.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-        if not learn(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))):
+        # Heads stand for their component in each list; a set meets the one that most of its lists name.
+        rank = (-F.col("shared") / F.col("n")) if turn == 0 else F.xxhash64("key", F.lit(turn)).cast("double")
+        head = F.min(F.struct(rank.alias("h"), "key", "comp", "n", "f")).over(by_list)
+        lists = settle(_alive(comp_of(lists.drop("comp")), "comp"), "live-lists")
+        flat = {f"h_{c}": F.col(f"head.{c}") for c in ("key", "comp", "n", "f")}
+        far = lists.withColumn("head", head).withColumns(flat).withColumns({"x_n": F.col("n"), "x_f": F.col("f")}).filter((F.col("comp") != F.col("h_comp")) & admits("x_", "h_"))
+        votes = far.groupBy(F.col("h_key").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+        if not learn(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))) and turn:
             break
-    mixed = settle(comp_of(lists, "rep", "comp").withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("token", "rep", "n", "comp"), "mixed-lists")
-    x, y = (mixed.select("token", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("comp").alias(f"c{r}")) for r in "ab")
-    learn(x.join(y, "token").filter((F.col("ca") < F.col("cb")) & _fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
-
-    placed = comp_of(classes.select("d1", "d2", "rep"), "rep", "comp").select("d1", "d2", "comp")
-    linked = own.filter("n > 0").join(placed, ["d1", "d2"], "left").select("doc", "n", "comp")
-    alone = own.filter("n = 0").select("doc", "n", F.col("doc").alias("comp"))
-    return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-
-
-def without_ids(documents: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among ``ids`` (distinct, in a column of that name); rows without id stay."""
-    small = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if small else ids, doc_id, "left_anti")
-
-
-def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component: that of the smallest id; rows without id stay."""
-    found = settle(near_duplicates(documents, doc_id=doc_id, text=text, **options), "components")
-    named = found.filter("doc_id IS NOT NULL")
-    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    gone = settle(gone.select("doc_id", (F.col("least") < F.col("doc_id")).alias("gone"), "rows"), "decided")
-    kept = without_ids(documents, gone.filter("gone").select(F.col("doc_id").alias(doc_id)), doc_id)
-    repeated = gone.filter("rows > 1 AND NOT gone")
-    if repeated.isEmpty():
-        return kept
-    # Ids that stand on several rows: equal texts once each.
-    several = repeated.select(F.col("doc_id").alias(doc_id))
-    return kept.join(several, doc_id, "left_anti").unionByName(kept.join(several, doc_id, "left_semi").dropDuplicates([doc_id, text]))
+    lists = settle(_alive(comp_of(lists.drop("comp")), "comp"), "mixed-lists")
+    x, y = (lists.select("token", "small", "large", F.col("key").alias(r), *(F.col(c).alias(f"{r}_{c}") for c in ("n", "f", "comp", "band"))) for r in "ab")
+    met = x.join(y, ["token", "small", "large"]).filter((F.col("a_comp") < F.col("b_comp")) & (F.col("small") + F.col("large") == F.col("a_band") + F.col("b_band")) & admits("a_", "b_"))
+    learn(met.select("a", "b").distinct())
+
+    placed = comp_of(classes.select("key", "d1", "d2", "rep"))
+    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    return own, settle(placed.join(least, "comp").select("d1", "d2", "comp", "component_id"), "placed")
+
+
+def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    own, placed = _classes(docs, k=k, percent=percent, extra=extra, heavy=heavy, turns=turns)
+    linked = own.filter("n > 0").join(placed, ["d1", "d2"]).select("doc", "n", "component_id")
+    alone = own.filter("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
+    return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def with_digests(documents: DataFrame, k: int, text: str, names: tuple[str, str]) -> DataFrame:
+    """The rows with the digest of each one's set, 0 and 0 for none."""
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [digests(s) if len(s) else (0, 0) for _, sets in token_sets(batch.column(at), k) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, *names])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in names)]))
+
+
+def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of the smallest id, or of any where none has an id.
+
+    Texts without words are in no component and stay.  Of rows with the same id and
+    equal sets one stays.
+    """
+    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    own, placed = _classes(docs, k=k, percent=percent, extra=extra, heavy=heavy, turns=turns)
+    # The rows of each set and id, and which of them come first in their component.
+    each = own.filter("n > 0").groupBy("d1", "d2", "doc").agg(F.count(F.lit(1)).alias("rows")).join(placed.drop("component_id"), ["d1", "d2"])
+    each = settle(each.withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "d1", "d2")), "members")
+    each = each.join(each.groupBy("comp").agg(F.min("place").alias("first")), "comp").withColumn("stays", F.col("place").eqNullSafe(F.col("first")))
+    each = settle(each.select("doc", "d1", "d2", "rows", "stays"), "decided")
+    if own.groupBy("doc").count().filter("doc IS NULL OR count > 1").isEmpty():  # ids tell rows apart
+        gone = settle(each.filter("NOT stays").select(F.col("doc").alias("_gone")), "gone")
+        return documents.join(broadcastable(gone), documents[doc_id] == gone["_gone"], "left_anti")
+    names = ("_heddle_d1", "_heddle_d2")
+    marked = with_digests(documents, k, text, names)
+
+    def matched(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        of = settle(of.select(F.col("doc").alias("_doc"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")), "matched")
+        same = (rows[names[0]] == of["_d1"]) & (rows[names[1]] == of["_d2"]) & rows[doc_id].eqNullSafe(of["_doc"])
+        return rows.join(broadcastable(of), same, how)
+
+    kept = matched(marked, each.filter("NOT stays"), "left_anti")
+    several = each.filter("stays AND rows > 1")
+    once = matched(kept, several, "left_semi").dropDuplicates([doc_id, *names])
+    return matched(kept, several, "left_anti").unionByName(once).drop(*names)
