@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm.common import settle, table
-from heddle.llm.decontaminate import decontaminate
-from heddle.llm.ngram_join import one_of_each, without_ids
+from heddle.llm.decontaminate import keep_clean
+from heddle.llm.ngram_join import one_of_each
 from heddle.llm.packing import pack
 from heddle.llm.quality import keep_good, train_quality
 from heddle.llm.secret_scan import redact_secrets
@@ -32,8 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, settle(found.filter("contaminated").select("doc_id").distinct(), "contaminated"))
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

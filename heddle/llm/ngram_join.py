@@ -274,7 +274,7 @@ def _classes(docs: DataFrame, *, k: int, percent: int, extra: int, heavy: int, t
     return own, settle(placed.join(least, "comp").select("d1", "d2", "comp", "component_id"), "placed")
 
 
-def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     own, placed = _classes(docs, k=k, percent=percent, extra=extra, heavy=heavy, turns=turns)
@@ -295,7 +295,7 @@ def with_digests(documents: DataFrame, k: int, text: str, names: tuple[str, str]
     return documents.mapInArrow(run, T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in names)]))
 
 
-def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that of the smallest id, or of any where none has an id.
 
     Texts without words are in no component and stay.  Of rows with the same id and

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import lm, ngram_join, packing, pii, quality, secret_scan, topk, toxicity, url_filter
-from heddle.llm.decontaminate import decontaminate
+from heddle.llm.decontaminate import decontaminate, keep_clean
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.01"
@@ -158,7 +158,39 @@ def test_one_of_each(spark, nasty):
     assert kept.columns == nasty.columns
     want = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in nasty.select("doc_id", "text").collect()])}
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+    # The row without id and without text stays; the one whose text is a copy goes.
+    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = lambda t, i: t + f" more{i}"
+    rows = [(3, one), (7, near(one, 1)), (7, two), (9, near(two, 2)), (None, near(two, 3)), (None, three), (None, near(three, 4)), (5, ""), (5, near(one, 5)), (5, None), (9, near(two, 2))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    n = lambda t: len(words(t)) - 4
+    comp = {one: 3, two: 7, three: None}
+    want = Counter((i, n(t), comp[next(b for b in comp if t.startswith(b))]) for i, t in rows if t)
+    assert got == want + Counter({(5, 0, 5): 2})
+    kept = sorted(ngram_join.one_of_each(docs).collect(), key=str)
+    assert [r["doc_id"] for r in kept].count(None) == 1 and sum(r["text"] in ("", None) for r in kept) == 2
+    assert {(3, one), (7, two)} <= {tuple(r) for r in kept} and len(kept) == 5
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_group_of_copies_that_differ_among_each_other(spark, with_base):
+    """Most pairs are just below the threshold; the pairs made stay near the number of texts."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, 260):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            t[r.randrange(90)] = f"x{r.randrange(5000)}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == brute_components(rows)
 
 
 def test_many_near_copies_and_heavy_tokens(spark):
@@ -343,8 +375,12 @@ def test_cascade_is_exact_with_tiny_filters(spark):
 
 
 # 9
+def nine_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+
 def brute_hits(doc, items, width=10):
-    w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    w = nine_words
     d, hit, found = w(doc), set(), set()
     for i, t in items:
         x = w(t)
@@ -375,10 +411,47 @@ def test_decontamination(spark, empty):
     it = spark.createDataFrame(items, "item_id bigint, text string")
     got = Counter(map(tuple, decontaminate(df, it).collect()))
     assert got == Counter((i, *brute_hits(t, items)) for i, t in docs)
-    small = decontaminate(df, it, block=7)
-    assert Counter(map(tuple, small.collect())) == got
-    assert decontaminate(empty, it).count() == 0
-    assert decontaminate(df, it.limit(0)).filter("contaminated").count() == 0
+    assert Counter(map(tuple, decontaminate(df, it, limit=300).collect())) == got
+    assert decontaminate(df.limit(0), it).count() == 0
+    assert {(r["n_hit"], r["contaminated"]) for r in decontaminate(df, it.limit(0)).collect()} == {(0, False)}
+    # By rows: a clean row stays though its id stands on a contaminated one too, which goes, as do rows without id.
+    clean = decontaminate(df, it).filter("NOT contaminated").count()
+    kept = keep_clean(df.unionByName(df.filter("doc_id = 0").withColumn("text", F.lit("clean words alone"))), it)
+    assert kept.columns == df.columns and kept.count() == clean + 1
+
+
+def test_proximity(spark):
+    r = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(r.sample(vocabulary, n))) for i, n in enumerate([1, 3, 4, 6, 12])]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for i in range(80)]
+    for i in range(30):  # an item with words put in and neighbours swapped
+        x = r.choice(items)[1].split()
+        k = r.randrange(len(x))
+        x[k:k] = [r.choice(vocabulary)]
+        docs.append((100 + i, " ".join(x)))
+    counts = Counter(w for _, t in docs for w in nine_words(t))
+    for slack in (1, 3):
+        want = {}
+        for i, t in docs:
+            w = nine_words(t)
+            for k, item in items:
+                b = nine_words(item)
+                for g in {tuple(b[s : s + 10]) for s in range(max(1, len(b) - 9))}:
+                    order = sorted(range(len(g)), key=lambda o: (counts[g[o]], o))
+                    if not counts[g[order[0]]]:
+                        continue
+                    for p in range(len(w)):
+                        start = p - order[0]
+                        if w[p] != g[order[0]]:
+                            continue
+                        if len(g) > 1 and not any(0 <= q < len(w) and w[q] == g[order[1]] for q in range(start + order[1] - slack, start + order[1] + slack + 1)):
+                            continue
+                        if set(g) <= set(w[max(0, start - slack) : max(0, start + len(g) + slack)]):
+                            want.setdefault(i, set()).add(k)
+        df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        got = {x["doc_id"]: x["n_near"] for x in decontaminate(df, it, slack=slack).collect()}
+        assert got == {i: len(want.get(i, ())) for i, _ in docs} and any(got.values())
 
 
 # 10
