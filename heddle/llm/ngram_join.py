@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import broadcastable, settle
+from .common import broadcastable, mapped, settle
 from .components import connected_components
 from .words import mix, shingles, signed, text_blocks, word_hashes
 
@@ -102,7 +102,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
             yield frequent(own, kind)
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "text").mapInArrow(run, f"kind int, doc {kind}, n long, d1 long, d2 long")
+    return docs.select("doc", "text").transform(mapped, run, f"kind int, doc {kind}, n long, d1 long, d2 long")
 
 
 def _postings(docs: DataFrame, k: int, percent: int, extra: int, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
@@ -130,7 +130,7 @@ def _postings(docs: DataFrame, k: int, percent: int, extra: int, heavy: np.ndarr
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(keys))], names=["token", "d1"])
 
-    return docs.select("text").mapInArrow(run, "token long, d1 long")
+    return docs.select("text").transform(mapped, run, "token long, d1 long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, extra: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, percent: int, extra: int)
 
     reps = settle(wanted.select(F.col("rep").alias("_rep")).distinct(), "representatives")
     some = docs.join(broadcastable(reps), docs["doc"].eqNullSafe(reps["_rep"]), "left_semi")
-    found = some.select("text").mapInArrow(run, "d1 long, d2 long, rising array<long>, falling array<long>, tokens array<long>")
+    found = some.select("text").transform(mapped, run, "d1 long, d2 long, rising array<long>, falling array<long>, tokens array<long>")
     found = found.join(broadcastable(wanted.select("key", "n", "d1", "d2")), ["d1", "d2"])
     # Of rows with equal sets one serves; a representative's id seldom stands on several.
     return found.drop("d1", "d2").dropDuplicates(["key"])
@@ -292,7 +292,7 @@ def with_digests(documents: DataFrame, k: int, text: str, names: tuple[str, str]
             d = [digests(s) if len(s) else (0, 0) for _, sets in token_sets(batch.column(at), k) for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, *names])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in names)]))
+    return documents.transform(mapped, run, T.StructType([*documents.schema, *(T.StructField(c, T.LongType()) for c in names)]))
 
 
 def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: int = 10, heavy: int = 200_000, turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

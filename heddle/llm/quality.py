@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
 from .labelled import fit_logistic, held_out, labelled_sample, predict_logistic
 
 LEVEL = 3
@@ -68,7 +69,7 @@ def _features(sample: DataFrame, good: bytes, bad: bytes, block_bytes: int) -> D
             f = [z.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["label", "a", "b"])
 
-    return sample.select("text", "label").mapInArrow(run, "label int, a double, b double")
+    return sample.select("text", "label").transform(mapped, run, "label int, a double, b double")
 
 
 def _sample_blocks(sample: DataFrame, label: int, blocks: int, block_bytes: int) -> list[bytes]:
@@ -77,7 +78,7 @@ def _sample_blocks(sample: DataFrame, label: int, blocks: int, block_bytes: int)
             cut = [b for t in batch.column(0) for b in blocks_of(t.as_py(), block_bytes) if b]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["block"])
 
-    cut = sample.filter((F.col("label") == label) & (F.col("half") == 0)).select("text").mapInArrow(run, "block binary")
+    cut = sample.filter((F.col("label") == label) & (F.col("half") == 0)).select("text").transform(mapped, run, "block binary")
     return [bytes(r[0]) for r in cut.orderBy(F.xxhash64("block"), "block").limit(blocks).collect()]
 
 
@@ -123,7 +124,7 @@ def score_quality(documents: DataFrame, model, *, doc_id: str = "doc_id", text:
 
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(doc_id).alias("held_out"))
-    return own.mapInArrow(run, schema)
+    return own.transform(mapped, run, schema)
 
 
 def keep_good(documents: DataFrame, model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -140,4 +141,4 @@ def keep_good(documents: DataFrame, model, *, text: str = "text", threshold: flo
                 good = predict_logistic(model[3], f) >= threshold
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema)

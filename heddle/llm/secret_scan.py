@@ -20,6 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
 from .spans import Span, scan_spans
 
 BASE, ADDED = ("assign", "access", "hex"), ("random",)
@@ -174,4 +175,4 @@ def redact_secrets(documents: DataFrame, *, text: str = "text", size: str | None
                 columns[size_at] = pa.array(lengths, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema)

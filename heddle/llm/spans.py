@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 #: kind, start, end (code points, end exclusive), score
 Span = tuple[str, int, int, float]
 
@@ -61,4 +63,4 @@ def scan_spans(
 
     names = ["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans", "scores"]
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(f"n_{k}", T.LongType()) for k in base), *(T.StructField(n, T.StringType()) for n in names[-3:])])
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).transform(mapped, run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import mapped, settle
 
 SEGMENTS = (1, 4, 16)
 TILE = 512  # queries at a time against one batch of candidates
@@ -163,7 +163,7 @@ def top_k(
                 r, c = np.nonzero(best.filled)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(best.ids[r, c]), pa.array(best.scores[r, c])], names=["query_id", "vec_id", "score"])
 
-        found = rows.select("vec_id", "x").mapInArrow(run, "query_id long, vec_id long, score long")
+        found = rows.select("vec_id", "x").transform(mapped, run, "query_id long, vec_id long, score long")
         partial.append(settle(found, "partial-top-k") if blocks > 1 else found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = reduce(DataFrame.unionByName, partial).withColumn("rank", F.row_number().over(order))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
 from .labelled import fit_logistic, held_out, labelled_sample, predict_logistic
 
 DECAY, CLASSES, MARK = 0.7, 64, 63
@@ -229,7 +230,7 @@ def _words(sample: DataFrame) -> DataFrame:
             words = {w for t in batch.column(0) for w in t.as_py().lower().split() if 3 <= len(w) <= LONGEST}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
 
-    return sample.filter("label = 0").select("text").mapInArrow(run, "word string").distinct()
+    return sample.filter("label = 0").select("text").transform(mapped, run, "word string").distinct()
 
 
 def _blame(sample: DataFrame, n: dict[int, int]) -> np.ndarray:
@@ -247,7 +248,7 @@ def _blame(sample: DataFrame, n: dict[int, int]) -> np.ndarray:
         seen = np.flatnonzero(counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1][seen]), pa.array(counts[0][seen])], names=["number", "t", "c"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "number int, t long, c long").groupBy("number").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    rows = sample.select("text", "label").transform(mapped, run, "number int, t long, c long").groupBy("number").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     share = n[1] / (n[0] + n[1])
     t, c, all_ = F.col("t"), F.col("c"), F.col("t") + F.col("c")
     term = lambda k, p: F.when(k > 0, k * F.log(k / (all_ * p))).otherwise(0.0)
@@ -265,7 +266,7 @@ def _tops(sample: DataFrame, table: np.ndarray) -> list:
             f, top = document_features(batch.column(0).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0], pa.float64()), pa.array(f[:, 1], pa.float64()), pa.array(top, pa.string())], names=["label", "a", "b", "word"])
 
-    return sample.select("text", "label").mapInArrow(run, "label int, a double, b double, word string").collect()
+    return sample.select("text", "label").transform(mapped, run, "label int, a double, b double, word string").collect()
 
 
 def train_toxicity(
@@ -320,4 +321,4 @@ def score_toxicity(documents: DataFrame, model, *, doc_id: str = "doc_id", text:
     fields = [("held_out", T.BooleanType()), ("score", T.DoubleType()), ("predicted", T.IntegerType()), ("word", T.StringType())]
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), *(T.StructField(*f) for f in fields)])
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(doc_id).alias("held_out"))
-    return own.mapInArrow(run, schema)
+    return own.transform(mapped, run, schema)

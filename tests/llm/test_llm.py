@@ -476,19 +476,130 @@ def test_language_model(spark, nasty, empty):
     assert lm.score_texts(empty).count() == 0
 
 
-def test_mixer_learns():
-    from heddle.llm.words import text_blocks
+def test_prefix_code_is_the_shortest():
+    import heapq
+
+    r = random.Random(8)
+    for n in (2, 3, 17, 400):
+        counts = [r.choice([1, 1, 2, 3, 50, 1000]) for _ in range(n)]
+        paths = [bin(int(c))[3:] for c in lm.prefix_code(np.array(counts))]
+        assert len(set(paths)) == n and not any(a != b and b.startswith(a) for a in paths[:60] for b in paths)
+        heap, total = list(counts), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            two = heapq.heappop(heap) + heapq.heappop(heap)
+            total += two
+            heapq.heappush(heap, two)
+        assert sum(c * len(p) for c, p in zip(counts, paths)) == total
+    assert len(lm.prefix_code(np.array([5]))) == 1
+
+
+def units_of(text, codes):
     import pyarrow as pa
+    from heddle.llm.words import text_blocks
+
+    ((_, data, offsets),) = text_blocks(pa.array([text or ""]))
+    return lm.Units(data, offsets, codes)
+
+
+def test_contexts_of_words_and_bytes():
+    text = "the cat saw the cat run the cat zebrazebra the"
+    ids = np.unique(units_of("the cat saw run", None).hashes)
+    u = units_of(text, lm.Codes(ids, np.arange(1, 5), 1, 1, np.ones(256, np.int64)))
+    w = [*text.split(), None]
+    said = lambda i: w[i] if i >= 0 else None
+    contexts = [[() for _ in w], [said(i - 1) for i in range(len(w))], [(said(i - 1), said(i - 2)) for i in range(len(w))], [said(i - 2) for i in range(len(w))]]
+    spelt = "zebrazebra" + "\0"
+    for k in (2, 3):
+        contexts[k - 2] += [("b", k, spelt[max(0, i - k) : i]) for i in range(len(spelt))]
+    contexts[2] += [("b", "cat", spelt[:i]) for i in range(len(spelt))]
+    contexts[3] += [("b", spelt[:i]) for i in range(len(spelt))]
+    for own, tables in zip(contexts, u.contexts):
+        assert len(own) == len(tables)
+        for x, i in zip(own, tables):
+            for y, j in zip(own, tables):
+                assert (x == y) == (i == j)
+
+
+def brute_mixer(rows, frequent, least):
+    """Score of each text, a decision at a time."""
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    train = [t for i, t in rows if not held(i)]
+    n_of = Counter(int(h) for t in train for h in units_of(t, None).hashes)
+    top = sorted((h for h, c in n_of.items() if c >= least), key=lambda h: (-n_of[h], h - (1 << 64) * (h >> 63)))[:frequent]
+    rare = sum(n_of.values()) - sum(n_of[h] for h in top)
+    of_bytes = Counter(b for t in train for w in words(t) for b in w.encode())
+    of_bytes[lm.CLOSE] = sum(n_of.values())
+    codes = lm.Codes(np.array(top, np.uint64), np.array([n_of[h] for h in top], np.int64), len(train), rare, np.array([of_bytes[b] for b in range(256)]))
+
+    def decided(t):
+        u = units_of(t, codes)
+        _, unit, bit, slots = u.decisions(slice(None))
+        return u, [(int(u.mode[x]), int(u.word[x]), int(u.chunk[x]), int(b), [(o, int(s[i])) for o, s in enumerate(slots)]) for i, (x, b) in enumerate(zip(unit, bit))]
+
+    seen = Counter()
+    for t in train:
+        for *_, b, slots in decided(t)[1]:
+            seen.update((s, b) for s in slots)
+    level = lambda n: (n > 0) + (n >= 4)
+    odds = lambda n0, n1: math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR))
+    k = lm.ORDERS + 1
+    hessian, slope = np.zeros((lm.GATES, k, k)) + lm.RIDGE * np.eye(k), np.zeros((lm.GATES, k))
+    for t in train:
+        for mode, _, _, b, slots in decided(t)[1]:
+            n = [(seen[s, 0] - (b == 0), seen[s, 1] - (b == 1)) for s in slots]
+            x = np.array([odds(*z) for z in n] + [1])
+            gate = mode * 64 + sum(level(sum(z)) * 4**e for e, z in zip((2, 1, 0), n[1:]))
+            p = 1 / (1 + math.exp(-lm.FIRST_WEIGHT * x[:-1].sum()))
+            hessian[gate] += np.outer(x, x) * p * (1 - p)
+            slope[gate] += x * (b - p)
+    weights = np.clip(lm.even_weights() + np.linalg.solve(hessian, slope[:, :, None])[:, :, 0], -2, 3)
+    once = sum(c == 1 and h not in set(top) for h, c in n_of.items())
+    again = min(0.5, max(0.0, 1 - (once + 1) / (rare + 2))) if rare else 0.0
+    out = []
+    for _, t in rows:
+        u, each = decided(t)
+        factor, score, spelt = 1.0, 0.0, Counter()
+        for c in sorted({e[2] for e in each}):
+            g = n = 0
+            for mode, word, _, b, slots in (e for e in each if e[2] == c):
+                z = [(seen[s, 0], seen[s, 1]) for s in slots]
+                x = [round(odds(*y) / lm.STEP) * lm.STEP for y in z]
+                gate = mode * 64 + sum(level(sum(y)) * 4**e for e, y in zip((2, 1, 0), z[1:]))
+                mixed = (2 * b - 1) * (weights[gate, :-1] @ x + weights[gate, -1])
+                if mode:
+                    spelt[word] -= math.log1p(math.exp(-mixed * factor))
+                else:
+                    score -= math.log1p(math.exp(-mixed * factor))
+                g, n = g + mixed / (1 + math.exp(mixed * factor)), n + 1
+            factor = min(2, max(0.5, factor + lm.RATE * g / (n + 200)))
+        for word, lp in spelt.items():
+            c = n_of[int(u.hashes[word])]
+            score += np.logaddexp(lp + math.log(1 - again), math.log(again * c / rare) if c and again else -math.inf)
+        out.append(score / math.log(10))
+    return out
 
-    text = "the cat sat on the mat and the cat ate the rat " * 50
-    (_, data, offsets), = text_blocks(pa.array([text]))
-    types, mixer = lm.Types(data, offsets), lm.Mixer()
-    first = mixer.run(types, learn=True)
-    for _ in range(3):
-        mixer.run(types, learn=True)
-    assert mixer.run(types, learn=False).sum() > first.sum() / 2
-    copy = lm.Mixer.from_parts({o: np.frombuffer(zlib.decompress(p), "<f8") for o, p in mixer.parts()})
-    assert np.allclose(copy.run(types, learn=False), mixer.run(types, learn=False), atol=1e-6)
+
+@pytest.mark.parametrize("frequent,least", [(1 << 18, 8), (40, 2)])
+def test_mixer_against_a_decision_at_a_time(spark, frequent, least):
+    r = random.Random(21)
+    some = [" ".join(r.choice(["alpha", "bravo", "carol", "delta", "q%d" % r.randrange(40), "Über"]) for _ in range(r.randint(0, 90))) for _ in range(40)]
+    rows = [*enumerate(some), (None, None), (None, ""), (100, "x" * 700), (101, " ".join(["alpha bravo"] * 400)), (3, some[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter((i, f"{s:.3g}") for (i, _), s in zip(rows, brute_mixer(rows, frequent, least)))
+    for parts in (1, 8):  # the result is the same however rows are dealt
+        got = lm.score_texts(docs.repartition(parts), frequent=frequent, least=least).collect()
+        assert Counter((x["doc_id"], f"{x['score']:.3g}") for x in got) == want
+
+
+def test_tables_without_words_or_training_texts(spark):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    for rows in ([(1, "")], [(1, None)], [(held[0], "some words here"), (held[1], None)], [(1, ""), (2, "one word"), (held[0], "x" * 80_000)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(len(rows))
+        got = lm.score_texts(docs).collect()
+        assert len(got) == len(rows) and all(math.isfinite(x["score"]) and x["score"] <= 0 for x in got)
+        assert all(x["n_known"] == 0 and x["train_tokens"] == 0 for x in got) or any(not x["held_out"] for x in got)
+        assert all(x["score"] < -20_000 for x in got if x["n_tokens"] == 2 and x["doc_id"] == held[0])
 
 
 def test_word_order_counts(spark):
