@@ -7,6 +7,8 @@ is lost.  Only where that setting is absent (tests) a local folder is used.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -40,9 +42,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``, after this package is sent to the workers; for ``df.transform``."""
+    """``df.mapInArrow``, after this package is sent to the workers; for ``df.transform``.
+
+    Workers are used again: at the end of a task, what it no longer needs goes back to the machine.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Free memory that the worker holds without use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ squared counts of open sequences per residual gap become smallest.
 
 Pieces of a shard are placed from the longest to the shortest, so the small ones
 fill what is left.  Null texts count as empty (one piece holding the closing
-id); repeated rows are packed each; an empty table gives no rows.
+id); repeated rows are packed each; an empty table gives no rows; further columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import mapped, settle
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")  # no apostrophe or underscore
-CACHED_WORDS, CACHED_PARTS = 500_000, 1_500_000  # some 350 MB in a worker at most
+CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 400_000, 800_000, 64  # some 250 MB in a worker at most, given up at a task's end
 
 
 @lru_cache(maxsize=2)
@@ -70,22 +71,36 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
         if len(parts) > CACHED_PARTS:
             parts.clear()
         new = list(wanted.difference(parts))
-        parts.update(zip(new, encode_parts(new)))
+        fresh = dict(zip(new, encode_parts(new)))
+        parts.update(fresh)
         known.update((w, parts[a] + parts[b] if b else parts[a]) for w, (a, b) in split.items())
         other = [w for w in words if w not in split]
         known.update(zip(other, encode(other)))
+        for part in fresh:
+            if len(part) > CACHED_LENGTH:
+                del parts[part]
 
     def ids(text: str) -> bytes:
         if _UNSURE.search(text):
             return encode([text])[0]
         words = text.split()
-        if new := set(words).difference(known):
+        new = set(words).difference(known)
+        if new:
             if len(known) > CACHED_WORDS:
                 known.clear()
                 new = set(words)
             learn(list(new))
-        return b"".join(map(known.__getitem__, words))
+        out = b"".join(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > CACHED_LENGTH:
+                del known[word]
+        return out
+
+    def forget() -> None:
+        known.clear()
+        parts.clear()
 
+    ids.forget = forget
     return ids
 
 
@@ -147,6 +162,7 @@ def cut_documents(
             columns = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.forget()
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).transform(mapped, run, schema)
@@ -155,12 +171,12 @@ def cut_documents(
 def pack(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, shard_pieces: int = 100_000) -> DataFrame:
     """Every piece with its sequence_id and offset.
 
-    Shards hold about ``shard_pieces`` pieces whatever the input's size, so a
-    task's memory is bounded; each wastes at most a few sequences.
+    Shards hold about ``shard_pieces`` pieces whatever the input's size and however often
+    rows repeat, so a task's memory is bounded; each wastes at most a few sequences.
     """
     cut = settle(cut_documents(documents, doc_id=doc_id, text=text, capacity=capacity, end_id=end_id, vocabulary=vocabulary), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
-    key = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    key = F.xxhash64(F.monotonically_increasing_id())  # the pieces are written: rows have fixed places
 
     def place(shard: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((shard["ids_crc32"], shard["piece"], -shard["length"]))

@@ -530,7 +530,7 @@ def brute_mixer(rows, frequent, least):
     rare = sum(n_of.values()) - sum(n_of[h] for h in top)
     of_bytes = Counter(b for t in train for w in words(t) for b in w.encode())
     of_bytes[lm.CLOSE] = sum(n_of.values())
-    codes = lm.Codes(np.array(top, np.uint64), np.array([n_of[h] for h in top], np.int64), len(train), rare, np.array([of_bytes[b] for b in range(256)]))
+    codes = lm.Codes(np.array(top, np.uint64), np.array([n_of[h] for h in top], np.int64), len(train), rare, np.array([of_bytes[b] for b in range(256)]), lm.table_bits(sum(n_of.values())))
 
     def decided(t):
         u = units_of(t, codes)
@@ -647,3 +647,10 @@ def test_pipeline_stages(spark, nasty, empty, labels, tmp_path):
                 assert docs.count() == before if name == "secrets" else docs.count() <= before
             else:
                 assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 1000, "doc_id bigint, text string").repartition(4)
+    got = packing.pack(docs, shard_pieces=10).select("sequence_id").distinct().collect()
+    shards = Counter(r[0] >> 40 for r in got)
+    assert len(shards) > 50
