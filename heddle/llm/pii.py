@@ -20,7 +20,6 @@ from .spans import Span, scan_spans
 
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "ssn")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
@@ -37,15 +36,17 @@ _IBAN_LENGTHS = {
         "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
     ).split()
 }
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: No area 000, 666 or 9xx, no group 00, no serial 0000.
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_WORD = re.compile(r"[a-z]+")
 
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.3}
 CHECKED = 0.4  # a checksum holds
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "server", "host"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
 }
@@ -98,9 +99,9 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _score(text: str, kind: str, start: int, end: int, checked: bool) -> float:
-    near = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
+    near = set(_WORD.findall((text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()))
     score = PRIOR[kind] + CHECKED * checked
-    score += STEP * any(w in near for w in CONTEXT[kind]) - STEP * any(w in near for w in AGAINST)
+    score += STEP * (not near.isdisjoint(CONTEXT[kind])) - STEP * (not near.isdisjoint(AGAINST))
     return min(1.0, max(0.0, score))
 
 

@@ -264,6 +264,7 @@ def _tops(sample: DataFrame, table: np.ndarray) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f, top = document_features(batch.column(0).to_pylist(), table)
+            top = [w[:LONGEST] for w in top]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0], pa.float64()), pa.array(f[:, 1], pa.float64()), pa.array(top, pa.string())], names=["label", "a", "b", "word"])
 
     return sample.select("text", "label").transform(mapped, run, "label int, a double, b double, word string").collect()
@@ -274,7 +275,7 @@ def train_toxicity(
     labels: DataFrame,
     *,
     label: str = "toxic",
-    per_class: int = 2000,
+    per_class: int = 4000,
     negatives: int = 3000,
     landmarks: int = 240,
     rounds: int = 3,
@@ -283,15 +284,20 @@ def train_toxicity(
 ):
     """(table over subsequences, logistic model), or a constant score."""
     sample = labelled_sample(documents, labels, label, per_class=per_class, doc_id=doc_id, text=text, name="toxic")
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(n) < 2:
-        return (n.get(1, 0) + 1) / (n.get(0, 0) + n.get(1, 0) + 2)
+    n_half = {(r["label"], r["half"]): r["count"] for r in sample.groupBy("label", "half").count().collect()}
+    n = {c: n_half.get((c, 0), 0) + n_half.get((c, 1), 0) for c in (0, 1)}
+    if not n[0] or not n[1]:
+        return (n[1] + 1) / (n[0] + n[1] + 2)
+    fitted = sample
+    if len(n_half) == 4:  # one half of the documents chooses words, the other calibrates
+        sample, fitted = sample.filter("half = 0"), sample.filter("half = 1")
+        n = {c: n_half[c, 0] for c in (0, 1)}
     other = [r["word"] for r in _words(sample).orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
     rows = _tops(sample, _blame(sample, n))  # at most 2 * per_class
     down: set[str] = set()
     table = np.zeros(SIZE + 1, np.float32)
     for _ in range(rounds):
-        short = [(r["label"], r["word"][:LONGEST]) for r in rows if r["word"]]
+        short = [(r["label"], r["word"]) for r in rows if r["word"]]
         down |= {w for y, w in short if y == 0}
         up = sorted({w for y, w in short if y == 1} - down)
         no = sorted(down) + [w for w in other if w not in down and w not in set(up)]
@@ -301,6 +307,8 @@ def train_toxicity(
         marks = list(dict.fromkeys(pick(up, landmarks * 2 // 3) + pick(no, landmarks // 3)))
         table = fit_svm(up + no, np.r_[np.ones(len(up)), np.zeros(len(no))], marks)
         rows = _tops(sample, table)
+    if fitted is not sample:
+        rows = _tops(fitted, table)
     x, y = np.array([(r["a"], r["b"]) for r in rows]), np.array([r["label"] for r in rows], float)
     return table, fit_logistic(x, y)
 

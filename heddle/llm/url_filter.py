@@ -81,6 +81,7 @@ class Cascade:
     def build(cls, universe: DataFrame, *, bits_per_key: int = 10, max_bits: int = 1 << 26) -> Cascade:
         """universe: distinct ``key`` with boolean ``listed``."""
         levels: list[tuple[int, int, bytes]] = []
+        sizes: list[int] = []
         while True:
             level = len(levels)
             inside = universe.filter(F.col("listed") if level % 2 == 0 else ~F.col("listed"))
@@ -89,6 +90,9 @@ class Cascade:
             n = inside.count()
             if n == 0:
                 return cls(levels)
+            if level > 1 and levels[-2][1] == max_bits and n > 0.5 * sizes[-2]:
+                max_bits *= 2  # full bitmaps pass every key: the levels would not end
+            sizes.append(n)
             bits = min(max_bits, max(64, -(-n * bits_per_key // 8) * 8))
             rows = (
                 inside.select(F.explode(F.array(*cls._places(F.col("key"), level, bits))).alias("place"))
