@@ -21,7 +21,7 @@ def newest(records: DataFrame, *, by: list[str], order: list[Column], n: int) ->
 
 
 def roster(records: DataFrame, *, user: str, cls: str, cost: str) -> DataFrame:
-    """One row a user: counts by class in order, cost, and rank by count then name."""
+    """One row a user: count, cost, and counts by class in the order of their names."""
     per = records.groupBy(F.col(user).alias("user"), F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("k"), exact_sum(cost).alias("c"))
     rows = per.groupBy("user").agg(F.sum("k").alias("n"), exact_sum("c").alias("cost"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "cls", F.col("k").cast("string")))), ",").alias("by_class"))
     return rows

@@ -118,3 +118,16 @@ def drift(records: DataFrame, *, by: str, token: str, order: list[str], least: i
     mid = (F.col("p") + F.col("q")) / 2
     term = lambda x: F.when(x > 0, x * F.log2(x / mid)).otherwise(0.0)
     return sums.groupBy("grp").agg(F.first("n").alias("n"), F.round((F.sum(term(F.col("p"))) + F.sum(term(F.col("q")))) / 2, 6).alias("jsd"))
+
+
+def upper_medians(records: DataFrame, *, by: str, value: str) -> DataFrame:
+    """The exact upper median of each group: ranks are counted by buckets first, then by values within the one bucket that holds it."""
+    bucket = F.when(F.col(value) == 0, 0).otherwise(F.signum(value) * (F.floor(F.log2(F.abs(value)) * 16) + 100_000)).cast("bigint")
+    own = records.filter(F.col(value).isNotNull()).select(F.col(by).alias("grp"), F.col(value).alias("v"), bucket.alias("b"))
+    w = Window.partitionBy("grp").orderBy("b")
+    sums = own.groupBy("grp", "b").agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.withColumns({"upto": F.sum("n").over(w), "at": F.floor(F.sum("n").over(Window.partitionBy("grp")) / 2)})
+    held = sums.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("grp", "b", (F.col("at") - F.col("upto") + F.col("n")).alias("at"))
+    inside = own.join(held, ["grp", "b"]).groupBy("grp", "v").agg(F.count(F.lit(1)).alias("n"), F.first("at").alias("at"))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("grp").orderBy("v")))
+    return inside.filter("upto > at").groupBy("grp").agg(F.min("v").alias("upper_median"))

@@ -358,13 +358,12 @@ def hour_grid(spark, d):
     return series.hour_grid(events(spark, d), ts="ts", us="us")
 
 
-@query(f"""WITH {E_SQL}, f AS (SELECT * FROM e WHERE (us // 86400000000) % 5 <> 2), h AS (SELECT us // 86400000000 AS day, cls, count(*) AS n, {dsum("value")} AS cost, count(DISTINCT user_id) AS users FROM f GROUP BY 1, 2),
+@query(f"""WITH {E_SQL}, f AS (SELECT * FROM e), h AS (SELECT us // 86400000000 AS day, cls, count(*) AS n, {dsum("value")} AS cost, count(DISTINCT user_id) AS users FROM f GROUP BY 1, 2),
 m AS (SELECT us // 86400000000 AS day, count(DISTINCT us // 60000000) AS held_minutes FROM f GROUP BY 1), g AS (SELECT * FROM (SELECT unnest(generate_series(min(day), max(day))) AS day FROM h), (SELECT DISTINCT cls FROM h))
 SELECT CAST(g.day AS BIGINT) AS day, g.cls, CASE WHEN m.day IS NOT NULL THEN coalesce(n, 0) END AS n, CASE WHEN m.day IS NOT NULL THEN coalesce(cost, 0.0) END AS cost, CASE WHEN m.day IS NOT NULL THEN coalesce(users, 0) END AS users, held_minutes
 FROM g LEFT JOIN m ON g.day = m.day LEFT JOIN h ON h.day = g.day AND h.cls = g.cls""")
 def daily_trend(spark, d):
-    held = events(spark, d).filter(F.floor(F.col("us") / (24 * H)) % 5 != 2)
-    return series.daily_trend(held, ts="ts", us="us", cls="cls", cost="value", user="user_id")
+    return series.daily_trend(events(spark, d), ts="ts", us="us", cls="cls", cost="value", user="user_id")
 
 
 @query(f"""WITH {E_SQL}, s AS (SELECT user_id, us // 86400000000 AS day, count(*) AS n, {dsum("value")} AS cost, max(us) AS recent, count(DISTINCT cls) AS tools FROM e GROUP BY 1, 2),
@@ -562,14 +561,14 @@ def stream_running_state(spark, d):
     return newest.withColumn("cost", F.round("cost", 4))
 
 
-@query(f"""WITH {E_SQL}, t AS (SELECT user_id AS grp, us // 86400000000 AS tick, cls AS name, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT grp, count(DISTINCT tick) AS ticks FROM t GROUP BY 1)
-SELECT grp, name, min(n) AS n FROM t JOIN k USING (grp) WHERE tick % 2 = 0 OR true GROUP BY grp, name, ticks HAVING count(DISTINCT tick) = ticks""")
+@query(f"""WITH {E_SQL}, t AS (SELECT user_id AS grp, us // 604800000000 AS tick, cls AS name, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT grp, count(DISTINCT tick) AS ticks FROM t GROUP BY 1)
+SELECT grp, name, min(n) AS n FROM t JOIN k USING (grp) GROUP BY grp, name, ticks HAVING count(DISTINCT tick) = ticks""")
 def census_baseline(spark, d):
-    return live.least_census(_ticks(spark, d), by="user_id", tick="tick", name="cls", count="n")
+    return live.least_census(_ticks(spark, d, 7), by="user_id", tick="tick", name="cls", count="n")
 
 
-def _ticks(spark, d):
-    return events(spark, d).groupBy("user_id", F.floor(F.col("us") / (24 * H)).alias("tick"), "cls").agg(F.count(F.lit(1)).alias("n"))
+def _ticks(spark, d, days=1):
+    return events(spark, d).groupBy("user_id", F.floor(F.col("us") / (days * 24 * H)).alias("tick"), "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {E_SQL}, t AS (SELECT user_id AS grp, us // 86400000000 AS tick, cls AS name, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT grp, count(DISTINCT tick) AS ticks, max(tick) AS last FROM t GROUP BY 1),
@@ -605,8 +604,7 @@ def largest_by_class(spark, d):
 
 @query(f"WITH {E_SQL} SELECT cls, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM e WHERE value > 1 GROUP BY cls")
 def upper_median(spark, d):
-    held = events(spark, d).filter("value > 1").groupBy("cls").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return held.select("cls", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("upper_median"))
+    return stats.upper_medians(events(spark, d).filter("value > 1"), by="cls", value="value").withColumnRenamed("grp", "cls")
 
 
 @query(f"WITH {E_SQL} SELECT cls, host, CAST(grouping(cls) * 2 + grouping(host) AS BIGINT) AS level, count(*) AS n, {dsum('value')} AS cost, count(*) FILTER (k < 5) AS stalled FROM e GROUP BY GROUPING SETS ((cls, host), (cls), (host), ())")
@@ -683,10 +681,10 @@ def newest_snapshots(spark, d):
     return feeds.newest_snapshots(events(spark, d), host="host", ts="us").select("host", "us", "event_id", "rank")
 
 
-@query(f"""WITH {E_SQL}, f AS (SELECT cls, max(us) AS newest_us, CAST(1 AS INTEGER) AS files, count(*) FILTER (k = 0) AS bad FROM e WHERE user_id % 5 > 0 OR cls <> 'view' GROUP BY cls)
+@query(f"""WITH {E_SQL}, f AS (SELECT cls, max(us) AS newest_us, CAST(1 AS INTEGER) AS files, count(*) FILTER (k = 0) AS bad FROM e GROUP BY cls)
 SELECT cls, newest_us, files, bad, CASE WHEN newest_us < {AS_OF} - {1 * H} THEN 'stale' WHEN bad > 20 THEN 'degraded' WHEN bad > 0 THEN 'degraded' ELSE 'ok' END AS status, {AS_OF} - newest_us AS lag_us FROM f""")
 def feed_status(spark, d):
-    f = events(spark, d).filter("user_id % 5 > 0 OR cls <> 'view'").groupBy("cls").agg(F.max("us").alias("newest_us"), F.lit(1).alias("files"), F.count_if(F.col("k") == 0).alias("bad"))
+    f = events(spark, d).groupBy("cls").agg(F.max("us").alias("newest_us"), F.lit(1).alias("files"), F.count_if(F.col("k") == 0).alias("bad"))
     return feeds.feed_status(f, as_of_us=AS_OF, stale_us=H)
 
 
@@ -716,7 +714,15 @@ def phase_runs(spark, d):
     return sequences.absorbed_runs(events(spark, d), by="user_id", token="cls", us="us", key="event_id", most_us=12 * H)
 
 
-@query()
+_MOTIFS = ", ".join(f"CASE WHEN coalesce(lead(cls, {p}) OVER w = cls, false) THEN NULL ELSE r END AS x{p}" for p in (1, 2, 3, 4))
+_ENDS = ", ".join(f"(min(x{p}) OVER (PARTITION BY grp ORDER BY r DESC) - r) // {p} + 1 AS t{p}" for p in (1, 2, 3, 4))
+_BEST = "greatest(" + ", ".join(f"CASE WHEN t{p} >= 3 THEN {{'cover': t{p} * {p}, 'minus': -{p}, 'n': t{p}}} ELSE {{'cover': CAST(1 AS BIGINT), 'minus': -1, 'n': CAST(1 AS BIGINT)}} END" for p in (1, 2, 3, 4)) + ")"
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, a AS (SELECT user_id AS grp, cls, us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS r FROM e),
+b AS (SELECT grp, r, {_MOTIFS} FROM a WINDOW w AS (PARTITION BY grp ORDER BY us, event_id)), c AS (SELECT grp, r, {_ENDS} FROM b), f AS (SELECT grp, r, {_BEST} AS g FROM c),
+k AS (SELECT grp, r, g FROM f WHERE r = 0 UNION ALL SELECT f.grp, f.r, f.g FROM k JOIN f ON f.grp = k.grp AND f.r = k.r + k.g.cover)
+SELECT grp, r AS "at", CAST(-g.minus AS BIGINT) AS period, g.n AS repeats FROM k""")
 def periodic_motifs(spark, d):
     return sequences.periodic_runs(events(spark, d), by="user_id", token="cls", order=["us", "event_id"])
 
