@@ -25,6 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 _shipped: set[str] = set()
+_paths: dict[int, tuple[DataFrame, str]] = {}  # of tables settled of late
 
 
 def ship(spark: SparkSession) -> None:
@@ -95,7 +96,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    while len(_paths) > 100:
+        _paths.pop(next(iter(_paths)))
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a table just settled, once what was made of them is settled too."""
+    _, path = _paths.pop(id(settled))
+    hadoop = settled.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(settled.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def broadcastable(df: DataFrame, limit: int = 64 << 20) -> DataFrame:

@@ -508,12 +508,11 @@ def test_contexts_of_words_and_bytes():
     u = units_of(text, lm.Codes(ids, np.arange(1, 5), 1, 1, np.ones(256, np.int64)))
     w = [*text.split(), None]
     said = lambda i: w[i] if i >= 0 else None
-    contexts = [[() for _ in w], [said(i - 1) for i in range(len(w))], [(said(i - 1), said(i - 2)) for i in range(len(w))], [said(i - 2) for i in range(len(w))]]
+    contexts = [[() for _ in w], [said(i - 1) for i in range(len(w))], [(said(i - 1), said(i - 2)) for i in range(len(w))]]
     spelt = "zebrazebra" + "\0"
-    for k in (2, 3):
-        contexts[k - 2] += [("b", k, spelt[max(0, i - k) : i]) for i in range(len(spelt))]
+    contexts[0] += [("b", spelt[max(0, i - 3) : i]) for i in range(len(spelt))]
+    contexts[1] += [("b", spelt[:i]) for i in range(len(spelt))]
     contexts[2] += [("b", "cat", spelt[:i]) for i in range(len(spelt))]
-    contexts[3] += [("b", spelt[:i]) for i in range(len(spelt))]
     for own, tables in zip(contexts, u.contexts):
         assert len(own) == len(tables)
         for x, i in zip(own, tables):
@@ -549,7 +548,7 @@ def brute_mixer(rows, frequent, least):
         for mode, _, _, b, slots in decided(t)[1]:
             n = [(seen[s, 0] - (b == 0), seen[s, 1] - (b == 1)) for s in slots]
             x = np.array([odds(*z) for z in n] + [1])
-            gate = mode * 64 + sum(level(sum(z)) * 4**e for e, z in zip((2, 1, 0), n[1:]))
+            gate = mode * 16 + sum(level(sum(z)) * 4**e for e, z in zip((1, 0), n[1:]))
             p = 1 / (1 + math.exp(-lm.FIRST_WEIGHT * x[:-1].sum()))
             hessian[gate] += np.outer(x, x) * p * (1 - p)
             slope[gate] += x * (b - p)
@@ -565,7 +564,7 @@ def brute_mixer(rows, frequent, least):
             for mode, word, _, b, slots in (e for e in each if e[2] == c):
                 z = [(seen[s, 0], seen[s, 1]) for s in slots]
                 x = [round(odds(*y) / lm.STEP) * lm.STEP for y in z]
-                gate = mode * 64 + sum(level(sum(y)) * 4**e for e, y in zip((2, 1, 0), z[1:]))
+                gate = mode * 16 + sum(level(sum(y)) * 4**e for e, y in zip((1, 0), z[1:]))
                 mixed = (2 * b - 1) * (weights[gate, :-1] @ x + weights[gate, -1])
                 if mode:
                     spelt[word] -= math.log1p(math.exp(-mixed * factor))
