@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.measures import any_of
+
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
@@ -30,11 +32,17 @@ def day_files(spark: SparkSession, root: str, days: set[str] | None = None) -> l
     return sorted(found.values())
 
 
-def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good records, and the lines that are none (malformed, blank or torn)."""
+def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: T.StructType, *, holds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Good records, and the lines that are none (malformed, blank or torn).
+
+    With ``holds``, lines that hold none of these texts are not parsed at all; they must be
+    in every line that is wanted, as the writer spells it.
+    """
     bad = "_bad_line"
     full = T.StructType([*schema, T.StructField(bad, T.StringType())])
     lines = spark.read.text(paths).filter(F.trim("value") != "")
+    if holds:
+        lines = lines.filter(any_of([F.col("value").contains(t) for t in holds]))
     parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
     is_bad = F.col(f"r.{bad}").isNotNull() | F.col("r").isNull() | ~F.trim("value").startswith("{")
     return parsed.filter(~is_bad).select("r.*").drop(bad), parsed.filter(is_bad).select("value")
@@ -44,7 +52,8 @@ def write_history(df: DataFrame, path: str, *, ts: str, kind: str | None = None)
     """Parquet history by day (and record kind), rows in time order within files, zstd."""
     out = df.withColumn("day", F.col(ts).cast("date").cast("string"))
     by = ["day", *([kind] if kind else [])]
-    out = out.repartition(*by).sortWithinPartitions(*by, ts)
+    # Ranges of time, not one task a day: a day that outgrows a task is cut.
+    out = out.repartitionByRange(*by, ts).sortWithinPartitions(*by, ts)
     out.write.partitionBy(*by).option("compression", "zstd").mode("overwrite").parquet(path)
 
 
@@ -69,6 +78,18 @@ def read_accounting(spark: SparkSession, paths: list[str], *, sep: str = "____")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_lookup(spark: SparkSession, path: str, *, key: str, take: list[str]) -> DataFrame:
+    """A lookup table from CSV with a header; of repeated keys the least row counts."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.groupBy(key).agg(F.min(F.struct(*take)).alias("_v")).select(key, "_v.*")
+
+
+def with_lookup(records: DataFrame, lookup: DataFrame, *, on: str, key: str) -> DataFrame:
+    """The records with what the lookup tells, null where it lacks the key; Spark broadcasts it below its own threshold."""
+    told = lookup.withColumnRenamed(key, "_key").withColumn("_key", F.col("_key").cast(records.schema[on].dataType))
+    return records.join(told, records[on] == told["_key"], "left").drop("_key")
+
+
 def newest_snapshots(snapshots: DataFrame, *, host: str, ts: str, n: int = 2) -> DataFrame:
     """The newest n snapshots of each host."""
     from ..operators.live import newest
