@@ -653,3 +653,101 @@ def test_equal_rows_are_dealt_evenly(spark):
     got = packing.pack(docs, shard_pieces=10).select("sequence_id").distinct().collect()
     shards = Counter(r[0] >> 40 for r in got)
     assert len(shards) > 50
+
+
+def brute_quality(text, model):
+    """Score by compressing each block alone with either dictionary and with none."""
+    import zstandard
+
+    good, bad, size, (centre, scale, w) = model
+    data = (text or "").encode()
+    blocks = [data[i : i + size] for i in range(0, max(1, len(data)), size)]
+
+    def total(dictionary):
+        options = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        if dictionary:
+            options["dict_data"] = zstandard.ZstdCompressionDict(dictionary)
+        return sum(len(zstandard.ZstdCompressor(**options).compress(b)) for b in blocks)
+
+    x = ((total(bad) - total(good)) / total(None), math.log(total(None) / sum(len(b) + 1 for b in blocks)))
+    z = sum(max(-8, min(8, (v - c) / s)) * k for v, c, s, k in zip(x, centre, scale, w)) + w[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_scores_against_plain_compression(spark, nasty, labels):
+    model = quality.train_quality(nasty, labels)
+    rows = nasty.select("doc_id", "text").collect()
+    want = Counter((i, f"{brute_quality(t, model):.6f}") for i, t in rows)
+    got = quality.score_quality(nasty, model).collect()
+    assert Counter((r["doc_id"], f"{r['score']:.6f}") for r in got) == want
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
+def test_toxicity_scores_against_one_word_at_a_time(spark, labels):
+    rows = [(i, t) for i, t in enumerate(texts(), 10)] + [(1, None), (2, ""), (3, "i.d.i.o.t word")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train_toxicity(docs, labels)
+    if isinstance(model, float):
+        pytest.skip("labels of one class")
+    table, (centre, scale, w) = model
+    for r in toxicity.score_toxicity(docs, model).collect():
+        own = next(t for i, t in rows if i == r["doc_id"]) or ""
+        margins = [float(toxicity.margins(*toxicity.marked(x), table).max() + table[-1]) for x in own.lower().split()]
+        best = toxicity.document_features([own], table)[0][0]
+        if margins:
+            assert abs(max(-2, *margins, -2) - best[0]) < 1e-3
+            assert abs(sum(m > 0 for m in margins) - math.expm1(best[1])) < 0.01
+        z = sum(max(-8, min(8, (v - c) / s)) * k for v, c, s, k in zip(best, centre, scale, w)) + w[-1]
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-5
+
+
+def test_pipeline_against_brute_force(spark, labels, tmp_path):
+    import corpus_pipeline as cp
+
+    base = texts()
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    rows = [(i, t) for i, t in enumerate(base, 10)] + [(None, base[0]), (None, "alone and without an id"), (5, ""), (6, None), (7, f"the key is {key} here"), (300, base[3] + " extra"), (8, " ".join(base[5].split()[:14]) + " with more"), (8, "clean words on the same id")]
+    items = [(1, " ".join(base[5].split()[:12])), (None, "not in any text at all")]
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = quality.train_quality(docs, labels)
+    stages = dict(cp.STAGES)
+    pairs = lambda df: Counter(map(tuple, df.select("doc_id", "text").collect()))
+
+    kept = stages["quality"](spark, docs, str(tmp_path))
+    assert pairs(kept) == Counter((i, t) for i, t in rows if isinstance(model, float) and model >= 0.3 or not isinstance(model, float) and brute_quality(t, model) >= 0.3)
+
+    alone = stages["near_duplicates"](spark, docs, str(tmp_path))
+    sets = [{tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        least[g] = min(least.get(g, math.inf), math.inf if i is None else i)
+    got = pairs(alone)
+    assert sum(got.values()) == len(set(group))
+    assert sorted(i for i, t in got.elements() if i is not None and words(t)) == sorted(x for g, x in least.items() if x < math.inf and sets[group.index(g)])
+
+    clean = stages["decontamination"](spark, docs, str(tmp_path))
+    assert pairs(clean) == Counter((i, t) for i, t in rows if not brute_hits(t, items)[4])
+
+    marked = stages["secrets"](spark, docs, str(tmp_path))
+    assert Counter(i for i, _ in pairs(marked).elements()) == Counter(i for i, _ in rows)
+    assert (7, "the key is [SECRET] here") in pairs(marked)
+
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    by_sequence = {}
+    for r in packed:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows)
+    assert len(by_sequence) <= -(-sum(r["length"] for r in packed) // 2048) + 1
