@@ -739,7 +739,9 @@ def periodic_motifs(spark, d):
     return sequences.periodic_runs(events(spark, d), by="user_id", token="cls", order=["us", "event_id"])
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_custkey % 7 AS grp, c_custkey AS key, c_custkey * {S} AS us, c_name FROM customer),
+p AS (SELECT *, lead(c_name) OVER w AS b, lead(key) OVER w AS next_key, lead(us) OVER w - us AS gap FROM c WINDOW w AS (PARTITION BY grp ORDER BY us, key))
+SELECT grp, key, next_key, damerau_levenshtein(c_name, b) AS distance FROM p WHERE key % 3 = 0 AND gap BETWEEN {S // 2} AND {120 * S} AND damerau_levenshtein(c_name, b) BETWEEN 1 AND greatest(3, length(c_name) // 5)""")
 def typo_pairs(spark, d):
     c = read(spark, d, "customer").select((F.col("c_custkey") % 7).alias("host"), F.col("c_custkey").alias("key"), (F.col("c_custkey") * S).alias("us"), "c_name")
     return sequences.retyped(c, by="host", us="us", key="key", text="c_name", failed=F.col("key") % 3 == 0)
