@@ -25,6 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 _shipped: set[str] = set()
+_kept: dict[str, Callable[[], None]] = {}  # in a worker: how to free what operators keep
 _paths: dict[int, tuple[DataFrame, str]] = {}  # of tables settled of late
 
 
@@ -49,7 +50,10 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """
     ship(df.sparkSession)
 
+    owner = run.__qualname__
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         try:
             yield from run(batches)
         finally:
@@ -58,6 +62,16 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(whole, schema)
 
 
+def keep_between_tasks(owner: str, forget: Callable[[], None]) -> None:
+    """What ``forget`` frees stays for further tasks of its owner, until another operator's task comes to the worker."""
+    _kept[owner] = forget
+
+
+def make_room(owner: str) -> None:
+    for other in [k for k in _kept if k != owner]:
+        _kept.pop(other)()
+
+
 def give_back() -> None:
     """Free memory that the worker holds without use."""
     gc.collect()

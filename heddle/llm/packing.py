@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, settle
+from .common import keep_between_tasks, mapped, settle
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")  # no apostrophe or underscore
-CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 400_000, 800_000, 64  # some 250 MB in a worker at most, given up at a task's end
+CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 500_000, 1_500_000, 64  # some 350 MB in a worker at most, until another operator's task comes
 
 
 @lru_cache(maxsize=2)
@@ -148,6 +148,7 @@ def cut_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = id_bytes(vocabulary)
+        keep_between_tasks("cut_documents.<locals>.run", ids.forget)
         for batch in batches:
             source, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
@@ -162,7 +163,6 @@ def cut_documents(
             columns = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        ids.forget()
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).transform(mapped, run, schema)
