@@ -8,7 +8,8 @@
 
 Each stage works on all that the one before kept; its result is written as
 Parquet and read again.  SQL can express none of stages 1, 4 and 5, so there is
-no ORACLE_SQL; tests hold the stages against brute force.
+no ORACLE_SQL; tests hold every stage against brute force.  Rows are judged one by
+one: ids may be absent or repeated.
 """
 
 from __future__ import annotations

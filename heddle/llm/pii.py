@@ -6,7 +6,8 @@ kept when their score, a prior plus what the checksum and nearby words give or
 take, reaches ``threshold``.  Matches of a kind are leftmost and do not overlap;
 one that fails its check is dropped and not retried, save that an ``iban`` may end
 at, and the next one start after, any word of the match.  Null and empty texts have
-no spans; repeated rows are scanned one by one; other columns are not looked at.
+no spans; repeated rows are scanned one by one; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations

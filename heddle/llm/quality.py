@@ -9,7 +9,8 @@ documents.  Whole texts are compressed.
 Training reads at most ``per_class`` labelled documents and ``blocks`` blocks of
 ``block_bytes`` bytes of each class.  With no labels, or of one class only, the
 score is the smoothed share of good labels.  Null texts count as empty; an empty
-text is one empty block.  Repeated rows are scored one by one.
+text is one empty block.  Repeated rows are scored one by one, an empty table gives
+no rows, and other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ well; random strings do not.  Where a whole run reads well, the heaviest groups
 its parts between ``/ = _ + -`` are measured.  Digests of known lengths, UUIDs and
 runs without letters are left out, and letters alone need a lower ratio, as is what a base span covers; what a base span
 leaves of a run is measured by itself, down to 4 characters of the same key.  Null and empty texts have no
-spans; very long runs are measured in blocks; other columns are not looked at.
+spans; very long runs are measured in blocks; repeated rows are scanned one by one; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ are k rows for each query and partition.
 Vectors that are null or hold null or non-finite components take no part, nor do
 null ids; an empty vector has product 0 with other empty ones; vectors meet only
 those of their own length.  Ties go to the smaller id, and rows that repeat an id
-are candidates each.  Scores must fit 64 bits.
+are candidates each.  Scores must fit 64 bits.  An empty table gives no rows, and
+other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ whole texts in one pass.
 
 A mark before each word's first character lets them tell beginnings.
 
-Training is on at most ``per_class`` labelled documents a class.  Which subsequences
+Training is on at most ``per_class`` labelled documents a class; one half of them
+chooses words, the other calibrates.  Which subsequences
 stand out in toxic ones is counted in the cluster, by documents; they pick the
 word of each document that is most likely to blame.  Those words of toxic
 documents are positive, those of clean documents and a bounded choice of their
@@ -22,7 +23,8 @@ other words negative; the fitted machine picks the words anew, ``rounds``
 times.  A document's score is a logistic fit of its highest margin and of the
 log of its count of words with a margin above zero.  With labels of one class
 only, the score is the smoothed share of toxic labels.  Null and empty texts have no
-words and score as such; repeated rows are scored one by one.
+words and score as such; repeated rows are scored one by one, an empty table gives
+no rows, and other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
