@@ -1,5 +1,6 @@
 """Operators that SQL does not check, and edges of those it does."""
 
+import pytest
 import json
 
 from heddle.functions import shell, text
@@ -81,3 +82,27 @@ def test_accounting_files_with_other_columns(spark, tmp_path):
     (tmp_path / "b.csv").write_text("JobID____User\n2____u\n")
     df = feeds.read_accounting(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert sorted(map(tuple, df.select("JobID", "State", "User").collect())) == [("1", "OK", None), ("2", None, "u")]
+
+
+def test_tasks_and_phases(spark):
+    calls = [("a", 0, "x"), ("a", 10, "y"), ("a", 500, "y"), ("a", 900, "z"), ("a", 960, "z"), ("b", 5, "q")]
+    df = spark.createDataFrame(calls, "g string, us bigint, obj string").withColumn("key", F.monotonically_increasing_id())
+    got = sequences.task_spans(df, by="g", us="us", objects="obj", gap_us=100, least_us=20).orderBy("grp", "task").collect()
+    # The lone call at 500 shares y with the task before; that at 900 begins another.
+    assert [tuple(r) for r in got] == [("a", 1, 0, 500, 3, 2), ("a", 2, 900, 960, 2, 1), ("b", 1, 5, 5, 1, 1)]
+    runs = [("a", i, t) for i, t in enumerate("rrrrrrrrwrrrrrrrrrtttttttt")]
+    df = spark.createDataFrame(runs, "g string, us bigint, tok string").withColumn("key", F.col("us"))
+    got = sequences.absorbed_runs(df, by="g", token="tok", us="us", key="key").orderBy("phase").collect()
+    assert [(r["token"], r["start_us"], r["end_us"], r["calls"]) for r in got] == [("r", 0, 17, 18), ("t", 18, 25, 8)]
+
+
+def test_page_parameters():
+    from heddle.operators import views
+
+    got = views.parse_filters([("user", "a,b"), ("user", "b"), ("least", "2"), ("since", "2024-01-05 10:30"), ("until", "1704500000")], sets=("user",), minima=("least",))
+    assert got == {"user": ["a", "b"], "least": 2.0, "since": 1704450600.0, "until": 1704500000.0}
+    for wrong in ([("what", "1")], [("since", "soon")], [("user", ",".join(map(str, range(65))))]):
+        with pytest.raises(ValueError):
+            views.parse_filters(wrong, sets=("user",))
+    assert views.resolve_window(1, now_us=600_000_000) == (300_000_000, 600_000_000, "5 min")
+    assert views.resolve_window(None, now_us=0)[2] == "1 d" and views.resolve_window(99_999, now_us=0)[2] == "7 d" and views.resolve_window(360, now_us=0)[2] == "6 h"
