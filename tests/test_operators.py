@@ -1,8 +1,8 @@
 """Operators that SQL does not check, and edges of those it does."""
 
-import pytest
 import json
 
+import pytest
 from heddle.functions import shell, text
 from heddle.operators import lineage, sequences, series, stats
 from heddle.sources import feeds
