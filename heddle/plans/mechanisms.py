@@ -1,4 +1,4 @@
-"""Growing files, waiting joins, ancestors in valid time; tables as in ``queries``."""
+"""Growing files, waiting joins, ancestors in valid time, key index, saved and closing hours; tables as in ``queries``."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import ancestry
-from ..streaming import tail, waiting
+from ..sources import key_index, saved_hours
+from ..streaming import hour_close, live_bins, tail, waiting
 from .queries import AS_OF, E_SQL, H, S, dsum, events, query, read
-from .scratch import scratch
+from .scratch import made, scratch
 
 # --- files that grow
 
@@ -60,9 +61,7 @@ def stream_growing_files(spark, d):
     whole = F.array(piece(here, at, F.concat(line, F.lit("\n"))))
     fragments = placed.select("file", F.explode(F.when(F.col("torn"), half).otherwise(whole)).alias("f")).select("file", "f.*")
 
-    root, out, state = scratch(spark, "growing"), scratch(spark, "lines"), scratch(spark, "offsets")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    root, out, state = made(spark, scratch(spark, "growing")), scratch(spark, "lines"), scratch(spark, "offsets")
     spark.dataSource.register(tail.TailSource)
     for step in range(3):
         grown(fragments, root, step)
@@ -156,3 +155,84 @@ SELECT l.key, CASE WHEN y.least = l.key THEN NULL ELSE l.parent END AS parent, c
 def cycles_cut(spark, d):
     links = read(spark, d, "events").select(F.col("event_id").alias("key"), ((F.col("event_id") * F.col("event_id") + 1) % 9973).alias("parent"))
     return ancestry.cut_cycles(links)
+
+
+# --- the key index
+
+
+@query("SELECT event_id, user_id, event_type AS cls FROM events WHERE event_id IN (3, 77, 500, 501, 999)")
+def keys_found_by_index(spark, d):
+    """Written in two parts, each indexed when it comes."""
+    history, index = scratch(spark, "history"), scratch(spark, "index")
+    rows = read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    for part in (rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")):
+        part.repartitionByRange("day", "ts").write.partitionBy("day").mode("append").parquet(history)
+        key_index.extend_key_index(spark, history, index, key="event_id")
+    found = key_index.search_keys(spark, history, index, key="event_id", keys=[3, 77, 500, 501, 999])
+    return found.select("event_id", "user_id", F.col("event_type").alias("cls"))
+
+
+# --- saved hours
+
+
+def hour_parts(rows):
+    return rows.groupBy("hour", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("cost"))
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE CAST(ts AS DATE) = DATE '2024-01-10' AND event_id % 5 = 0)
+SELECT us // {24 * H} AS day, cls, count(*) AS n, {dsum("value")} AS cost FROM x GROUP BY ALL""")
+def saved_hours_refreshed(spark, d):
+    """All hours are saved, six to a folder, then rows come late to one day: its folders alone are made again."""
+    source, saved = scratch(spark, "source"), scratch(spark, "saved")
+    rows = events(spark, d).select("event_id", "cls", "value", "ts", (F.floor(F.col("us") / (6 * H)) * 6).alias("hour"))
+    rows.repartition("hour").write.partitionBy("hour").parquet(source)
+    saved_hours.refresh(spark, source, saved, hour_parts)
+    late = rows.filter((F.col("ts").cast("date") == "2024-01-10") & (F.col("event_id") % 5 == 0))
+    late.repartition("hour").write.partitionBy("hour").mode("append").parquet(source)
+    saved_hours.refresh(spark, source, saved, hour_parts)
+    parts = saved_hours.parts(spark, saved)
+    return parts.groupBy(F.floor(F.col("hour") / 24).alias("day"), "cls").agg(F.sum("n").alias("n"), F.sum("cost").cast("double").alias("cost"))
+
+
+# --- hours that close
+
+GRACE, HORIZON = 6 * H, 8 * 24 * H
+CUTS = [0, *(AS_OF - n * 24 * H for n in (24, 18, 12, 6)), 1 << 60]
+#: A row comes with the slice of its time, or one or three slices later.
+DELAY_SQL = "CASE WHEN event_id % 29 = 0 THEN 3 WHEN event_id % 17 = 0 THEN 1 ELSE 0 END"
+SLICE_SQL = " + ".join(f"(us >= {c})::INT" for c in CUTS[1:-1])
+
+
+@query(f"""WITH {E_SQL}, s AS (SELECT *, us // {H} AS hour, {SLICE_SQL} + {DELAY_SQL} AS slice FROM e), g AS (SELECT slice, max(us) AS top FROM s GROUP BY slice),
+m AS (SELECT s.*, (SELECT max(top) FROM g WHERE g.slice < s.slice) AS mark FROM s),
+k AS (SELECT *, CASE WHEN mark IS NULL OR (hour + 1) * {H} > mark - {GRACE} THEN 'on_time' WHEN (hour + 1) * {H} > mark - {HORIZON} THEN 'patch' ELSE 'dropped' END AS kind FROM m)
+SELECT hour, cls, count(*) FILTER (kind <> 'dropped') AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) FILTER (kind <> 'dropped') AS DOUBLE) AS cost, count(*) FILTER (kind = 'patch') AS patched, count(*) FILTER (kind = 'dropped') AS dropped
+FROM k WHERE (hour + 1) * {H} <= (SELECT max(us) FROM e) - {GRACE} GROUP BY hour, cls""")
+def stream_hours_closed(spark, d):
+    """Slices of time with rows that come one or three slices late: some patch a closed hour, some are dropped."""
+    delay = F.when(F.col("event_id") % 29 == 0, 3).when(F.col("event_id") % 17 == 0, 1).otherwise(0)
+    rows = events(spark, d).select("event_id", "us", "cls", "value").withColumn("slice", sum(((F.col("us") >= c).cast("int") for c in CUTS[1:-1]), delay))
+    folder, path, state = scratch(spark, "slices"), scratch(spark, "closed"), scratch(spark, "closing")
+    write = hour_close.closing(path, us="us", cls="cls", cost="value", grace_us=GRACE, horizon_us=HORIZON)
+    for i in range(len(CUTS) + 2):
+        part = rows.filter(F.col("slice") == i).drop("slice")
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return hour_close.closed_hours(spark, path, grace_us=GRACE)
+
+
+@query(f"""WITH {E_SQL} SELECT us // {H} AS hour, cls, count(*) AS n, {dsum("value")} AS cost FROM e GROUP BY ALL""")
+def stream_bins_closed(spark, d):
+    """Windows that the watermark closes, in append mode; two rows far ahead move it past the last."""
+    rows = events(spark, d).select("us", "cls", "value")
+    folder, out, state = scratch(spark, "slices"), scratch(spark, "windows"), scratch(spark, "window-state")
+    slices = [rows.filter((F.col("us") >= a) & (F.col("us") < b)) for a, b in zip(CUTS, CUTS[1:])]
+    ends = [spark.range(1).select(F.lit(AS_OF + n * 24 * H).alias("us"), F.lit("end").alias("cls"), F.lit(0.0).alias("value")) for n in (40, 80)]
+    for part in [*slices, *ends]:
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        bins = live_bins.minute_bins(stream, us="us", cls="cls", cost="value", width="1 hour", grace="5 minutes")
+        flat = bins.select(F.floor(F.unix_micros("w.start") / H).alias("hour"), "cls", "n", "cost")
+        flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hour bigint, cls string, n bigint, cost double").parquet(out).filter("cls <> 'end'")

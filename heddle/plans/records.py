@@ -9,7 +9,7 @@ from ..functions import measures as M
 from ..functions import taxonomy, text
 from ..operators import normalize as nz
 from ..operators import risk
-from ..sources import feeds
+from ..sources import feeds, key_index
 from .queries import E_SQL, S, dpct, dsum, events, masked_sql, query, read
 from .scratch import scratch
 
@@ -95,7 +95,9 @@ def untagged_as_none(spark, d):
 def key_search(spark, d):
     path = scratch(spark, "history")
     feeds.write_history(read(spark, d, "events"), path, ts="ts", kind="event_type")
-    found = feeds.read_history(spark, path).filter("user_id = 7")  # pushed to the row groups' statistics
+    index = scratch(spark, "index")
+    key_index.extend_key_index(spark, path, index, key="user_id")
+    found = key_index.search_keys(spark, path, index, key="user_id", keys=[7])  # reads the files that hold it
     return found.select("event_id", M.micros(F.col("ts")).alias("us"), F.col("event_type").alias("cls"), "value")
 
 

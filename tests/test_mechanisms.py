@@ -1,12 +1,15 @@
 """Growing files, waiting joins and ancestors in valid time, on small cases and against brute force."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import ancestry
-from heddle.streaming import tail, waiting
+from heddle.plans import scratch
+from heddle.sources import key_index, saved_hours
+from heddle.streaming import hour_close, tail, waiting
 
 S = 1_000_000
 
@@ -162,3 +165,79 @@ def test_late_children(spark):
         50: ("routed", "call", 2, 1), 51: ("running", None, None, None), 52: ("unplaced", None, None, None), 53: ("unplaced", None, None, None), 54: ("running", None, None, None),
         55: ("routed", "call", 2, 0), 56: ("hops_out", None, None, None), 57: ("routed", "root", 120, 8), 58: ("hops_out", None, None, None), 59: ("running", None, None, None), 60: ("running", None, None, None),
     }
+
+
+# --- the key index
+
+
+def test_a_search_reads_the_files_that_hold_the_key(spark, tmp_path):
+    history, index = f"file://{tmp_path}/history", f"file://{tmp_path}/index"
+    rows = spark.range(4000).select(F.col("id"), (F.col("id") % 20).alias("day"), F.concat(F.lit("s"), F.floor(F.col("id") / 4)).alias("session"))
+    rows.filter("id < 3000").repartition(4, "day").write.partitionBy("day").parquet(history)
+    files = len(spark.read.parquet(history).inputFiles())
+    assert key_index.extend_key_index(spark, history, index, key="session") == files
+    assert key_index.extend_key_index(spark, history, index, key="session") == 0
+    rows.filter("id >= 3000").repartition(4, "day").write.mode("append").partitionBy("day").parquet(history)
+    assert key_index.extend_key_index(spark, history, index, key="session") == len(spark.read.parquet(history).inputFiles()) - files
+    for keys in (["s7"], ["s7", "s999"], ["nowhere"], []):
+        got = key_index.search_keys(spark, history, index, key="session", keys=keys)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.filter(F.col("session").isin(keys) if keys else F.lit(False)).collect())
+        assert set(got.columns) == {"id", "day", "session"}
+    assert len(key_index.search_keys(spark, history, index, key="session", keys=["s7"]).inputFiles()) <= 4 < files
+
+
+# --- saved hours
+
+
+def test_a_refresh_makes_changed_hours_alone(spark, tmp_path):
+    source, saved = f"file://{tmp_path}/source", f"file://{tmp_path}/saved"
+    rows = spark.range(100).select((F.col("id") % 5).alias("hour"), F.col("id").alias("v"))
+    rows.repartition("hour").write.partitionBy("hour").parquet(source)
+    seen = []
+
+    def compute(df):
+        seen.append(sorted(r.hour for r in df.select("hour").distinct().collect()))
+        return df.filter("v < 1000").groupBy("hour").agg(F.sum("v").alias("v"))
+
+    def state():
+        return {r.hour: r.v for r in saved_hours.parts(spark, saved).collect()}
+
+    assert saved_hours.refresh(spark, source, saved, compute) == saved_hours.Refreshed([0, 1, 2, 3, 4], [])
+    first = state()
+    assert saved_hours.refresh(spark, source, saved, compute) == saved_hours.Refreshed([], []) and seen == [[0, 1, 2, 3, 4]]
+    spark.createDataFrame([(3, 7), (9, 1), (8, 5000)], "hour bigint, v bigint").write.partitionBy("hour").mode("append").parquet(source)
+    shutil.rmtree(tmp_path / "source" / "hour=1")
+    assert saved_hours.refresh(spark, source, saved, compute) == saved_hours.Refreshed([3, 8, 9], [1])
+    assert seen[1] == [3, 8, 9] and state() == {h: v for h, v in {**first, 3: first[3] + 7, 9: 1}.items() if h != 1}
+    shutil.rmtree(tmp_path / "source" / "hour=9")
+    spark.createDataFrame([(3, 5000)], "hour bigint, v bigint").write.partitionBy("hour").mode("append").parquet(source)
+    assert saved_hours.refresh(spark, source, saved, compute) == saved_hours.Refreshed([3], [9])
+    assert state() == {h: v for h, v in {**first, 3: first[3] + 7}.items() if h != 1}
+    assert {r.hour for r in saved_hours.parts(spark, saved, first=2, last=3).collect()} == {2, 3}
+
+
+# --- hours that close
+
+
+def test_hours_close_and_late_rows_patch_or_drop(spark, tmp_path):
+    path, hour = f"file://{tmp_path}/closed", hour_close.HOUR_US
+    write = hour_close.closing(path, us="us", cls="cls", cost="cost", grace_us=hour, horizon_us=5 * hour)
+    batch = lambda *rows: spark.createDataFrame([(int(h * hour), "a", 1.5) for h in rows], "us bigint, cls string, cost double")
+    write(batch(0.5, 1.5, 8.5), 0)
+    late = batch(0.7, 1.7, 5.5, 6.9, 7.9)  # ends 1, 2, 6, 7, 8 against a mark of 8.5
+    write(late, 1)
+    write(late, 1)  # replayed
+    write(batch(3.5, 10.0), 2)
+    got = {r.hour: (r.n, r.cost, r.patched, r.dropped) for r in hour_close.closed_hours(spark, path, grace_us=hour).collect()}
+    assert got == {0: (1, 1.5, 0, 1), 1: (1, 1.5, 0, 1), 3: (1, 1.5, 1, 0), 5: (1, 1.5, 1, 0), 6: (1, 1.5, 1, 0), 7: (1, 1.5, 0, 0), 8: (1, 1.5, 0, 0)}
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Fake:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Fake(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch(Session(), "x")
