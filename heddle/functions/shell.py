@@ -15,17 +15,18 @@ _ASSIGN = re.compile(r"[A-Za-z_]\w*=")
 _KEYWORDS = {"if", "then", "else", "elif", "fi", "for", "while", "until", "do", "done", "case", "esac", "in", "{", "}", "!", "time"}
 _WRAPPERS = {"sudo", "env", "nohup", "nice", "timeout", "stdbuf", "xargs", "exec", "command", "builtin"}
 
-# Programs by category, in order of precedence.
+# Programs by category, in order of precedence: our own lists. What no list names is run; cd and its like are nothing.
 CATEGORIES = {
     "test": {"pytest", "tox", "nosetests", "ctest", "jest", "mocha", "unittest"},
     "slurm": {"sbatch", "srun", "salloc", "squeue", "sacct", "scancel", "scontrol", "sinfo"},
     "run": {"python", "python3", "node", "java", "ruby", "perl", "Rscript", "julia", "bash", "sh"},
     "build": {"make", "cmake", "ninja", "gcc", "g++", "cc", "clang", "cargo", "go", "mvn", "gradle", "npm", "pip"},
-    "edit": {"sed", "tee", "patch", "vim", "vi", "nano", "emacs", "cp", "mv", "rm", "mkdir", "touch", "chmod", "ln"},
+    "edit": {"tee", "patch", "vim", "vi", "nano", "emacs", "cp", "mv", "rm", "mkdir", "touch", "chmod", "ln"},
     "git": {"git", "gh", "svn", "hg"},
-    "wait": {"sleep", "wait"},
-    "explore": {"ls", "cat", "head", "tail", "grep", "rg", "find", "wc", "less", "du", "df", "stat", "file", "tree", "awk", "sort", "uniq", "cut", "diff", "which", "pwd", "cd", "echo"},
+    "wait": {"sleep", "wait", "watch", "ps", "pgrep", "pidof"},
+    "explore": {"sed", "ls", "cat", "head", "tail", "grep", "rg", "find", "wc", "less", "du", "df", "stat", "file", "tree", "awk", "sort", "uniq", "cut", "diff", "which", "pwd", "echo"},
 }
+SETUP = {"cd", "pushd", "popd", "export", "source", ".", "set", "unset", "alias", "true", "false", ":", "exit", "return", "module"}
 _OF = {p: c for c, ps in reversed(CATEGORIES.items()) for p in ps}
 
 
@@ -78,7 +79,8 @@ def category_of(line: str) -> str:
         p = program_of(c)
         if p.startswith("python") and "-m" in c and any(w in CATEGORIES["test"] for w in c):
             p = "pytest"
-        found.add(_OF.get(p, _OF.get(re.sub(r"[\d.]+$", "", p), "unknown")))
+        if p and p not in SETUP:
+            found.add(_OF.get(p, _OF.get(re.sub(r"[\d.]+$", "", p), "run")))
     return next((c for c in CATEGORIES if c in found), "unknown")
 
 

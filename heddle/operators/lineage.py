@@ -81,8 +81,8 @@ def closure(edges: DataFrame, *, key: str, parent: str, depth: int) -> DataFrame
     base = edges.select(F.col(key).alias("root"), F.col(key).alias("key"), F.lit(0).alias("depth"))
     levels, step = [base], base
     down = edges.select(F.col(key).alias("_child"), F.col(parent).alias("_up"))
-    for d in range(1, depth + 1):
-        step = step.join(down, F.col("key") == F.col("_up")).select("root", F.col("_child").alias("key"), F.lit(d).alias("depth"))
+    for d in range(1, depth + 1):  # each level is written: one join a level
+        step = written(step.join(down, F.col("key") == F.col("_up")).select("root", F.col("_child").alias("key"), F.lit(d).alias("depth")), "level")
         levels.append(step)
     return reduce(DataFrame.unionByName, levels)
 

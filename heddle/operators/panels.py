@@ -94,20 +94,23 @@ def joined_runs(left: DataFrame, right: DataFrame, *, by: str, token: str = "tok
     return numbered.groupBy(by, F.col("_run").alias("run")).agg(F.first(token).alias(token), F.sum("length").alias("length"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
-def rework_loops(calls: DataFrame, *, by: str, order: list[str], edit: Column, test: Column, least: int = 2) -> DataFrame:
-    """Stretches in which edits and tests take turns: (by, loop, turns, calls); other calls between do not end them.
+def rework_loops(calls: DataFrame, *, by: str, order: list[str], edit: Column, run: Column, reading: Column, least: int = 2) -> DataFrame:
+    """(grp, first, last, command, rounds, calls): stretches that repeat one command, each round after an edit.
 
-    A turn is an edit, or edits, followed by a test; a loop holds ``least`` turns
-    or more and ends where the kind of work that is neither edit nor test lasts for over ``least`` calls.
+    ``run`` is the command of a test or run, else null. Between two runs of a loop lie edits, at least one,
+    and reading alone; another command, or anything else, ends it. ``first`` and ``last`` are places in the
+    sequence, and ``calls`` counts all that lie between.
     """
     w = Window.partitionBy("grp").orderBy(*order)
-    kind = F.when(edit, "e").when(test, "t")
-    own = calls.select(F.col(by).alias("grp"), *order, kind.alias("kind")).withColumn("at", F.row_number().over(w)).filter("kind IS NOT NULL")
+    own = calls.select(F.col(by).alias("grp"), *order, F.coalesce(edit, F.lit(False)).alias("edit"), run.alias("command"), F.coalesce(reading, F.lit(False)).alias("reading")).withColumn("at", F.row_number().over(w))
+    edits = own.filter("NOT reading OR edit").withColumn("edits", F.sum(F.col("edit").cast("int")).over(w))
+    # What is left after edits: runs, and all that ends a loop.
     v = Window.partitionBy("grp").orderBy("at")
-    own = own.withColumns({"was": F.lag("kind").over(v), "gap": F.col("at") - F.lag("at").over(v) - 1})
-    own = own.withColumn("loop", F.sum(F.when(F.col("gap") > least, 1).otherwise(0)).over(v))
-    turns = own.groupBy("grp", "loop").agg(F.count_if((F.col("kind") == "t") & (F.col("was") == "e") & (F.col("gap") <= least)).alias("turns"), F.count(F.lit(1)).alias("calls"), F.min("at").alias("first"), F.max("at").alias("last"))
-    return turns.filter(F.col("turns") >= least).select("grp", "first", "last", "turns", "calls")
+    stops = edits.filter("NOT edit").withColumns({"was": F.lag("command").over(v), "before": F.lag("edits").over(v)})
+    goes_on = F.coalesce((F.col("command") == F.col("was")) & (F.col("edits") > F.col("before")), F.lit(False))
+    chains = stops.withColumn("on", goes_on).withColumn("chain", F.sum((~F.col("on")).cast("int")).over(v)).filter("command IS NOT NULL")
+    loops = chains.groupBy("grp", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("command").alias("command"), F.count_if("on").alias("rounds"))
+    return loops.filter(F.col("rounds") >= least).select("grp", "first", "last", "command", "rounds", (F.col("last") - F.col("first") + 1).alias("calls"))
 
 
 def session_use(records: DataFrame, *, by: str, category: str, spent: Column, most: float = 0.5, also: float = 0.1) -> DataFrame:

@@ -7,41 +7,45 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import all_of, pct
+from ..functions.measures import all_of, any_of, pct
 
 
 @dataclass(frozen=True)
 class Rule:
-    """All patterns must match the line, whose program is in lower case and without its folder; ``{name}`` stands for a variable."""
+    """All ``patterns`` must match the line, whose program is in lower case and without its folder, or any of ``anywhere`` the line as it stands; ``{name}`` stands for a variable."""
 
     severity: str
     patterns: tuple[str, ...]
+    anywhere: tuple[str, ...] = ()
 
 
+CLUSTER = r"holy|bos|node|gpu|c\d{3,}"  # fixed value: how compute nodes' names begin, where no other is given
+
 DEFAULTS = {
     "nvidia_smi": Rule("low", (r"^nvidia-smi( |$)",)),
     "nvcc": Rule("low", (r"^nvcc( |$)",)),
-    "pip_install": Rule("med", (r"^(pip[0-9.]*|python[0-9.]* -m pip) install( |$)",)),
-    "conda_install": Rule("med", (r"^(conda|mamba) (create|install)( |$)",)),
-    "build": Rule("med", (r"^(make|cmake|ninja|gcc|g\+\+|cargo)(-[0-9]+)?( |$)",)),
-    "ssh_cluster": Rule("med", (r"^ssh (-[A-Za-z]+ +)*([^ @]+@)?({cluster})( |$)",)),
-    "server": Rule("med", (r"^(nginx|uvicorn|gunicorn|jupyter|tensorboard)( |$)",)),
-    "download": Rule("low", (r"^(wget|curl) ", r" (-[A-Za-z]*[oO]|--output(-document)?)([ =]|$)")),
-    "hf_download": Rule("low", (r"^(hf|huggingface-cli) download( |$)",)),
-    "headless_browser": Rule("low", (r"^(google-chrome|chrome|chromium)( |$)", r" --headless([ =]|$)")),
-    "force_push": Rule("HIGH", (r"^git push( |$)", r" (-f|--force)( |$)")),
+    "pip_install": Rule("med", (r"^(pip|pip3|pip3\.[0-9]+|python[0-9.]*( -[A-Za-z]+)* -m pip)( |$)", r" install( |$)")),
+    "conda_install": Rule("med", (r"^(conda|mamba|micromamba) ", r" (install|create)( |$)")),
+    "build": Rule("med", (r"^(make|cmake|ninja|gcc|g\+\+|clang|clang\+\+|nvcc|cargo|go)(-[0-9]+)?( |$)",)),
+    "ssh_cluster": Rule("med", (r"^ssh( -[46AaCfGgKkMNnqsTtVvXxYy]+| -[BbcDEeFIiJLlmOopQRSWw] ?[^ ]+)* ([^ @]+@)?([^ @]*\b)?({cluster})",)),
+    "server": Rule("med", (r" -m http\.server( |$)|^(tensorboard|streamlit)( |$)|^jupyter (.* )?(lab|notebook)( |$)|^jupyter-(lab|notebook)( |$)",)),
+    "download": Rule("med", (r"^(wget|curl) ", r" (-[A-Za-z]*[oO][A-Za-z]*|--output[^ =]*)([ =]|$)")),
+    "hf_download": Rule("med", (r"^(hf|huggingface-cli) ", r" download( |$)")),
+    "headless_browser": Rule("low", (r"^(playwright|puppeteer)( |$)",), (r"\b(chromium|chrome|msedge)\b.* --headless", r"(^|[ /])(playwright|puppeteer)/")),
+    "force_push": Rule("low", (r"^git( -[cC] [^ ]+| -[^ ]+)* push( |$)", r" (-[A-Za-z]*f[A-Za-z]*|--force)( |$)")),
     "rm_rf": Rule("HIGH", (r"^rm ", r" (-[A-Za-z]*[rR][A-Za-z]*|--recursive)( |$)", r" (-[A-Za-z]*f[A-Za-z]*|--force)( |$)")),
-    "chmod_777": Rule("HIGH", (r"^chmod (-[A-Za-z]+ +)*0?777( |$)",)),
+    "chmod_777": Rule("med", (r"^chmod (-[^ ]+ +)*0?777( |$)",)),
 }
 
 
 def rule_set(*, disable: tuple[str, ...] = (), override: dict[str, str] | None = None, add: dict[str, Rule] | None = None, variables: dict[str, str] | None = None) -> dict[str, Rule]:
     """The defaults without the disabled, with other severities and more rules; a rule whose variable is not set drops out."""
     rules = {k: replace(r, severity=(override or {}).get(k, r.severity)) for k, r in {**DEFAULTS, **(add or {})}.items() if k not in disable}
+    variables = {"cluster": CLUSTER} if variables is None else variables
     out = {}
     for k, r in rules.items():
         patterns = r.patterns
-        for name, value in (variables or {}).items():
+        for name, value in variables.items():
             patterns = tuple(p.replace("{" + name + "}", value) for p in patterns)
         if not any("{cluster}" in p for p in patterns):
             out[k] = replace(r, patterns=patterns)
@@ -60,7 +64,11 @@ def risk_panel(records: DataFrame, rules: dict[str, Rule], *, args: str, user: s
     Lines are tested once each, not once a record: rules run over distinct lines.
     """
     lines = records.groupBy(F.col(args).alias("_line")).agg(F.count(F.lit(1)).alias("_n")).drop("_n").withColumn("_plain", plain_line(F.col("_line")))
-    hit = F.array_compact(F.array(*(F.when(all_of([F.col("_plain").rlike(p) for p in r.patterns]), F.lit(k)) for k, r in rules.items())))
+
+    def holds(r: Rule) -> Column:
+        return any_of([all_of([F.col("_plain").rlike(p) for p in r.patterns]), *(F.col("_line").rlike(p) for p in r.anywhere)])
+
+    hit = F.array_compact(F.array(*(F.when(holds(r), F.lit(k)) for k, r in rules.items())))
     hits = lines.select("_line", F.explode(hit).alias("rule"))
     rated = code.isNotNull() & (F.coalesce(signal, F.lit(0)) == 0)
     own = records.withColumns({"_rated": rated, "_good": rated & (code == 0)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import exact_sum, pct, rank_index
+from ..plans.scratch import written
 
 GAMMA = 1.01 / 0.99
 TINY = 1e-9
@@ -37,10 +38,16 @@ def sketch_quantiles(records: DataFrame, *, by: str, value: str, ranks: tuple[fl
 
 def nearest_ranks(records: DataFrame, *, by: str, value: str, qs: tuple[float, ...], rules: tuple[str, ...] = ("floor", "half_even", "ceil")) -> DataFrame:
     """Exact nearest-rank quantiles under each rank rule."""
-    rank, n = F.row_number().over(Window.partitionBy("grp").orderBy("v")) - 1, F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    ranked = records.filter(F.col(value).isNotNull()).select(F.col(by).alias("grp"), F.col(value).alias("v")).withColumns({"r": rank, "n": n})
-    picks = [F.max(F.when(F.col("r") == rank_index(q, F.col("n"), rule), F.col("v"))).alias(f"{rule}_p{round(q * 100)}") for rule in rules for q in qs]
-    return ranked.groupBy("grp").agg(F.first("n").alias("n"), *picks)
+    counts = records.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    # Ranges of values, cut anywhere: how many lie below a range is known from the ranges' own counts.
+    placed = written(counts.repartitionByRange("grp", "v").sortWithinPartitions("grp", "v").withColumn("part", F.spark_partition_id()), "ranks")
+    own = placed.groupBy("grp", "part").agg(F.sum("k").alias("held"))
+    whole = Window.partitionBy("grp")
+    below = own.select("grp", "part", (F.sum("held").over(whole.orderBy("part")) - F.col("held")).alias("below"), F.sum("held").over(whole).alias("n"))
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy("grp", "part").orderBy("v"))
+    ranked = placed.join(below, ["grp", "part"]).withColumn("upto", upto)
+    picks = [F.min(F.when(F.col("upto") > rank_index(q, F.col("n"), rule), F.col("v"))).alias(f"{rule}_p{round(q * 100)}") for rule in rules for q in qs]
+    return ranked.groupBy("grp").agg(F.max("n").alias("n"), *picks)
 
 
 def shares(records: DataFrame, *, cls: str, tag: str, bucket: str, cost: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import written
 from .lineage import closure
 
 
@@ -15,28 +16,31 @@ def process_index(records: DataFrame, *, host: str, pid: str, parent: str, at: s
     """First-seen facts of each wanted process and of the ancestors that lead up from it, up to ``hops``."""
     facts = F.min_by(F.struct(F.col(parent).alias("parent"), *take), F.struct(at, key))
     known = records.groupBy(F.col(host).alias("host"), F.col(pid).alias("pid")).agg(facts.alias("f"), F.max(wanted.cast("int")).alias("tagged"))
-    known = known.select("host", "pid", "f.*", (F.col("tagged") == 1).alias("tagged"))
-    asked = found = known.filter("tagged")
-    for _ in range(hops):
-        up = asked.select("host", F.col("parent").alias("pid")).distinct()
-        asked = known.join(up, ["host", "pid"], "left_semi").filter("NOT tagged")
-        found = found.unionByName(asked)
-    return found.distinct()
-
-
-def wrapper_outcomes(records: DataFrame, *, key: str, parent: str, wrapper: Column, isolated: Column, code: Column, signal: Column, depth: int = 4) -> DataFrame:
-    """Of each wrapper: isolated, not_isolated, failed or no_payload, from itself and all below it.
-
-    Isolated where itself or anything below is; failed where it ended with a
-    signal or a code other than 0 and nothing was isolated; without a child that is no
-    wrapper there is no payload.
+    known = written(known.select("host", "pid", "f.*", (F.col("tagged") == 1).alias("tagged")), "known")
+    levels = [known.filter("tagged")]
+    for _ in range(hops):  # each level is written, so a hop is one join whatever their number
+        up = levels[-1].select("host", F.col("parent").alias("pid")).distinct()
+        levels.append(written(known.join(up, ["host", "pid"], "left_semi").filter("NOT tagged"), "hop"))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels).distinct()
+
+
+def wrapper_outcomes(records: DataFrame, *, key: str, parent: str, wrapper: Column, isolated: Column, unknown: Column, code: Column, signal: Column, depth: int = 4) -> DataFrame:
+    """Of each wrapper: isolated, not_isolated, unknown, failed or no_payload, from itself and all below it.
+
+    Isolated where itself or anything below is. Else a payload that ran decides, before any exit code: what
+    runs below a wrapper and is none was not isolated, or one cannot tell where the state of any is
+    ``unknown``. Without payload the wrapper's own end tells: failed by a signal or a code other than 0,
+    no payload by code 0, unknown without a code.
     """
-    own = records.select(F.col(key).alias("key"), F.when(F.col(parent) != F.col(key), F.col(parent)).alias("parent"), wrapper.alias("w"), isolated.alias("i"), code.alias("code"), signal.alias("sig"))
+    own = records.select(F.col(key).alias("key"), F.when(F.col(parent) != F.col(key), F.col(parent)).alias("parent"), wrapper.alias("w"), isolated.alias("i"), unknown.alias("u"), code.alias("code"), signal.alias("sig"))
     below = closure(own.select("key", "parent"), key="key", parent="parent", depth=depth)
-    facts = below.join(own.select("key", "w", "i"), "key").groupBy("root").agg(F.bool_or("i").alias("any_i"), F.bool_or((F.col("key") != F.col("root")) & ~F.col("w")).alias("payload"))
+    facts = below.join(own.select("key", "w", "i", "u"), "key").withColumn("p", (F.col("key") != F.col("root")) & ~F.col("w"))
+    facts = facts.groupBy("root").agg(F.bool_or("i").alias("any_i"), F.bool_or("p").alias("payload"), F.bool_or(F.col("p") & F.coalesce("u", F.lit(False))).alias("any_u"))
     out = own.filter("w").join(facts, F.col("key") == F.col("root"))
     failed = (F.coalesce("sig", F.lit(0)) != 0) | (F.coalesce("code", F.lit(0)) != 0)
-    outcome = F.when(F.col("any_i"), "isolated").when(failed, "failed").when(~F.col("payload"), "no_payload").otherwise("not_isolated")
+    outcome = F.when(F.col("any_i"), "isolated").when(F.col("payload"), F.when(F.col("any_u"), "unknown").otherwise("not_isolated")).when(failed, "failed").when(F.col("code") == 0, "no_payload").otherwise("unknown")
     return out.select("key", outcome.alias("outcome"))
 
 
@@ -48,7 +52,7 @@ def session_verdicts(outcomes: DataFrame, *, by: str, outcome: str = "outcome")
     verdict = (
         F.when((known > 0) & (F.col("isolated") == known), "sandboxed")
         .when(F.col("isolated") > 0, "partial")
-        .when((known > 0) & (F.col("failed") == known), "failed")
+        .when(F.col("failed") > 0, "failed")
         .when(known > 0, "unsandboxed")
         .when(F.col("unknown") > 0, "unknown")
         .otherwise("no_calls")

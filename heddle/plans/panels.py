@@ -96,12 +96,16 @@ def runs_joined_at_seam(spark, d):
     return panels.joined_runs(*parts, by="grp")
 
 
-@query(f"""WITH {E_SQL}, a AS (SELECT user_id AS grp, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS pos, CASE WHEN cls = 'click' THEN 'e' WHEN cls = 'view' THEN 't' END AS kind FROM e),
-b AS (SELECT *, lag(kind) OVER w AS was, pos - lag(pos) OVER w - 1 AS gap FROM a WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY grp ORDER BY pos)),
-c AS (SELECT *, sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY pos) AS loop FROM b)
-SELECT grp, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, count(*) FILTER (kind = 't' AND was = 'e' AND gap <= 2) AS turns, count(*) AS calls FROM c GROUP BY grp, loop HAVING turns >= 2""")
+@query(f"""WITH {E_SQL}, t AS (SELECT user_id AS grp, string_agg(CASE cls WHEN 'click' THEN 'e' WHEN 'view' THEN CAST(k % 2 AS VARCHAR) WHEN 'signup' THEN '' WHEN 'error' THEN '' ELSE 'x' END, '' ORDER BY us, event_id) AS s FROM e GROUP BY 1),
+l AS (SELECT grp, regexp_extract_all(s, '0(?:e+0){{2,}}|1(?:e+1){{2,}}') AS loops FROM t), u AS (SELECT grp, unnest(loops) AS loop, generate_subscripts(loops, 1) AS nth FROM l)
+SELECT grp, CAST(nth AS INTEGER) AS nth, CAST(loop[1] AS BIGINT) AS command, CAST(length(replace(loop, 'e', '')) - 1 AS BIGINT) AS rounds FROM u""")
 def rework_loops(spark, d):
-    return panels.rework_loops(events(spark, d), by="user_id", order=["us", "event_id"], edit=F.col("cls") == "click", test=F.col("cls") == "view")
+    """Edits are clicks, runs are views of one of two commands, signups and errors stand for reading; purchases end a loop."""
+    from pyspark.sql.window import Window
+
+    cls = F.col("cls")
+    loops = panels.rework_loops(events(spark, d), by="user_id", order=["us", "event_id"], edit=cls == "click", run=F.when(cls == "view", F.col("k") % 2), reading=cls.isin("signup", "error"))
+    return loops.select("grp", F.row_number().over(Window.partitionBy("grp").orderBy("first")).alias("nth"), "command", "rounds")
 
 
 @query(f"""WITH {E_SQL}, s AS (SELECT user_id AS grp, cls AS category, sum(CAST(value AS DECIMAL(18,4))) AS s FROM e GROUP BY ALL), t AS (SELECT grp, sum(s) AS total FROM s GROUP BY grp),
@@ -164,16 +168,17 @@ def process_index(spark, d):
     return trees.process_index(e, host="host", pid="event_id", parent="parent", at="us", key="event_id", take=["cls"], wanted=(F.col("cls") == "signup") & (F.col("k") >= 50))
 
 
-OUTCOME_SQL = f"""{E_SQL}, o AS (SELECT event_id AS key, user_id, CASE WHEN parent <> event_id THEN parent END AS parent, cls IN ('click', 'view') AS w, k % 10 = 3 AS i, CASE WHEN k % 10 = 9 THEN NULL ELSE k % 4 END AS code, CASE WHEN k % 20 = 7 THEN 9 ELSE 0 END AS sig FROM e),
+OUTCOME_SQL = f"""{E_SQL}, o AS (SELECT event_id AS key, user_id, CASE WHEN parent <> event_id THEN parent END AS parent, cls IN ('click', 'view') AS w, k % 40 = 3 AS i, k % 20 = 6 AS u, CASE WHEN k % 10 = 9 THEN NULL ELSE k % 4 END AS code, CASE WHEN k % 20 = 7 THEN 9 ELSE 0 END AS sig FROM e),
 b AS (SELECT key AS root, key, 0 AS depth FROM o UNION ALL SELECT b.root, o.key, depth + 1 FROM b JOIN o ON o.parent = b.key WHERE depth < 4),
-f AS (SELECT root, bool_or(i) AS any_i, bool_or(b.key <> root AND NOT w) AS payload FROM b JOIN o USING (key) GROUP BY root),
-outcomes AS (SELECT o.key, user_id, CASE WHEN any_i THEN 'isolated' WHEN sig <> 0 OR coalesce(code, 0) <> 0 THEN 'failed' WHEN NOT payload THEN 'no_payload' ELSE 'not_isolated' END AS outcome FROM o JOIN f ON root = o.key WHERE w)"""
+f AS (SELECT root, count(*) FILTER (i) AS iso, count(*) FILTER (b.key <> root AND NOT w) AS ran, count(*) FILTER (b.key <> root AND NOT w AND u) AS unk FROM b JOIN o USING (key) GROUP BY root),
+outcomes AS (SELECT o.key, user_id, CASE WHEN iso > 0 THEN 'isolated' WHEN ran > 0 AND unk > 0 THEN 'unknown' WHEN ran > 0 THEN 'not_isolated' WHEN sig <> 0 OR code <> 0 THEN 'failed' WHEN code = 0 THEN 'no_payload' ELSE 'unknown' END AS outcome FROM o JOIN f ON root = o.key WHERE w)"""
 
 
 def _outcomes(spark, d):
-    code = F.when(F.col("k") % 10 == 9, None).otherwise(F.col("k") % 4)
-    signal = F.when(F.col("k") % 20 == 7, 9).otherwise(0)
-    return trees.wrapper_outcomes(events(spark, d), key="event_id", parent="parent", wrapper=F.col("cls").isin("click", "view"), isolated=F.col("k") % 10 == 3, code=code, signal=signal)
+    k = F.col("k")
+    return trees.wrapper_outcomes(
+        events(spark, d), key="event_id", parent="parent", wrapper=F.col("cls").isin("click", "view"), isolated=k % 40 == 3, unknown=k % 20 == 6, code=F.when(k % 10 != 9, k % 4), signal=F.when(k % 20 == 7, 9).otherwise(0)
+    )
 
 
 @query(f"WITH RECURSIVE {OUTCOME_SQL} SELECT key, outcome FROM outcomes")
@@ -181,12 +186,12 @@ def sandbox_outcomes(spark, d):
     return _outcomes(spark, d)
 
 
-@query(f"""WITH RECURSIVE {OUTCOME_SQL}, s AS (SELECT user_id, count(*) FILTER (outcome = 'isolated') AS isolated, count(*) FILTER (outcome = 'not_isolated') AS open, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'unknown') AS unknown FROM outcomes GROUP BY 1)
-SELECT *, CASE WHEN isolated + open + failed > 0 AND isolated = isolated + open + failed THEN 'sandboxed' WHEN isolated > 0 THEN 'partial' WHEN isolated + open + failed > 0 AND failed = isolated + open + failed THEN 'failed'
-WHEN isolated + open + failed > 0 THEN 'unsandboxed' WHEN unknown > 0 THEN 'unknown' ELSE 'no_calls' END AS verdict FROM s""")
+@query(f"""WITH RECURSIVE {OUTCOME_SQL}, s AS (SELECT key // 7 AS session, count(*) FILTER (outcome = 'isolated') AS isolated, count(*) FILTER (outcome = 'not_isolated') AS open, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'unknown') AS unknown FROM outcomes GROUP BY 1)
+SELECT *, CASE WHEN isolated + open + failed > 0 AND isolated = isolated + open + failed THEN 'sandboxed' WHEN isolated > 0 THEN 'partial' WHEN failed > 0 THEN 'failed'
+WHEN open > 0 THEN 'unsandboxed' WHEN unknown > 0 THEN 'unknown' ELSE 'no_calls' END AS verdict FROM s""")
 def sandbox_verdicts(spark, d):
-    users = events(spark, d).select(F.col("event_id").alias("key"), "user_id")
-    return trees.session_verdicts(_outcomes(spark, d).join(users, "key"), by="user_id")
+    """Sessions of a few calls, so that every verdict occurs."""
+    return trees.session_verdicts(_outcomes(spark, d).withColumn("session", F.floor(F.col("key") / 7)), by="session")
 
 
 @query(f"""WITH {E_SQL}, n AS (SELECT event_id FROM e WHERE cls <> 'error'), x AS (

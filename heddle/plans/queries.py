@@ -466,11 +466,15 @@ def secrets_scan(spark, d):
 
 
 def masked_sql(column: str) -> str:
+    """The same forms; the SQL engine looks neither ahead nor behind, so there the neighbours are put back."""
     out = column
-    for _, pattern, kept in text.MASKS:
-        pattern, kept = pattern.replace("'", "''"), kept.replace("$1", "\\1")
-        out = f"regexp_replace({out}, '{pattern}', '{kept}', 'g')"
-    return out
+    for pattern in text.PLACES:
+        put_back = "@" if pattern.endswith("(?=@)") else ""
+        pattern = pattern.replace("(?=@)", "@").replace("'", "''")
+        out = f"regexp_replace({out}, '{pattern}', '\\1{text.MARK}{put_back}', 'g')"
+    shapes, _, signed = text.TOKEN_SHAPE.replace("'", "''").partition(r"|(?<![\w-])")
+    out = f"regexp_replace({out}, '{shapes})', '{text.MARK}', 'g')"
+    return f"regexp_replace({out}, '(^|[^\\w-]){signed.removesuffix(')')}', '\\1{text.MARK}', 'g')"
 
 
 @query(f"SELECT doc_id, md5({masked_sql('text')}) AS masked_md5 FROM documents")
@@ -614,9 +618,9 @@ def largest_by_class(spark, d):
     return stats.largest_rows(events(spark, d), by="cls", value="value", key="event_id", columns=["event_id", "user_id", "value"])
 
 
-@query(f"WITH {E_SQL} SELECT cls, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM e WHERE value > 1 GROUP BY cls")
+@query(f"WITH {E_SQL} SELECT cls, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM e GROUP BY cls")
 def upper_median(spark, d):
-    return stats.upper_medians(events(spark, d).filter("value > 1"), by="cls", value="value").withColumnRenamed("grp", "cls")
+    return stats.upper_medians(events(spark, d), by="cls", value="value").withColumnRenamed("grp", "cls")
 
 
 @query(f"WITH {E_SQL} SELECT cls, host, CAST(grouping(cls) * 2 + grouping(host) AS BIGINT) AS level, count(*) AS n, {dsum('value')} AS cost, count(*) FILTER (k < 5) AS stalled FROM e GROUP BY GROUPING SETS ((cls, host), (cls), (host), ())")
@@ -688,9 +692,9 @@ def jsonl_scan(spark, d):
     return good.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), M.exact_sum("value").alias("cost")).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))))
 
 
-@query(f"WITH {E_SQL} SELECT host, us, event_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY us DESC) AS r FROM e) WHERE r <= 2")
+@query(f"WITH {E_SQL} SELECT host, us, event_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY us DESC, event_id DESC) AS r FROM e) WHERE r <= 2")
 def newest_snapshots(spark, d):
-    return feeds.newest_snapshots(events(spark, d), host="host", ts="us").select("host", "us", "event_id", "rank")
+    return feeds.newest_snapshots(events(spark, d), host="host", ts="us", key="event_id").select("host", "us", "event_id", "rank")
 
 
 @query(f"""WITH {E_SQL}, f AS (SELECT cls, max(us) AS newest_us, CAST(1 AS INTEGER) AS files, count(*) FILTER (k = 0) AS bad FROM e GROUP BY cls)

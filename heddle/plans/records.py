@@ -14,7 +14,10 @@ from .queries import E_SQL, S, dpct, dsum, events, masked_sql, query, read
 from .scratch import scratch
 
 # What the records lack in the tables is derived from k, alike on both sides.
-ARGS = ("codex --yolo", "claude --permission-mode=plan x", "/home/u/.vscode-server/bin/node a", "git status", "run approval_policy = never", "claude --permission-mode auto", "codex -a never x")
+ARGS = (
+    "codex --yolo", "claude --permission-mode=plan x", "/home/u/.vscode-server/bin/node a", "git status", "run approval_policy = never", "claude --permission-mode auto", "codex -a never x",
+    "codex app-server", "claude --permission-mode acceptEdits", "claude --permission-mode=bypassPermissions", "codex -s danger-full-access", "claude",
+)
 COMMANDS = ("git", "ls", "python", "make", "squeue", "vim")
 
 
@@ -40,6 +43,7 @@ def _raw(spark, d):
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("pts/"), F.col("host").cast("string"))).alias("tty"),
         _pick(COMMANDS, "event_id").alias("command"), _pick(ARGS, "k").alias("args"),
         F.when(F.col("k") % 8 > 0, F.col("k") / 10.0).cast("double").alias("duration_s"), (F.col("value") / 100).alias("cpu_s"),
+        F.when(F.col("k") % 23 == 5, "bypassed").alias("approval_mode"), F.when(F.col("k") % 5 == 0, "sandboxed").when(F.col("k") % 5 == 1, "unsandboxed").alias("sandbox"), F.when(F.col("k") % 5 == 2, "denied").alias("sandbox_src"),
         F.col("k").cast("double").alias("blkio_wait_s"), (F.col("k") % 9).cast("double").alias("dstate_wait_s"),
     )
 
@@ -47,7 +51,7 @@ def _raw(spark, d):
 RAW_SQL = f"""{E_SQL}, raw AS (SELECT event_id, CASE k % 4 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 8 END AS sv0, strftime(ts, '%Y-%m-%d') AS day, CAST(host AS VARCHAR) AS host, CAST(user_id AS VARCHAR) AS usr,
 CASE WHEN cls IN ('click', 'purchase') THEN 'agent' WHEN cls = 'view' THEN 'human' WHEN cls = 'signup' THEN 'human-vscode' END AS actor3, CASE WHEN cls = 'click' THEN user_id END AS agent_pid,
 CASE WHEN k % 7 = 0 THEN CAST(user_id AS VARCHAR) END AS skey, CASE WHEN cls = 'view' AND k % 2 = 0 THEN CAST(host AS VARCHAR) END AS scope, CASE WHEN k % 3 = 0 THEN 'pts/' || host END AS tty,
-{_pick_sql(COMMANDS, "event_id")} AS command, {_pick_sql(ARGS, "k")} AS args, CASE WHEN k % 8 > 0 THEN k / 10.0::DOUBLE END AS dur, value / 100 AS cpu, CAST(k AS DOUBLE) AS blk, CAST(k % 9 AS DOUBLE) AS dst FROM e),
+{_pick_sql(COMMANDS, "event_id")} AS command, {_pick_sql(ARGS, "k")} AS args, CASE WHEN cls = 'click' THEN ['claude', 'codex'][k % 2 + 1] END AS kind, k, CASE WHEN k % 8 > 0 THEN k / 10.0::DOUBLE END AS dur, value / 100 AS cpu, CAST(k AS DOUBLE) AS blk, CAST(k % 9 AS DOUBLE) AS dst FROM e),
 g AS (SELECT *, coalesce(sv0, 3) AS sv, coalesce(dur + 1.0, 604800.0) AS lim, skey IS NOT NULL OR agent_pid IS NOT NULL AS ag FROM raw),
 n AS (SELECT *, CASE WHEN sv >= 4 THEN blk END AS b4, CASE WHEN sv >= 4 THEN dst END AS d4,
 CASE WHEN actor3 = 'human-vscode' OR (actor3 = 'human' AND args LIKE '%/.vscode-server/%') THEN 'ide' ELSE coalesce(actor3, 'unlabeled') END AS a3,
@@ -58,11 +62,13 @@ CASE WHEN ag THEN coalesce(skey, CAST(agent_pid AS VARCHAR)) WHEN scope IS NOT N
 @query(f"""WITH {RAW_SQL} SELECT event_id, CAST(sv AS INTEGER) AS _sv, a3 AS _a3, command AS _command,
 CASE command WHEN 'git' THEN 'git' WHEN 'ls' THEN 'filesearch' WHEN 'python' THEN 'compute' WHEN 'make' THEN 'build' WHEN 'squeue' THEN 'slurm_mon' ELSE 'editor' END AS _purpose,
 CASE WHEN dur >= 0.01 THEN round(100.0 * cpu / dur, 4) END AS cpu_pct, kt AS _kt, kv AS _kv, host || '|' || day || '|' || a3 || '|' || kt || ':' || kv AS _sid,
-CASE WHEN a3 <> 'agent' THEN 'na' WHEN args IN ('codex --yolo', 'run approval_policy = never', 'codex -a never x') THEN 'bypassed' WHEN args LIKE '%-mode auto' THEN 'auto' WHEN args LIKE '%-mode=plan%' THEN 'supervised' ELSE 'unknown' END AS _approval,
+CASE WHEN a3 IN ('human', 'ide') THEN 'na' WHEN kind IS NULL THEN 'unknown' WHEN k % 23 = 5 OR args IN ('codex --yolo', 'run approval_policy = never', 'codex -a never x', 'claude --permission-mode=bypassPermissions', 'codex -s danger-full-access') THEN 'bypassed'
+WHEN args = 'claude --permission-mode auto' THEN 'auto' WHEN args = 'codex app-server' AND kind = 'codex' THEN 'unobservable' ELSE 'supervised' END AS _approval,
+CASE WHEN sv < 5 THEN 'unknown' WHEN k % 5 = 0 THEN 'sandboxed' WHEN k % 5 = 1 THEN 'unsandboxed' WHEN k % 5 = 2 THEN 'denied' ELSE 'unknown' END AS _sandbox,
 concat_ws(',', CASE WHEN b4 > lim THEN 'blkio_wait_s' END, CASE WHEN d4 > lim THEN 'dstate_wait_s' END) AS impossible, CASE WHEN b4 <= lim THEN b4 END AS blkio_wait_s, CASE WHEN d4 <= lim THEN d4 END AS dstate_wait_s FROM n""")
 def normalized_records(spark, d):
     n = nz.normalize(_raw(spark, d))
-    return n.select("event_id", "_sv", "_a3", "_command", "_purpose", F.round("_cpu_pct", 4).alias("cpu_pct"), "_kt", "_kv", "_sid", "_approval", F.array_join("_impossible", ",").alias("impossible"), "blkio_wait_s", "dstate_wait_s")
+    return n.select("event_id", "_sv", "_a3", "_command", "_purpose", F.round("_cpu_pct", 4).alias("cpu_pct"), "_kt", "_kv", "_sid", "_approval", "_sandbox", F.array_join("_impossible", ",").alias("impossible"), "blkio_wait_s", "dstate_wait_s")
 
 
 @query(f"""WITH {E_SQL}, x AS (SELECT cls, value AS r, CASE WHEN k % 5 > 0 THEN value * (k % 3) / 2 END AS q FROM e), y AS (SELECT *, CASE WHEN r IS NOT NULL AND q IS NOT NULL THEN greatest(0.0, r - q) END AS served FROM x),
@@ -123,23 +129,28 @@ def search_in_masked_text(spark, d):
     return docs.filter(F.lower(text.mask(F.col("text"))).contains("the th")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-LINES = (
-    "/usr/bin/nvidia-smi -L", "nvcc a.cu", "pip3 install x", "python3 -m pip install y", "conda create -n z", "mamba list", "make-4 all", "gcc-12 a.c", "ssh -A bob@node7", "ssh github.com", "jupyter lab",
-    "wget http://x/y -O z", "curl -sO http://x", "curl http://x", "hf download m", "chrome --headless=new x", "git push -f origin", "git push --force-with-lease", "rm -rf tmp", "rm -r -f a", "rm -r a", "chmod 777 x",
-    "chmod -R 0777 x", "chmod 755 x", "ls -la", "/opt/Rm --recursive --force q", "cargo build", "echo rm -rf",
+#: Command lines, each with the rules that hold for it, told by hand.
+RISKY_LINES = (
+    ("/usr/bin/nvidia-smi -L", "nvidia_smi"), ("nvcc a.cu", "build"), ("pip3 install x", "pip_install"), ("python3 -m pip install y", "pip_install"), ("pip list", ""), ("pip4 install x", ""), ("conda create -n z", "conda_install"),
+    ("mamba list", ""), ("micromamba install q", "conda_install"), ("make-4 all", "build"), ("gcc-12 a.c", "build"), ("clang++ a.cc", "build"), ("go build ./...", "build"), ("ssh -A bob@node7", "ssh_cluster"), ("ssh github.com", ""),
+    ("ssh -p 22 -i k gpu-3", "ssh_cluster"), ("ssh login1 node7", ""), ("jupyter lab", "server"), ("jupyter nbconvert a", ""), ("jupyter-notebook", "server"), ("python3 -m http.server 80", "server"), ("streamlit run a.py", "server"),
+    ("nginx -s reload", ""), ("wget http://x/y -O z", "download"), ("curl -sO http://x", "download"), ("curl --output-dir d http://x", "download"), ("curl http://x", ""), ("hf download m", "hf_download"), ("hf upload m", ""),
+    ("chrome --headless=new x", "headless_browser"), ("/opt/msedge -x --headless", "headless_browser"), ("playwright test", "headless_browser"), ("node /a/node_modules/puppeteer/cli.js", "headless_browser"), ("chrome x", ""),
+    ("git push -f origin", "force_push"), ("git -C r push --force", "force_push"), ("git push --force-with-lease", ""), ("git push", ""), ("rm -rf tmp", "rm_rf"), ("rm -r -f a", "rm_rf"), ("rm -r a", ""), ("chmod 777 x", "chmod_777"),
+    ("chmod -R 777 x", "chmod_777"), ("chmod 755 x", ""), ("ls -la", "listing"), ("/opt/Rm --recursive --force q", "rm_rf"), ("cargo build", "build"), ("echo rm -rf", ""),
 )
-RISKS = risk.rule_set(disable=("nvcc",), override={"server": "HIGH"}, add={"listing": risk.Rule("low", (r"^ls( |$)",))}, variables={"cluster": "node[0-9]+"})
-
-
-def _risk_sql() -> str:
-    held = " UNION ALL ".join("SELECT x.*, '" + k + "' AS rule, '" + r.severity + "' AS severity FROM x WHERE " + " AND ".join("regexp_matches(p, '" + q.replace("'", "''") + "')" for q in r.patterns) for k, r in RISKS.items())
-    return f"""WITH {E_SQL}, l AS (SELECT *, {_pick_sql(LINES, "k")} AS args, CASE WHEN k % 10 = 9 THEN NULL ELSE k % 4 END AS code, CASE WHEN k % 20 = 7 THEN 9 ELSE 0 END AS sig FROM e),
-x AS (SELECT *, lower(regexp_extract(args, '^(?:\\S*/)?(\\S*)', 1)) || regexp_extract(args, '^\\S*(.*)$', 1) AS p, code IS NOT NULL AND sig = 0 AS rated FROM l), h AS ({held})
+LINES = tuple(line for line, _ in RISKY_LINES)
+RISKS = risk.rule_set(disable=("nvcc",), override={"server": "HIGH"}, add={"listing": risk.Rule("low", (r"^ls( |$)",))})
+RISK_SQL = f"""WITH {E_SQL}, l AS (SELECT *, {_pick_sql(LINES, "k")} AS args, CASE WHEN k % 10 = 9 THEN NULL ELSE k % 4 END AS code, CASE WHEN k % 20 = 7 THEN 9 ELSE 0 END AS sig FROM e),
+told(line, rule) AS (VALUES {", ".join(f"('{line}', '{rule}')" for line, rule in RISKY_LINES if rule)}),
+s(rule, severity) AS (VALUES ('nvidia_smi', 'low'), ('pip_install', 'med'), ('conda_install', 'med'), ('build', 'med'), ('ssh_cluster', 'med'), ('server', 'HIGH'), ('download', 'med'), ('hf_download', 'med'),
+  ('headless_browser', 'low'), ('force_push', 'low'), ('rm_rf', 'HIGH'), ('chmod_777', 'med'), ('listing', 'low')),
+h AS (SELECT l.*, rule, severity, code IS NOT NULL AND sig = 0 AS rated FROM l JOIN told ON line = args JOIN s USING (rule))
 SELECT rule, any_value(severity) AS severity, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (rated) AS rated, count(*) FILTER (rated AND code = 0) AS succeeded,
 CASE WHEN count(*) FILTER (rated) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (rated AND code = 0) / count(*) FILTER (rated), 2) END AS works_pct, min(event_id) AS first_key FROM h GROUP BY rule"""
 
 
-@query(_risk_sql())
+@query(RISK_SQL)
 def command_risks(spark, d):
     code = F.when(F.col("k") % 10 == 9, None).otherwise(F.col("k") % 4)
     signal = F.when(F.col("k") % 20 == 7, 9).otherwise(0)

@@ -67,9 +67,11 @@ def read_history(spark: SparkSession, path: str, *, first_day: str | None = None
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """side, n: rows that one has more often than the other; both 0 on an exact round trip."""
-    b = b.select(*a.columns)
-    missing, extra = a.exceptAll(b), b.exceptAll(a)
-    return missing.agg(F.lit("missing").alias("side"), F.count(F.lit(1)).alias("n")).unionByName(extra.agg(F.lit("extra").alias("side"), F.count(F.lit(1)).alias("n")))
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.select(*a.columns).withColumn("_side", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_side").alias("_n"))
+    n = lambda sign: F.coalesce(F.sum(F.greatest(F.lit(0), sign * F.col("_n"))), F.lit(0)).alias("n")
+    sums = left.agg(F.array(F.struct(F.lit("missing").alias("side"), n(1)), F.struct(F.lit("extra").alias("side"), n(-1))).alias("s"))
+    return sums.select(F.explode("s").alias("s")).select("s.*")
 
 
 def read_accounting(spark: SparkSession, paths: list[str], *, sep: str = "____") -> DataFrame:
@@ -90,11 +92,11 @@ def with_lookup(records: DataFrame, lookup: DataFrame, *, on: str, key: str) ->
     return records.join(told, records[on] == told["_key"], "left").drop("_key")
 
 
-def newest_snapshots(snapshots: DataFrame, *, host: str, ts: str, n: int = 2) -> DataFrame:
-    """The newest n snapshots of each host."""
+def newest_snapshots(snapshots: DataFrame, *, host: str, ts: str, key: str, n: int = 2) -> DataFrame:
+    """The newest n snapshots of each host; of equal times the greater key comes first."""
     from ..operators.live import newest
 
-    return newest(snapshots, by=[host], order=[F.desc(ts)], n=n)
+    return newest(snapshots, by=[host], order=[F.desc(ts), F.desc(key)], n=n)
 
 
 def feed_status(feeds: DataFrame, *, as_of_us: int, stale_us: int) -> DataFrame:
