@@ -32,20 +32,21 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, per_
     return settle(own.join(F.broadcast(ids), "_id").select("text", F.col("label").cast("int").alias("label"), half), name)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre, scale and weights (bias last) by damped Newton steps."""
     centre, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     a = np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
+    v = np.ones(len(a)) if weight is None else weight
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(2 * y - 1) * (a @ w)).sum() + ridge * w @ w / 2)
+        return float((v * np.logaddexp(0, -(2 * y - 1) * (a @ w))).sum() + ridge * w @ w / 2)
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, a.T @ (p - y) + ridge * w)
+        hessian = (a * (v * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, a.T @ (v * (p - y)) + ridge * w)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2

@@ -15,20 +15,30 @@ whole texts in one pass.
 A mark before each word's first character lets them tell beginnings.
 
 Training is on at most ``per_class`` labelled documents a class; one half of them
-chooses words, the other calibrates.  Which subsequences
-stand out in toxic ones is counted in the cluster, by documents; they pick the
-word of each document that is most likely to blame.  Those words of toxic
-documents are positive, those of clean documents and a bounded choice of their
-other words negative; the fitted machine picks the words anew, ``rounds``
-times.  A document's score is a logistic fit of its highest margin and of the
-log of its count of words with a margin above zero.  With labels of one class
-only, the score is the smoothed share of toxic labels.  Null and empty texts have no
+chooses words, the other calibrates.  Words that stand out in toxic documents,
+counted in the cluster by documents, are positive; a bounded choice of clean documents'
+words is negative, and so are, round by round, those to which the machine gave
+clean documents' highest margins: they weigh most, being what a document is judged by.
+All words are learnt together with copies that hold one more character at some inner
+place, so the margin of an insult with an inserted mark stays above that of a word
+that looks like one.  A document's score is a logistic fit of its highest margin and of
+the log of its count of words with a margin above zero; toxic documents whose flagged
+words got a character inserted take part in that fit, at ``inserted`` of the weight.
+
+With labels of one class only, the score is the smoothed share of toxic labels.
+Characters fall into 64 classes, a-z each alone and all others by code point, so that
+a triple is a place in a table; words that differ in such characters alone may be taken for one
+another.  A word's norm counts the places of its subsequences up to 256 characters and grows
+as the root of the length from there: longer words are no insults, and their exact norm
+would need their subsequences sorted.  Null and empty texts have no
 words and score as such; repeated rows are scored one by one, an empty table gives
 no rows, and other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import mapped, settle
 from .labelled import fit_logistic, held_out, labelled_sample, predict_logistic
 
 DECAY, CLASSES, MARK = 0.7, 64, 63
@@ -47,6 +57,7 @@ GAPS = [(a, b) for b in range(2, 5) for a in range(1, b)] + [(1, 2, 3, 4)] + [tu
 TRIPLES, FIVES = CLASSES**3, 1 << 20  # triples have a place each, fives are hashed
 SIZE = TRIPLES + FIVES
 LONGEST = 40  # training words; scored words have any length
+INSERTED = "*-._abcdefghijklmnopqrstuvwxyz"  # what training puts into words
 CHUNK = 1_000_000  # characters at a time
 
 
@@ -141,29 +152,34 @@ def _kernel(words: list[dict[int, float]], landmarks: list[dict[int, float]]) ->
     for f in landmarks:
         for k in f:
             column.setdefault(k, len(column))
-    dense = np.zeros((len(landmarks), len(column)))
+    dense = np.zeros((len(landmarks), len(column)), np.float32)
     for row, f in zip(dense, landmarks):
         row[[column[k] for k in f]] = list(f.values())
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     for row, f in zip(out, words):
         if own := [k for k in f if k in column]:
-            row[:] = dense[:, [column[k] for k in own]] @ np.array([f[k] for k in own])
+            row[:] = dense[:, [column[k] for k in own]] @ np.array([f[k] for k in own], np.float32)
     return out
 
 
-def fit_svm(words: list[str], y: np.ndarray, landmarks: list[str], cost: float = 10.0) -> np.ndarray:
+def with_insertion(word: str, nth: int = 0) -> str:
+    """The word with one character more at an inner place; the same for the same word and number."""
+    r = random.Random(zlib.crc32(f"{nth}:{word}".encode("utf-8", "replace")))
+    at = r.randint(1, len(word) - 1)
+    return word[:at] + r.choice(INSERTED) + word[at:]
+
+
+def fit_svm(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[str], cost: float = 10.0) -> np.ndarray:
     """The table over subsequences; its last entry is the bias."""
     marks = features(landmarks)
-    kmm = _kernel(marks, marks)
-    values, vectors = np.linalg.eigh(kmm + 1e-6 * np.eye(len(kmm)))
+    values, vectors = np.linalg.eigh(_kernel(marks, marks).astype(float) + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = np.hstack([_kernel(features(words), marks) @ root, np.ones((len(words), 1))])
+    z = np.hstack([_kernel(features(words), marks) @ root.astype(np.float32), np.ones((len(words), 1), np.float32)])
     sign, w = 2.0 * y - 1, np.zeros(z.shape[1])
-    weight = np.where(y > 0, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (len(y) - y.sum())))
     for _ in range(50):  # Newton steps of the squared hinge
         on = sign * (z @ w) < 1
-        a = z[on] * weight[on, None]
-        new = np.linalg.solve(np.eye(len(w)) / cost + a.T @ z[on], a.T @ sign[on])
+        a = z[on] * weight[on, None].astype(np.float32)
+        new = np.linalg.solve(np.eye(len(w)) / cost + (a.T @ z[on]).astype(float), a.T @ sign[on])
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -226,46 +242,44 @@ def document_features(texts: list[str], table: np.ndarray) -> tuple[np.ndarray,
     return np.stack([best, np.log1p(count)], 1), top
 
 
-def _words(sample: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = {w for t in batch.column(0) for w in t.as_py().lower().split() if 3 <= len(w) <= LONGEST}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
-
-    return sample.filter("label = 0").select("text").transform(mapped, run, "word string").distinct()
-
-
-def _blame(sample: DataFrame, n: dict[int, int]) -> np.ndarray:
-    """A first table: the log odds of what stands out in toxic documents, counted by documents."""
+def _words(sample: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(word, t, c, apart, odds): toxic and clean documents of the sample that hold it, and how far that is from chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SIZE), np.int64)
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1)):
-                own = np.zeros(SIZE, bool)
-                for part in pieces(t.as_py().lower()):
-                    for _, number, inside in subsequences(*marked(part)):
-                        own[number[inside]] = True
-                counts[y.as_py()] += own
-        seen = np.flatnonzero(counts.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1][seen]), pa.array(counts[0][seen])], names=["number", "t", "c"])
-
-    rows = sample.select("text", "label").transform(mapped, run, "number int, t long, c long").groupBy("number").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                words = sorted({w for w in t.as_py().lower().split() if 3 <= len(w) <= LONGEST})
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y.as_py()] * len(words), pa.int32())], names=["word", "label"])
+
+    counts = sample.select("text", "label").transform(mapped, run, "word string, label int").groupBy("word").agg(F.sum("label").cast("long").alias("t"), F.sum(1 - F.col("label")).cast("long").alias("c"))
     share = n[1] / (n[0] + n[1])
-    t, c, all_ = F.col("t"), F.col("c"), F.col("t") + F.col("c")
-    term = lambda k, p: F.when(k > 0, k * F.log(k / (all_ * p))).otherwise(0.0)
+    t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    term = lambda k, p: F.when(k > 0, k * F.log(k / (both * p))).otherwise(0.0)
     odds = F.log((t + 0.5) / (n[1] + 1)) - F.log((c + 0.5) / (n[0] + 1))
-    rows = rows.select("number", (term(t, share) + term(c, 1 - share)).alias("apart"), odds.alias("odds")).filter("apart > 8 AND odds > 0.5")
-    table = np.zeros(SIZE + 1, np.float32)
-    for r in rows.collect():  # at most SIZE
-        table[r["number"]] = r["odds"] * r["apart"] / (r["apart"] + 20)
-    return table
+    return counts.select("word", "t", "c", (term(t, share) + term(c, 1 - share)).alias("apart"), odds.alias("odds"))
 
 
-def _tops(sample: DataFrame, table: np.ndarray) -> list:
+def inserted_into(text: str, table: np.ndarray) -> str:
+    """The text, in lower case, with a character more in each word of four or more that has a margin above zero."""
+    out = []
+    for part in pieces(text.lower()):
+        c, starts, ends = marked(part)  # the mark before a word stands at its own place there
+        m, at = margins(c, starts, ends, table) + table[-1], 0
+        for i in np.flatnonzero((m > 0) & (ends - starts > 4)).tolist():
+            a, b = int(starts[i]), int(ends[i]) - 1
+            out += [part[at:a], with_insertion(part[a:b])]
+            at = b
+        out.append(part[at:])
+    return "".join(out)
+
+
+def _tops(sample: DataFrame, table: np.ndarray, insert: bool = False) -> list:
+    """(label, a, b, word) of each document: its two features and its highest word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, top = document_features(batch.column(0).to_pylist(), table)
+            texts = batch.column(0).to_pylist()
+            f, top = document_features([inserted_into(t, table) for t in texts] if insert else texts, table)
             top = [w[:LONGEST] for w in top]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0], pa.float64()), pa.array(f[:, 1], pa.float64()), pa.array(top, pa.string())], names=["label", "a", "b", "word"])
 
@@ -278,9 +292,10 @@ def train_toxicity(
     *,
     label: str = "toxic",
     per_class: int = 4000,
-    negatives: int = 3000,
-    landmarks: int = 240,
-    rounds: int = 3,
+    negatives: int = 4000,
+    landmarks: int = 600,
+    rounds: int = 4,
+    inserted: float = 0.15,
     doc_id: str = "doc_id",
     text: str = "text",
 ):
@@ -294,25 +309,35 @@ def train_toxicity(
     if len(n_half) == 4:  # one half of the documents chooses words, the other calibrates
         sample, fitted = sample.filter("half = 0"), sample.filter("half = 1")
         n = {c: n_half[c, 0] for c in (0, 1)}
-    other = [r["word"] for r in _words(sample).orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
-    rows = _tops(sample, _blame(sample, n))  # at most 2 * per_class
-    down: set[str] = set()
+    words = settle(_words(sample, n), "toxic-words")
+    stands_out = words.filter("odds > 1 AND c <= t * 0.05 AND t > 1")
+    up = [r["word"] for r in stands_out.orderBy(F.desc("apart"), "word").filter("apart > 8").limit(1500).collect()]
+    if not up:  # few labels: what lies furthest from chance
+        up = [r["word"] for r in words.filter("odds > 0").orderBy(F.desc("apart"), "word").limit(30).collect()]
+    easy = [r["word"] for r in words.filter("c > 0").orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
+    known = set(up)
+    clean = sample.filter("label = 0")
+    hard: dict[str, float] = {}
     table = np.zeros(SIZE + 1, np.float32)
-    for _ in range(rounds):
-        short = [(r["label"], r["word"]) for r in rows if r["word"]]
-        down |= {w for y, w in short if y == 0}
-        up = sorted({w for y, w in short if y == 1} - down)
-        no = sorted(down) + [w for w in other if w not in down and w not in set(up)]
-        if not up or not no:
-            break
-        pick = lambda words, k: words[:: max(1, len(words) // k)][:k]
-        marks = list(dict.fromkeys(pick(up, landmarks * 2 // 3) + pick(no, landmarks // 3)))
-        table = fit_svm(up + no, np.r_[np.ones(len(up)), np.zeros(len(no))], marks)
-        rows = _tops(sample, table)
-    if fitted is not sample:
-        rows = _tops(fitted, table)
+    pick = lambda words, k: words[:: max(1, len(words) // k)][:k]
+    for _ in range(rounds if up else 0):
+        down = sorted(sorted(hard, key=lambda w: (-hard[w], w))[: negatives // 2])
+        rest = [w for w in easy if w not in hard and w not in known]
+        marks = list(dict.fromkeys(pick(up, landmarks // 2) + pick(down, landmarks // 4) + pick(rest, landmarks // 4)))
+        more = [with_insertion(w, i) for w in up for i in range(4)]
+        no, often = [with_insertion(w) for w in rest], [with_insertion(w) for w in down if len(w) > 2]
+        own = [*up, *more, *down, *often, *rest, *no]
+        y = np.r_[np.ones(len(up) + len(more)), np.zeros(len(own) - len(up) - len(more))]
+        weight = np.where(np.arange(len(own)) < len(up) + len(more) + len(down) + len(often), 8.0, 1.0)
+        weight = np.where(y > 0, len(own) / 3 / max(1, y.sum()), weight * (len(own) * 2 / 3 / max(1.0, weight[y == 0].sum())))
+        table = fit_svm(own, y, weight, marks)
+        for r in _tops(clean, table):  # at most per_class
+            if r["word"] and r["word"] not in known:
+                hard[r["word"]] = max(hard.get(r["word"], -9.0), r["a"])
+    whole = _tops(fitted, table)
+    rows = whole + _tops(fitted.filter("label = 1"), table, insert=True)
     x, y = np.array([(r["a"], r["b"]) for r in rows]), np.array([r["label"] for r in rows], float)
-    return table, fit_logistic(x, y)
+    return table, fit_logistic(x, y, weight=np.where(np.arange(len(rows)) < len(whole), 1.0, inserted))
 
 
 def score_toxicity(documents: DataFrame, model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -121,6 +121,51 @@ def test_kernel_tolerates_gaps():
     assert k(insult, insult) > k(insult, spread) > k(insult, other)
 
 
+def test_kernel_from_its_definition():
+    """Common subsequences of three over at most five places and of five over at most six, a decay for every place skipped, over both norms."""
+    from itertools import combinations
+
+    decay = toxicity.DECAY
+
+    def parts(word):
+        own, found = "^" + word, Counter()
+        for size, most in ((3, 5), (5, 6)):
+            for at in combinations(range(len(own)), size):
+                span = at[-1] - at[0] + 1
+                if span <= most:
+                    found[tuple(own[i] for i in at)] += decay ** (span - size)
+        square = sum(decay ** (2 * (at[-1] - at[0] + 1 - size)) for size, most in ((3, 5), (5, 6)) for at in combinations(range(len(own)), size) if at[-1] - at[0] + 1 <= most)
+        return found, max(1.0, square) ** 0.5
+
+    words = ["idiot", "idi*ot", "i.d.i.o.t", "orange", "an", "banana", "anagram", "x"]
+    got = toxicity.features(words)
+    for a, fa in zip(words, got):
+        for b, fb in zip(words, got):
+            (pa, na), (pb, nb) = parts(a), parts(b)
+            want = sum(v * pb[k] for k, v in pa.items()) / na / nb
+            assert abs(sum(v * fb.get(k, 0) for k, v in fa.items()) - want) < 1e-5, (a, b)
+
+
+def test_insertions_are_the_same_each_time():
+    for word in ("idiot", "abc", "über"):
+        for nth in range(5):
+            new = toxicity.with_insertion(word, nth)
+            assert new == toxicity.with_insertion(word, nth) and len(new) == len(word) + 1 and new[0] == word[0] and new[-1] == word[-1]
+            assert any(new[:i] + new[i + 1 :] == word for i in range(len(new)))
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_insults_with_an_inserted_character_stay_toxic(spark):
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train_toxicity(docs, marks)
+    hot = [r["doc_id"] for r in toxicity.score_toxicity(docs, model).filter("held_out AND predicted = 1").collect()]
+    texts_ = [r["text"] for r in docs.filter(F.col("doc_id").isin(hot)).collect()]
+    new = spark.createDataFrame([(i, toxicity.inserted_into(t, model[0])) for i, t in enumerate(texts_)], "doc_id bigint, text string")
+    assert all(a.lower() != b["text"] for a, b in zip(texts_, new.orderBy("doc_id").collect()))
+    still = [r["predicted"] for r in toxicity.score_toxicity(new, model).collect()]
+    assert sum(still) / len(still) >= 0.6
+
+
 # 3
 def brute_components(rows):
     sets = []
