@@ -295,7 +295,7 @@ def train_toxicity(
     negatives: int = 4000,
     landmarks: int = 600,
     rounds: int = 4,
-    inserted: float = 0.15,
+    inserted: float = 0.3,
     doc_id: str = "doc_id",
     text: str = "text",
 ):
