@@ -79,3 +79,45 @@ def longest_prefix(addresses: DataFrame, networks: DataFrame, *, number: str, ke
     base = F.floor(F.col("base") / F.pow(F.lit(2), 32 - F.col("bits"))).cast("bigint")
     held = addresses.join(F.broadcast(networks), low == base, "left")
     return held.groupBy(key).agg(F.max_by("provider", "bits").alias("provider"))
+
+
+#: What a record says of one far end, and of what it lost count of.
+ENDPOINT = "addr string, port bigint, proto string, inbound boolean, external boolean, provider string, calls bigint, tx_bytes bigint, rx_bytes bigint"
+LOST = "calls bigint, tx_bytes bigint, rx_bytes bigint"
+
+
+def _each_endpoint(records: DataFrame, *, key: str, cls: str, endpoints: str) -> DataFrame:
+    each = records.select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.posexplode(endpoints).alias("nth", "e")).filter("e IS NOT NULL AND coalesce(e.addr, '') <> ''")
+    count = lambda name: F.coalesce(F.greatest(F.col(f"e.{name}"), F.lit(0)), F.lit(0)).alias(name.removesuffix("_bytes"))
+    port = F.concat(F.coalesce("e.proto", F.lit("?")), F.lit("/"), F.coalesce(F.col("e.port").cast("string"), F.lit("?")))
+    return each.select("key", "cls", "nth", "e.addr", F.coalesce("e.inbound", F.lit(False)).alias("inbound"), port.alias("port"), "e.external", "e.provider", *map(count, ("calls", "tx_bytes", "rx_bytes")))
+
+
+def nested_endpoints(records: DataFrame, *, key: str, cls: str, endpoints: str) -> DataFrame:
+    """Of each far end, direction and class: calls, bytes and records, with the end's chief port and provider.
+
+    A record counts once for an end, however often it lists it. The chief port has most calls, then
+    comes first by name; the provider is the first that a record, by key and place, tells.
+    """
+    each = _each_endpoint(records, key=key, cls=cls, endpoints=endpoints)
+    # Once by record, so that a record counts once; both levels combine before they shuffle.
+    by_record = each.groupBy("addr", "inbound", "cls", "key").agg(*(F.sum(c).alias(c) for c in ("calls", "tx", "rx")))
+    sums = by_record.groupBy("addr", "inbound", "cls").agg(*(F.sum(c).alias(c) for c in ("calls", "tx", "rx")), F.count(F.lit(1)).alias("records"))
+    ports = each.groupBy("addr", "inbound", "port").agg(F.sum("calls").alias("n")).groupBy("addr", "inbound").agg(F.min(F.struct((-F.col("n")).alias("n"), "port"))["port"].alias("port"), F.count(F.lit(1)).alias("ports"))
+    told = F.when(F.coalesce("provider", F.lit("")) != "", F.struct("key", "nth", "provider"))
+    facts = each.groupBy("addr", "inbound").agg(F.coalesce(F.bool_or("external"), F.lit(False)).alias("external"), F.min(told)["provider"].alias("provider"))
+    return sums.join(ports, ["addr", "inbound"]).join(facts, ["addr", "inbound"])
+
+
+def endpoint_coverage(records: DataFrame, *, key: str, cls: str, endpoints: str, lost: str, sent: str, received: str) -> DataFrame:
+    """Of each class: records that list far ends and what these add up to, what was lost count of, and traffic of records that list none."""
+    each = _each_endpoint(records, key=key, cls=cls, endpoints=endpoints)
+    listed = each.groupBy("cls").agg(F.sum("calls").alias("calls"), F.sum("tx").alias("tx"), F.sum("rx").alias("rx"))
+    has, traffic = F.col(endpoints).isNotNull(), F.coalesce(sent, F.lit(0)) + F.coalesce(received, F.lit(0))
+    silent = ~has & (traffic > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    own = records.groupBy(F.col(cls).alias("cls")).agg(
+        F.count_if(has).alias("records"), *(total(F.when(has, F.col(f"{lost}.{c}"))).alias(f"lost_{c.removesuffix('_bytes')}") for c in ("calls", "tx_bytes", "rx_bytes")),
+        F.count_if(silent).alias("missing"), total(F.when(silent, traffic)).alias("missing_bytes"),
+    )
+    return own.join(listed, "cls", "left").na.fill(0, ["calls", "tx", "rx"])

@@ -100,3 +100,24 @@ def density(records: DataFrame, *, us: str, kind: str, key: str, widths: tuple[i
     own = records.crossJoin(F.broadcast(span.select(choice.alias("width"))))  # one row
     binned = own.groupBy("width", F.floor(F.col(us) / (F.col("width") * 1_000_000)).cast("bigint").alias("bin"), F.col(kind).alias("kind"))
     return binned.agg(F.count(F.lit(1)).alias("starts"), F.min(key).alias("first_key"))
+
+
+def local_days(records: DataFrame, *, us: str, zone: str) -> DataFrame:
+    """(day, start_us, end_us, hours) of each local day from the first record's to the last's.
+
+    A day runs from one local midnight to the next: 23 or 25 hours where clocks change, and
+    from the first moment there is where midnight is skipped. Sessions run in UTC.
+    """
+    ends = records.agg(F.min(us).alias("a"), F.max(us).alias("b")).filter("a IS NOT NULL")
+    first, last = (F.to_date(F.from_utc_timestamp(F.timestamp_micros(c), zone)) for c in ("a", "b"))
+    days = ends.select(F.explode(F.sequence(first, last)).alias("day"))
+    midnight = lambda day: F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), zone))
+    days = days.select("day", midnight(F.col("day")).alias("start_us"), midnight(F.date_add("day", 1)).alias("end_us"))
+    return days.withColumn("hours", ((F.col("end_us") - F.col("start_us")) / 3_600_000_000).cast("double"))
+
+
+def by_local_day(records: DataFrame, *, us: str, zone: str, cost: str) -> DataFrame:
+    """(day, hours, n, cost) of every local day; a day without records has 0 and null."""
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+    sums = records.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), exact_sum(cost).alias("cost"))
+    return local_days(records, us=us, zone=zone).join(sums, "day", "left").select("day", "hours", F.coalesce("n", F.lit(0)).alias("n"), "cost")

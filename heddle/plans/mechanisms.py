@@ -1,12 +1,13 @@
-"""Growing files, waiting joins, ancestors in valid time, key index, saved and closing hours; tables as in ``queries``."""
+"""Growing files, waiting joins, ancestors in valid time, key index, saved and closing hours, newest rows, local days, nested far ends; tables as in ``queries``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import ancestry
-from ..sources import key_index, saved_hours
+from ..operators import ancestry, series
+from ..operators import events as ev
+from ..sources import feeds, key_index, readback, saved_hours
 from ..streaming import hour_close, live_bins, tail, waiting
 from .queries import AS_OF, E_SQL, H, S, dsum, events, query, read
 from .scratch import made, scratch
@@ -236,3 +237,73 @@ def stream_bins_closed(spark, d):
         flat = bins.select(F.floor(F.unix_micros("w.start") / H).alias("hour"), "cls", "n", "cost")
         flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("hour bigint, cls string, n bigint, cost double").parquet(out).filter("cls <> 'end'")
+
+
+# --- the newest rows
+
+
+@query(f"WITH {E_SQL}, r AS (SELECT event_id, us, cls, row_number() OVER (ORDER BY us DESC, event_id DESC) AS r FROM e WHERE cls = 'error') SELECT CAST((r - 1) // 15 AS INTEGER) AS page, event_id, us FROM r WHERE r <= 30")
+def newest_error_pages(spark, d):
+    """Two pages of the newest errors, each from the newest days alone."""
+    history = scratch(spark, "history")
+    feeds.write_history(read(spark, d, "events"), history, ts="ts")
+    page = lambda before: readback.newest_rows(spark, history, 15, at="ts", key="event_id", where=F.col("event_type") == "error", before=before)
+    first = page(None)
+    last = first.agg(F.min(F.struct("ts", "event_id")).alias("m")).first()["m"]
+    pages = [first, page((last["ts"], last["event_id"]))]
+    own = [p.select(F.lit(i).alias("page"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")) for i, p in enumerate(pages)]
+    return own[0].unionByName(own[1])
+
+
+# --- local days
+
+ZONE = "America/New_York"
+
+
+@query(f"""WITH o AS (SELECT epoch_us(o_orderdate) + o_orderkey % 24 * {H} AS us, o_totalprice FROM orders), l AS (SELECT CAST(timezone('{ZONE}', make_timestamptz(us)) AS DATE) AS day, o_totalprice FROM o),
+b AS (SELECT min(day) AS a, max(day) AS z FROM l), s AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
+g AS (SELECT day, count(*) AS n, {dsum("o_totalprice")} AS cost FROM l GROUP BY day)
+SELECT day, (epoch_us(timezone('{ZONE}', (day + 1)::TIMESTAMP)) - epoch_us(timezone('{ZONE}', day::TIMESTAMP))) / {H}.0::DOUBLE AS hours, coalesce(n, 0) AS n, cost FROM s LEFT JOIN g USING (day)""")
+def orders_by_local_day(spark, d):
+    """Days of New York, two of each year with 23 or 25 hours."""
+    orders = read(spark, d, "orders").withColumn("us", F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 24 * H)
+    return series.by_local_day(orders, us="us", zone=ZONE, cost="o_totalprice")
+
+
+# --- far ends in nested lists
+
+
+def _linked(spark, d):
+    """Events as lines of JSON with nested lists, read again."""
+    end = lambda i: F.struct(
+        F.concat(F.lit("10.0.0."), ((F.col("event_id") + i) % 7).cast("string")).alias("addr"), F.when(i < 3, 80 + i).alias("port"), F.when((F.col("k") + i) % 4 > 0, "tcp").alias("proto"), ((F.col("event_id") + i) % 5 == 0).alias("inbound"),
+        ((F.col("k") + i) % 11 == 0).alias("external"), F.when((F.col("k") + i) % 3 == 0, F.concat(F.lit("p"), F.col("host"))).alias("provider"), (i + 1).alias("calls"), (F.col("k") + i).alias("tx_bytes"), (2 * i).alias("rx_bytes"),
+    )
+    lost = F.when(F.col("k") % 6 == 0, F.struct((F.col("k") % 3).alias("calls"), (F.col("k") % 5).alias("tx_bytes"), F.lit(1).alias("rx_bytes")))
+    lists = F.when(F.col("k") % 9 > 0, F.transform(F.when(F.col("k") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("k") % 4)), end))
+    rows = events(spark, d).select("event_id", "cls", lists.alias("endpoints"), lost.alias("lost"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("sent"), F.lit(0).alias("received"))
+    path = scratch(spark, "linked")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    schema = spark.createDataFrame([], f"event_id bigint, cls string, endpoints array<struct<{ev.ENDPOINT}>>, lost struct<{ev.LOST}>, sent bigint, received bigint").schema
+    return feeds.read_jsonl(spark, path, schema)[0]
+
+
+FAR_SQL = f"""{E_SQL}, x AS (SELECT event_id, cls, k, host, unnest(CASE WHEN k % 4 = 0 THEN [] ELSE range(0, k % 4 + 1) END) AS i FROM e WHERE k % 9 > 0),
+f AS (SELECT event_id AS key, cls, i, '10.0.0.' || ((event_id + i) % 7) AS addr, (event_id + i) % 5 = 0 AS inbound, CASE WHEN (k + i) % 4 > 0 THEN 'tcp' ELSE '?' END || '/' || CASE WHEN i < 3 THEN CAST(80 + i AS VARCHAR) ELSE '?' END AS port,
+  (k + i) % 11 = 0 AS external, CASE WHEN (k + i) % 3 = 0 THEN 'p' || host END AS provider, i + 1 AS calls, k + i AS tx, 2 * i AS rx FROM x)"""
+
+
+@query(f"""WITH {FAR_SQL}, s AS (SELECT addr, inbound, cls, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tx) AS BIGINT) AS tx, CAST(sum(rx) AS BIGINT) AS rx, count(DISTINCT key) AS records FROM f GROUP BY ALL),
+q AS (SELECT addr, inbound, port, sum(calls) AS n FROM f GROUP BY ALL), p AS (SELECT addr, inbound, first(port ORDER BY n DESC, port) AS port, count(*) AS ports FROM q GROUP BY ALL),
+t AS (SELECT addr, inbound, bool_or(external) AS external, first(provider ORDER BY key, i) FILTER (provider IS NOT NULL) AS provider FROM f GROUP BY ALL)
+SELECT * FROM s JOIN p USING (addr, inbound) JOIN t USING (addr, inbound)""")
+def far_ends(spark, d):
+    return ev.nested_endpoints(_linked(spark, d), key="event_id", cls="cls", endpoints="endpoints")
+
+
+@query(f"""WITH {FAR_SQL}, l AS (SELECT cls, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tx) AS BIGINT) AS tx, CAST(sum(rx) AS BIGINT) AS rx FROM f GROUP BY cls),
+o AS (SELECT cls, count(*) FILTER (k % 9 > 0) AS records, CAST(coalesce(sum(k % 3) FILTER (k % 9 > 0 AND k % 6 = 0), 0) AS BIGINT) AS lost_calls, CAST(coalesce(sum(k % 5) FILTER (k % 9 > 0 AND k % 6 = 0), 0) AS BIGINT) AS lost_tx,
+  count(*) FILTER (k % 9 > 0 AND k % 6 = 0) AS lost_rx, count(*) FILTER (k % 9 = 0 AND k % 2 = 0 AND k > 0) AS missing, CAST(coalesce(sum(k) FILTER (k % 9 = 0 AND k % 2 = 0), 0) AS BIGINT) AS missing_bytes FROM e GROUP BY cls)
+SELECT o.*, coalesce(calls, 0) AS calls, coalesce(tx, 0) AS tx, coalesce(rx, 0) AS rx FROM o LEFT JOIN l USING (cls)""")
+def far_end_coverage(spark, d):
+    return ev.endpoint_coverage(_linked(spark, d), key="event_id", cls="cls", endpoints="endpoints", lost="lost", sent="sent", received="received")

@@ -51,3 +51,9 @@ def made(spark: SparkSession, path: str) -> str:
 def removed(spark: SparkSession, path: str) -> bool:
     fs, hadoop = _fs(spark, path)
     return fs.delete(hadoop, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below the path."""
+    fs, hadoop = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory()]

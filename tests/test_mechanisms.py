@@ -6,9 +6,9 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import ancestry
+from heddle.operators import ancestry, events, series
 from heddle.plans import scratch
-from heddle.sources import key_index, saved_hours
+from heddle.sources import key_index, readback, saved_hours
 from heddle.streaming import hour_close, tail, waiting
 
 S = 1_000_000
@@ -241,3 +241,46 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch(Session(), "x")
+
+
+# --- the newest rows, local days, nested far ends
+
+
+def test_newest_rows_open_the_newest_days_alone(spark, tmp_path):
+    history = f"file://{tmp_path}/history"
+    rows = [(i, f"2024-01-{1 + i // 10:02d} 00:00:{i % 10:02d}", i % 3) for i in range(100)]
+    spark.createDataFrame(rows, "id int, ts string, k int").withColumn("ts", F.to_timestamp("ts")).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(history)
+    got = readback.newest_rows(spark, history, 5, at="ts", key="id")
+    assert [r.id for r in got.collect()] == [99, 98, 97, 96, 95] and all("day=2024-01-10" in f for f in got.inputFiles())
+    third = readback.newest_rows(spark, history, 5, at="ts", key="id", where=F.col("k") == 0)
+    assert [r.id for r in third.collect()] == [99, 96, 93, 90, 87] and {f.split("day=")[1][:10] for f in third.inputFiles()} <= {"2024-01-10", "2024-01-09", "2024-01-08"}
+    last = third.collect()[-1]
+    assert [r.id for r in readback.newest_rows(spark, history, 3, at="ts", key="id", where=F.col("k") == 0, before=(last.ts, last.id)).collect()] == [84, 81, 78]
+    assert readback.newest_rows(spark, history, 500, at="ts", key="id").count() == 100
+    assert readback.newest_rows(spark, history, 5, at="ts", key="id", where=F.col("k") == 9).count() == 0
+
+
+def test_local_days_of_23_and_25_hours(spark):
+    us = lambda t: F.unix_micros(F.lit(t).cast("timestamp"))
+    df = spark.range(2).select(F.when(F.col("id") == 0, us("2024-03-09 12:00:00")).otherwise(us("2024-11-04 12:00:00")).alias("us"), F.lit(1.5).alias("cost"))
+    days = {str(r.day): r for r in series.by_local_day(df, us="us", zone="America/New_York", cost="cost").collect()}
+    assert len(days) == 241 and {d for d, r in days.items() if r.hours != 24} == {"2024-03-10", "2024-11-03"}
+    assert days["2024-03-10"].hours == 23 and days["2024-11-03"].hours == 25 and days["2024-03-10"].n == 0 and days["2024-03-10"].cost is None and days["2024-03-09"].n == 1
+    spans = series.local_days(df, us="us", zone="America/New_York").orderBy("day").collect()
+    assert all(a.end_us == b.start_us for a, b in zip(spans, spans[1:]))
+    assert series.by_local_day(df.limit(0), us="us", zone="America/New_York", cost="cost").count() == 0
+
+
+def test_far_ends(spark):
+    schema = f"key int, cls string, ends array<struct<{events.ENDPOINT}>>, lost struct<{events.LOST}>, sent bigint, received bigint"
+    rows = [
+        (1, "a", [("h", 80, "tcp", False, None, None, 1, 10, 5), ("h", 443, "tcp", None, True, "p2", 3, 1, -4), None, ("", 1, "x", True, True, "no", 9, 9, 9)], (1, 2, 3), 7, 7),
+        (2, "a", [("h", 80, "tcp", False, False, "p1", 2, None, 1), ("g", None, None, True, False, "", 1, 1, 1)], None, None, None),
+        (3, "b", None, (5, 5, 5), 4, None), (4, "b", [], None, 4, 4), (5, "b", None, None, 0, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.addr, r.inbound, r.cls): (r.calls, r.tx, r.rx, r.records, r.port, r.ports, r.external, r.provider) for r in events.nested_endpoints(df, key="key", cls="cls", endpoints="ends").collect()}
+    assert got == {("h", False, "a"): (6, 11, 6, 2, "tcp/443", 2, True, "p2"), ("g", True, "a"): (1, 1, 1, 1, "?/?", 1, False, None)}
+    cover = {r.cls: r.asDict() for r in events.endpoint_coverage(df, key="key", cls="cls", endpoints="ends", lost="lost", sent="sent", received="received").collect()}
+    assert cover["a"] == {"cls": "a", "records": 2, "lost_calls": 1, "lost_tx": 2, "lost_rx": 3, "missing": 0, "missing_bytes": 0, "calls": 7, "tx": 12, "rx": 7}
+    assert cover["b"] == {"cls": "b", "records": 1, "lost_calls": 0, "lost_tx": 0, "lost_rx": 0, "missing": 1, "missing_bytes": 4, "calls": 0, "tx": 0, "rx": 0}
