@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import ancestry, series
+from ..operators import ancestry, series, workspace
 from ..operators import events as ev
 from ..sources import feeds, key_index, readback, saved_hours
 from ..streaming import hour_close, live_bins, tail, waiting
@@ -307,3 +307,38 @@ o AS (SELECT cls, count(*) FILTER (k % 9 > 0) AS records, CAST(coalesce(sum(k %
 SELECT o.*, coalesce(calls, 0) AS calls, coalesce(tx, 0) AS tx, coalesce(rx, 0) AS rx FROM o LEFT JOIN l USING (cls)""")
 def far_end_coverage(spark, d):
     return ev.endpoint_coverage(_linked(spark, d), key="event_id", cls="cls", endpoints="endpoints", lost="lost", sent="sent", received="received")
+
+
+# --- where agents worked
+
+#: Deep paths of many and of few siblings, below the users' homes
+DIR_SQL = """'/home/u' || (user_id % 5) || '/p' || (k % 20) || CASE WHEN k % 7 = 0 THEN '' ELSE '/run' || (event_id % 23) || CASE WHEN k % 3 = 0 THEN '' ELSE '/d' || (event_id % 4) || '/e' || (k % 9) || '/f' || (k % 2) END END"""
+
+
+def _level_sql(level: int) -> str:
+    most, keep = workspace.TOP if level == 1 else workspace.BELOW
+    return f"""a{level} AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS parent FROM o{level} WHERE level = {level}),
+b{level} AS (SELECT *, count(*) OVER w > {most} AND row_number() OVER (w ORDER BY procs + 3 * names DESC, path) > {keep} AS folds FROM a{level} WINDOW w AS (PARTITION BY agent, anchor, parent)),
+o{level - 1} AS (SELECT agent, anchor, path, level, sum(raw) AS raw, sum(procs) AS procs, sum(names) AS names FROM (SELECT agent, anchor, path, level, raw, procs, names FROM o{level} WHERE level < {level}
+  UNION ALL SELECT agent, anchor, parent, {level - 1}, raw, procs, names FROM b{level} WHERE folds) GROUP BY ALL)"""
+
+
+@query(f"""WITH {E_SQL}, d AS (SELECT user_id % 10 AS agent, '/home/u' || (user_id % 5) AS anchor, {DIR_SQL} AS full_path, count(*) AS procs, count(DISTINCT k % 6) AS names FROM e GROUP BY ALL),
+s AS (SELECT *, list_filter(string_split(substr(full_path, length(anchor) + 1), '/'), lambda x: x <> '')[:4] AS steps FROM d),
+o4 AS (SELECT agent, anchor, anchor || CASE WHEN len(steps) > 0 THEN '/' || array_to_string(steps, '/') ELSE '' END AS path, len(steps) AS level, count(*) AS raw, sum(procs) AS procs, sum(names) AS names FROM s GROUP BY ALL),
+{", ".join(_level_sql(level) for level in (4, 3, 2, 1))},
+z AS (SELECT agent, anchor, path, level, raw, procs, names FROM o0 {" ".join(f"UNION ALL SELECT agent, anchor, path, level, raw, procs, names FROM b{level} WHERE NOT folds" for level in (1, 2, 3, 4))})
+SELECT agent, anchor, path, CAST(level AS INTEGER) AS level, CAST(raw AS BIGINT) AS raw, CAST(procs AS BIGINT) AS procs, CAST(names AS BIGINT) AS names FROM z""")
+def workspace_rolled_up(spark, d):
+    full = F.expr(DIR_SQL)
+    dirs = events(spark, d).groupBy((F.col("user_id") % 10).alias("agent"), F.concat(F.lit("/home/u"), F.col("user_id") % 5).alias("anchor"), full.alias("path")).agg(F.count(F.lit(1)).alias("procs"), F.countDistinct(F.col("k") % 6).alias("names"))
+    return workspace.rolled_up(dirs, by="agent", path="path", anchor="anchor", measures=["procs", "names"], activity=F.col("procs") + 3 * F.col("names"))
+
+
+@query()
+def tasks_merged(spark, d):
+    """Pieces are a user's events of half an hour and class; at most two tasks a day stay."""
+    piece = F.floor(F.col("us") / (H // 2))
+    pieces = events(spark, d).groupBy("user_id", piece.alias("piece")).agg(F.min("us").alias("at"), F.sort_array(F.collect_set(F.col("k") % 12)).alias("names"))
+    pieces = pieces.withColumns({"day": F.floor(F.col("at") / (24 * H)), "stretch": F.floor(F.col("at") / (72 * H))})
+    return workspace.merged_tasks(pieces, by="user_id", at="at", day="day", stretch="stretch", names="names", cap=2)

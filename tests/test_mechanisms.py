@@ -6,7 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import ancestry, events, series
+from heddle.operators import ancestry, events, series, workspace
 from heddle.plans import scratch
 from heddle.sources import key_index, readback, saved_hours
 from heddle.streaming import hour_close, tail, waiting
@@ -284,3 +284,70 @@ def test_far_ends(spark):
     cover = {r.cls: r.asDict() for r in events.endpoint_coverage(df, key="key", cls="cls", endpoints="ends", lost="lost", sent="sent", received="received").collect()}
     assert cover["a"] == {"cls": "a", "records": 2, "lost_calls": 1, "lost_tx": 2, "lost_rx": 3, "missing": 0, "missing_bytes": 0, "calls": 7, "tx": 12, "rx": 7}
     assert cover["b"] == {"cls": "b", "records": 1, "lost_calls": 0, "lost_tx": 0, "lost_rx": 0, "missing": 1, "missing_bytes": 4, "calls": 0, "tx": 0, "rx": 0}
+
+
+# --- where agents worked
+
+
+def rolled(dirs, depth, top, below):
+    """The same, row by row: dirs {path: procs} below one anchor '/a'."""
+    rows = {}
+    for path, n in dirs.items():
+        steps = [s for s in path[2:].split("/") if s][:depth]
+        raw, procs = rows.get(tuple(steps), (0, 0))
+        rows[tuple(steps)] = (raw + 1, procs + n)
+    for level in range(depth, 0, -1):
+        most, keep = top if level == 1 else below
+        for parent in {p[:-1] for p in rows if len(p) == level}:
+            kids = sorted((p for p in rows if len(p) == level and p[:-1] == parent), key=lambda p: (-rows[p][1], p))
+            for p in kids[keep:] if len(kids) > most else []:
+                raw, procs = rows.pop(p)
+                a, b = rows.get(parent, (0, 0))
+                rows[parent] = (a + raw, b + procs)
+    return {"/a" + "".join(f"/{s}" for s in p): v for p, v in rows.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_directories_roll_up(spark, seed):
+    r = random.Random(seed)
+    dirs = {"/a" + "".join(f"/{r.choice('bcdefgh')}" for _ in range(r.randint(0, 6))): r.randint(1, 5) for _ in range(150)}
+    df = spark.createDataFrame([("x", p + ("/" if i % 5 == 0 else ""), "/a", n) for i, (p, n) in enumerate(dirs.items())], "agent string, path string, anchor string, procs bigint")
+    got = workspace.rolled_up(df, by="agent", path="path", anchor="anchor", measures=["procs"], activity=F.col("procs"), depth=3, top=(4, 2), below=(3, 1))
+    assert {x.path: (x.raw, x.procs) for x in got.collect()} == rolled(dirs, 3, (4, 2), (3, 1))
+
+
+def merged_one_by_one(days, stretches, names, cap):
+    """Look at all pairs before each merge."""
+    flat = [(d, s, set(x), [i]) for i, (d, s, x) in enumerate(zip(days, stretches, names))]
+    while True:
+        held = {}
+        for d, *_ in flat:
+            held[d] = held.get(d, 0) + 1
+        pairs = [(workspace.jaccard(a[2], b[2]), a[0] == b[0], -k, k) for k, (a, b) in enumerate(zip(flat, flat[1:])) if a[1] == b[1] and held[b[0]] > cap and a[0] in (b[0], b[0] - 1)]
+        if not pairs:
+            return [next(g[3][0] for g in flat if i in g[3]) for i in range(len(days))]
+        k = max(pairs)[3]
+        a, b = flat[k], flat.pop(k + 1)
+        flat[k] = (a[0], a[1], a[2] | b[2], a[3] + b[3])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pieces_merge_as_one_by_one(seed):
+    r = random.Random(seed)
+    n = r.randint(0, 40)
+    days = sorted(r.randint(0, 5) for _ in range(n))
+    stretches = sorted(r.randint(0, 3) for _ in range(n))
+    names = [{r.choice("abcdef") for _ in range(r.randint(0, 4))} for _ in range(n)]
+    for cap in (1, 2, 5):
+        assert workspace.merged_pieces(days, stretches, names, cap) == merged_one_by_one(days, stretches, names, cap)
+
+
+def test_tasks_merge_by_session(spark):
+    r = random.Random(3)
+    rows = [(s, t, t // 10, t // 40, [r.choice("abcd") for _ in range(3)]) for s in "xyz" for t in sorted(r.sample(range(100), 30))]
+    df = spark.createDataFrame(rows, "s string, t bigint, day bigint, stretch bigint, names array<string>")
+    got = {(x.grp, x.at): x.task_at for x in workspace.merged_tasks(df, by="s", at="t", day="day", stretch="stretch", names="names", cap=2).collect()}
+    for s in "xyz":
+        own = [x for x in rows if x[0] == s]
+        head = merged_one_by_one([x[2] for x in own], [x[3] for x in own], [set(x[4]) for x in own], 2)
+        assert [got[s, x[1]] for x in own] == [own[h][1] for h in head]
