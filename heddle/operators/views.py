@@ -95,3 +95,42 @@ def submissions_by_class(records: DataFrame, *, cls: str, outcome: Column, query
         F.count_distinct("_s").alias("shapes"), exact_sum(F.when(F.col("_o") == "job", F.col("_h"))).alias("hours"), pct(n("rejected"), asked).alias("rejected_pct"),
         (F.count_if("_q") + 10 * (n("job") + n("rejected")) + n("step")).alias("weight"),
     )
+
+
+def batch_use_by_session(records: DataFrame, *, session: str, us: str, kind: Column, outcome: Column, partition: Column, gpus: Column, tasks: Column, limit_s: Column, failed: Column) -> DataFrame:
+    """What each session asked of the batch system.
+
+    ``kind`` is submit, query, cancel or run, else the record is of no account. Submissions come by outcome;
+    jobs' partitions (a list, comma-separated) are counted each, and the chief one has most jobs, then comes
+    first by name; GPU hours are known where a job's limit is; ``peak_minute`` is the most jobs in one minute.
+    An array whose size cannot be read counts as one task, and its hours as unknown: ``tasks`` is then 0.
+    """
+    own = records.select(
+        F.col(session).alias("session"), F.col(us).alias("us"), kind.alias("kind"), outcome.alias("outcome"), partition.alias("partition"), gpus.alias("gpus"), tasks.alias("tasks"), limit_s.alias("limit_s"), failed.alias("failed")
+    ).filter("kind IN ('submit', 'query', 'cancel', 'run')")
+    is_job = (F.col("kind") == "submit") & (F.col("outcome") == "job")
+    on_gpus = is_job & (F.col("gpus") > 0)
+    size = F.when(F.coalesce("tasks", F.lit(1)) > 0, F.coalesce("tasks", F.lit(1))).otherwise(1)
+    known = on_gpus & (F.col("limit_s") > 0) & (F.coalesce("tasks", F.lit(1)) > 0)
+    out = lambda name: F.count_if((F.col("kind") == "submit") & (F.col("outcome") == name)).alias(name)
+    n = lambda name: F.count_if(F.col("kind") == name)
+    sums = own.groupBy("session").agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), *map(out, ("job", "rejected", "no_id", "step", "dry_run")), n("query").alias("queries"), n("cancel").alias("cancels"), n("run").alias("runs"),
+        F.count_if((F.col("kind") == "run") & F.coalesce("failed", F.lit(False))).alias("runs_failed"), F.count_if(on_gpus).alias("gpu_jobs"), F.coalesce(F.sum(F.when(on_gpus, F.col("gpus") * size)), F.lit(0)).alias("gpus"),
+        exact_sum(F.when(known, F.col("gpus") * size * F.col("limit_s") / F.lit(3600.0))).alias("gpu_hours"), F.count_if(known).alias("gpu_hours_known"),
+    )
+    jobs = own.filter(is_job)
+    peak = jobs.groupBy("session", F.floor(F.col("us") / 60_000_000).alias("minute")).agg(F.count(F.lit(1)).alias("k")).groupBy("session").agg(F.max("k").alias("peak_minute"))
+    each = jobs.select("session", F.explode(F.split("partition", ",")).alias("p")).withColumn("p", F.trim("p")).filter("p <> ''")
+    used = each.groupBy("session", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("session").agg(F.count(F.lit(1)).alias("partitions"), F.min(F.struct((-F.col("k")).alias("k"), "p"))["p"].alias("chief_partition"))
+    both = sums.join(peak, "session", "left").join(used, "session", "left").na.fill(0, ["peak_minute", "partitions"])
+    return both.withColumn("queries_a_job", F.when(F.col("job") > 0, F.round(F.col("queries") / F.col("job"), 4)))
+
+
+def top_exits(records: DataFrame, *, cls: str, verdict: Column, code: Column, signal: Column, most: int = 8) -> DataFrame:
+    """(cls, kind, value, n, rank): each class's commonest codes of failures and signals; of equal counts the smaller value."""
+    kind = F.when(verdict.isin("signal", "pipe"), F.struct(F.lit("signal").alias("kind"), signal.cast("bigint").alias("value"))).when(verdict == "nonzero", F.struct(F.lit("code").alias("kind"), code.cast("bigint").alias("value")))
+    counts = records.select(F.col(cls).alias("cls"), kind.alias("x")).filter("x IS NOT NULL").groupBy("cls", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql.window import Window
+
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("cls", "kind").orderBy(F.desc("n"), "value"))).filter(F.col("rank") <= most)

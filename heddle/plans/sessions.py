@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import taxonomy
+from ..functions import taxonomy, text
 from ..operators import lineage, views
 from .queries import AS_OF, E_SQL, H, S, dpct, dsum, events, query, read
 from .records import SUBMITS, _pick, _pick_sql
@@ -62,3 +62,37 @@ def calls_of_processes(spark, d):
     calls = lineage.owners(own, key="event_id", parent="parent", is_owner=F.col("direct"))
     both = e.join(calls.select(F.col("key").alias("event_id"), F.col("owner").alias("call")), "event_id", "left")
     return both.groupBy(F.coalesce("call", F.lit(-1)).alias("call")).agg(F.count(F.lit(1)).alias("processes"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("cost"))
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT user_id AS session, us, k, CASE WHEN cls IN ('click', 'view') THEN 'submit' WHEN cls = 'signup' THEN 'query' WHEN k % 2 = 0 THEN 'cancel' WHEN cls = 'error' THEN 'run' END AS kind,
+  CASE k % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'dry_run' WHEN 2 THEN 'step' WHEN 3 THEN 'no_id' ELSE 'job' END AS o0, event_id FROM e),
+y AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN 'job' ELSE o0 END AS o, CASE k % 4 WHEN 0 THEN 'gpu,test' WHEN 1 THEN 'gpu' WHEN 2 THEN ' shared , gpu' ELSE NULL END AS part, CASE WHEN k % 3 > 0 THEN k % 3 END AS g,
+  CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE k % 6 END AS tasks, CASE WHEN k % 7 > 0 THEN (k % 7) * 1800 END AS lim FROM x WHERE kind IS NOT NULL),
+s AS (SELECT session, min(us) AS first_us, max(us) AS last_us, {", ".join(f"count(*) FILTER (kind = 'submit' AND o = '{o}') AS {o}" for o in ("job", "rejected", "no_id", "step", "dry_run"))},
+  count(*) FILTER (kind = 'query') AS queries, count(*) FILTER (kind = 'cancel') AS cancels, count(*) FILTER (kind = 'run') AS runs, count(*) FILTER (kind = 'run' AND k % 4 = 1) AS runs_failed,
+  count(*) FILTER (kind = 'submit' AND o = 'job' AND g > 0) AS gpu_jobs, CAST(coalesce(sum(g * CASE WHEN coalesce(tasks, 1) > 0 THEN coalesce(tasks, 1) ELSE 1 END) FILTER (kind = 'submit' AND o = 'job' AND g > 0), 0) AS BIGINT) AS gpus,
+  CAST(sum(CAST(g * coalesce(tasks, 1) * lim / 3600.0::DOUBLE AS DECIMAL(18,4))) FILTER (kind = 'submit' AND o = 'job' AND g > 0 AND lim > 0 AND coalesce(tasks, 1) > 0) AS DOUBLE) AS gpu_hours,
+  count(*) FILTER (kind = 'submit' AND o = 'job' AND g > 0 AND lim > 0 AND coalesce(tasks, 1) > 0) AS gpu_hours_known FROM y GROUP BY session),
+m AS (SELECT session, max(n) AS peak_minute FROM (SELECT session, us // 60000000, count(*) AS n FROM y WHERE kind = 'submit' AND o = 'job' GROUP BY ALL) GROUP BY session),
+q AS (SELECT session, trim(p) AS p, count(*) AS n FROM (SELECT session, unnest(string_split(part, ',')) AS p FROM y WHERE kind = 'submit' AND o = 'job') GROUP BY ALL),
+r AS (SELECT session, count(*) AS partitions, first(p ORDER BY n DESC, p) AS chief_partition FROM q GROUP BY session)
+SELECT s.*, coalesce(peak_minute, 0) AS peak_minute, coalesce(partitions, 0) AS partitions, chief_partition, CASE WHEN job > 0 THEN round(queries / job, 4) END AS queries_a_job FROM s LEFT JOIN m USING (session) LEFT JOIN r USING (session)""")
+def batch_use_by_session(spark, d):
+    k, cls = F.col("k"), F.col("cls")
+    kind = F.when(cls.isin("click", "view"), "submit").when(cls == "signup", "query").when(k % 2 == 0, "cancel").when(cls == "error", "run")
+    outcome = F.when(F.col("event_id") % 3 > 0, "job").otherwise(F.element_at(F.array(*map(F.lit, ("rejected", "dry_run", "step", "no_id", "job"))), (k % 5 + 1).cast("int")))
+    partition = F.when(k % 4 == 0, "gpu,test").when(k % 4 == 1, "gpu").when(k % 4 == 2, " shared , gpu")
+    tasks = F.when(k % 6 == 1, 0).when(k % 6 > 1, k % 6)
+    return views.batch_use_by_session(
+        events(spark, d), session="user_id", us="us", kind=kind, outcome=outcome, partition=partition, gpus=F.when(k % 3 > 0, k % 3), tasks=tasks, limit_s=F.when(k % 7 > 0, (k % 7) * 1800), failed=k % 4 == 1
+    )
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT cls, CASE WHEN k % 20 = 7 THEN 13 WHEN k % 20 = 8 THEN 9 + k // 20 ELSE 0 END AS sig, CASE WHEN k % 10 = 9 THEN NULL ELSE k % 13 END AS code FROM e),
+y AS (SELECT cls, CASE WHEN sig <> 0 THEN 'signal' ELSE 'code' END AS kind, CAST(CASE WHEN sig <> 0 THEN sig ELSE code END AS BIGINT) AS value FROM x WHERE sig <> 0 OR (code > 0 AND NOT (code = 1 AND cls = 'view'))),
+c AS (SELECT cls, kind, value, count(*) AS n FROM y GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY cls, kind ORDER BY n DESC, value) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 8""")
+def top_exits(spark, d):
+    k = F.col("k")
+    signal, code = F.when(k % 20 == 7, 13).when(k % 20 == 8, 9 + F.floor(k / 20)).otherwise(0), F.when(k % 10 != 9, k % 13)
+    verdict = text.verdict(code, signal, F.when(F.col("cls") == "view", "grep").otherwise("make"))
+    return views.top_exits(events(spark, d), cls="cls", verdict=verdict, code=code, signal=signal)

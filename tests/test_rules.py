@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import taxonomy, text
-from heddle.operators import panels, risk, stats, trees
+from heddle.operators import panels, risk, stats, trees, views
 from heddle.plans.records import RISKY_LINES
 from heddle.sources import feeds
 
@@ -108,3 +108,24 @@ def test_nearest_ranks_over_many_partitions(spark):
     s = sorted(values["a"])
     assert got["a"]["n"] == 101 and got["a"]["ceil_p50"] == s[50] and got["a"]["half_even_p50"] == s[50] and got["a"]["half_even_p100"] == s[100] and got["a"]["floor_p0"] == s[0]
     assert got["b"]["n"] == 1 and got["b"]["ceil_p100"] == 1.5 and "c" not in got
+
+
+def test_batch_use_by_session(spark):
+    m = 60_000_000
+    rows = [
+        ("a", 0, "submit", "job", "gpu, test,", 2, None, 3600), ("a", 1, "submit", "job", "gpu", 1, 4, 1800), ("a", m, "submit", "job", None, 1, 0, 3600), ("a", 2 * m, "submit", "job", "test", None, None, None), ("a", 5, "submit", "rejected", "x", 8, 1, 9),
+        ("a", 6, "query", None, None, None, None, None), ("a", 7, "query", None, None, None, None, None), ("a", 8, "run", None, None, None, None, None), ("a", 9, None, None, None, None, None, None), ("b", 3, "cancel", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "s string, us bigint, kind string, o string, p string, g int, t int, l int")
+    got = {r.session: r for r in views.batch_use_by_session(df, session="s", us="us", kind=F.col("kind"), outcome=F.col("o"), partition=F.col("p"), gpus=F.col("g"), tasks=F.col("t"), limit_s=F.col("l"), failed=F.lit(True)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.job, a.rejected, a.queries, a.runs, a.runs_failed, a.cancels) == (4, 1, 2, 1, 1, 0) and (a.first_us, a.last_us) == (0, 2 * m)
+    assert (a.gpu_jobs, a.gpus, a.gpu_hours, a.gpu_hours_known) == (3, 7, 4.0, 2) and (a.peak_minute, a.partitions, a.chief_partition, a.queries_a_job) == (2, 2, "gpu", 0.5)
+    assert (b.job, b.cancels, b.peak_minute, b.partitions, b.chief_partition, b.queries_a_job, b.gpu_hours) == (0, 1, 0, 0, None, None, None)
+
+
+def test_top_exits(spark):
+    rows = [("a", "nonzero", c, 0) for c in (2, 2, 3, 4, 5, 6, 7, 8, 9, 10)] + [("a", "signal", None, 9), ("a", "pipe", None, 13), ("a", "signal", None, 9), ("a", "answer", 1, 0), ("a", None, 0, 0), ("a", "none", None, None)]
+    df = spark.createDataFrame(rows, "c string, v string, code int, sig int")
+    got = sorted((r.kind, r["rank"], r.value, r.n) for r in views.top_exits(df, cls="c", verdict=F.col("v"), code=F.col("code"), signal=F.col("sig")).collect())
+    assert got == [("code", 1, 2, 2), *(("code", i, i + 1, 1) for i in range(2, 9)), ("signal", 1, 9, 2), ("signal", 2, 13, 1)]
