@@ -10,11 +10,11 @@ from ..operators import events as ev
 from ..sources import feeds, key_index, readback, saved_hours
 from ..streaming import hour_close, live_bins, tail, waiting
 from .queries import AS_OF, E_SQL, H, S, dsum, events, query, read
-from .scratch import made, scratch
+from .scratch import made, scratch, written
 
 # --- files that grow
 
-TAIL_DAY = 24 * H
+TAIL_DAYS = 240 * H  # a file holds ten days of a host
 
 
 def _append(batches):
@@ -44,11 +44,11 @@ def grown(fragments, root: str, step: int) -> None:
     own.select(F.lit(root).alias("root"), "file", "text").mapInArrow(_append, "n bigint").agg(F.sum("n")).collect()
 
 
-@query(f"""WITH {E_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY host, us // {TAIL_DAY} ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY host, us // {TAIL_DAY}) AS n FROM e)
+@query(f"""WITH {E_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY host, us // {TAIL_DAYS} ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY host, us // {TAIL_DAYS}) AS n FROM e)
 SELECT host, cls, us // {H} AS hour, count(*) AS n, {dsum("value")} AS cost FROM l WHERE i < n GROUP BY ALL""")
 def stream_growing_files(spark, d):
-    """A file for each host and day grows in three steps that end within a line; the last line of each stays torn."""
-    e = events(spark, d).select("event_id", "us", "cls", "value", "host", F.concat("host", F.lit("-"), F.floor(F.col("us") / TAIL_DAY), F.lit(".jsonl")).alias("file"))
+    """A file for each host and ten days grows in three steps that end within a line; the last line of each stays torn."""
+    e = events(spark, d).select("event_id", "us", "cls", "value", "host", F.concat("host", F.lit("-"), F.floor(F.col("us") / TAIL_DAYS), F.lit(".jsonl")).alias("file"))
     by_file = Window.partitionBy("file")
     placed = e.withColumns({"i": F.row_number().over(by_file.orderBy("us", "event_id")), "of": F.count(F.lit(1)).over(by_file)})
     placed = placed.withColumn("step", F.floor(3 * (F.col("i") - 1) / F.col("of")).cast("int")).withColumn("torn", F.max("i").over(Window.partitionBy("file", "step")) == F.col("i"))
@@ -58,9 +58,10 @@ def stream_growing_files(spark, d):
         return F.struct(step.alias("step"), place.cast("double").alias("place"), text.alias("text"))
 
     here, at = F.col("step"), F.col("i")
-    half = F.array(piece(here, at, F.left(line, F.lit(20))), piece(here + 1, at + 0.5, F.concat(F.substring(line, 21, 1 << 30), F.lit("\n"))))
+    head, rest = piece(here, at, F.left(line, F.lit(20))), piece(here + 1, at + 0.5, F.concat(F.substring(line, 21, 1 << 30), F.lit("\n")))
+    half = F.when(F.col("i") == F.col("of"), F.array(head)).otherwise(F.array(head, rest))
     whole = F.array(piece(here, at, F.concat(line, F.lit("\n"))))
-    fragments = placed.select("file", F.explode(F.when(F.col("torn"), half).otherwise(whole)).alias("f")).select("file", "f.*")
+    fragments = written(placed.select("file", F.explode(F.when(F.col("torn"), half).otherwise(whole)).alias("f")).select("file", "f.*"), "fragments")
 
     root, out, state = made(spark, scratch(spark, "growing")), scratch(spark, "lines"), scratch(spark, "offsets")
     spark.dataSource.register(tail.TailSource)
