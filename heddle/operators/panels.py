@@ -27,6 +27,23 @@ def resources_by_class(records: DataFrame, *, cls: str, run: str, duration: str,
     return records.groupBy(F.col(cls).alias("cls")).agg(*measures)
 
 
+def on_cpu(run: Column, duration: Column) -> Column:
+    """The share of its life that a process ran, at most 1; null where not told, or where it ran longer than it lived."""
+    odd = run > duration * RUN_SLACK + RUN_EXTRA
+    return F.when((duration > 0) & ~odd, F.least(F.lit(1.0), run / duration))
+
+
+def stalls_by_class(records: DataFrame, *, cls: str, wait: str, episodes: str, longest: str, source: str) -> DataFrame:
+    """Of each class: records that told a wait, those that stalled, sums, the longest single wait, and how waits were measured."""
+    sources = records.filter(F.col(source).isNotNull()).groupBy(F.col(cls).alias("cls"), F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("k"))
+    named = sources.groupBy("cls").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "s", "k"))), ",").alias("sources"))
+    sums = records.groupBy(F.col(cls).alias("cls")).agg(
+        F.count(F.lit(1)).alias("seen"), F.count(wait).alias("n"), pct(F.count(wait), F.count(F.lit(1))).alias("coverage_pct"), F.count_if(F.col(wait) > 0).alias("stalled"),
+        exact_sum(wait).alias("wait"), F.sum(episodes).alias("episodes"), F.coalesce(F.max(longest), F.lit(0.0)).alias("longest"),
+    )
+    return sums.join(named.withColumnRenamed("cls", "_c"), F.col("cls").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("sources", F.coalesce("sources", F.lit("")))
+
+
 def stalls_by_tool(records: DataFrame, *, tool: str, wait: str, n: int = 20) -> DataFrame:
     """The tools that waited longest, with their longest single wait; tools that never told are left out."""
     sums = records.groupBy(F.col(tool).alias("tool")).agg(F.count(wait).alias("n"), exact_sum(F.col(wait)).alias("total"), F.max(wait).alias("most"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import exact_sum
+from ..plans.scratch import written
 
 #: Widths in seconds from which a window's bin is chosen (fixed values).
 WIDTHS = (60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400)
@@ -58,6 +59,43 @@ def resident_series(ticks: DataFrame, *, us: str, host: str, value: str, width_s
     return per_host.groupBy("bin").agg(exact_sum("mean", 6).alias("resident"), F.count(F.lit(1)).alias("hosts"), F.sum("ticks").alias("ticks"))
 
 
+MOST_BINS = 960  # fixed value
+
+
+def _newest_bins(held: DataFrame, most: int) -> DataFrame:
+    """(lo, hi) of the bins, at most ``most`` of the newest."""
+    ends = held.agg(F.min("bin").alias("a"), F.max("bin").alias("hi")).filter("hi IS NOT NULL")
+    return ends.select(F.greatest("a", F.col("hi") - most + 1).alias("lo"), "hi")
+
+
+def measured_series(records: DataFrame, *, us: str, cls: str, fields: list[str], width_s: int, most: int = MOST_BINS) -> DataFrame:
+    """(bin, cls, n, fields): every class at every bin of the span; a bin without the class's records is null, and so is a field that none of them tells.
+
+    A longer span keeps its newest bins. Sums come first, so the grid is joined to what is already small.
+    """
+    held = records.groupBy(bin_of(F.col(us), width_s).alias("bin"), F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("n"), *(exact_sum(f).alias(f) for f in fields))
+    held = written(held, "series")
+    span = _newest_bins(held, most).select(F.explode(F.sequence("lo", "hi")).alias("bin"))  # one row, at most ``most`` bins
+    kept = held.join(F.broadcast(span), "bin", "left_semi")
+    grid = F.broadcast(span).crossJoin(kept.select("cls").distinct())
+    return grid.join(kept, ["bin", "cls"], "left")
+
+
+def stall_series(records: DataFrame, *, us: str, tool: str, wait: str, width_s: int, tools: int = 6, most: int = MOST_BINS) -> DataFrame:
+    """(bin, tool, wait): the tools that waited longest, all others as null, at every bin; 0 where waits were measured and it had none, null where none was."""
+    held = records.groupBy(bin_of(F.col(us), width_s).alias("bin"), F.col(tool).alias("tool")).agg(F.count(wait).alias("told"), exact_sum(wait).alias("wait"))
+    held = written(held, "stalls")
+    span = _newest_bins(held, most).select(F.explode(F.sequence("lo", "hi")).alias("bin"))
+    top = held.groupBy("tool").agg(exact_sum("wait").alias("total")).filter("total > 0").orderBy(F.desc("total"), "tool").limit(tools).select("tool", F.lit(True).alias("named"))
+    placed = held.filter("told > 0").join(F.broadcast(top), "tool", "left").select("bin", F.when(F.col("named"), F.col("tool")).alias("tool"), "wait")
+    sums = placed.groupBy("bin", "tool").agg(exact_sum("wait").alias("wait"))
+    measured = placed.select("bin").distinct().withColumn("measured", F.lit(True))
+    lines = top.select("tool").unionByName(top.limit(1).select(F.lit(None).cast("string").alias("tool")))
+    grid = F.broadcast(span).crossJoin(lines).join(measured, "bin", "left").alias("g")
+    found = grid.join(sums.alias("s"), (F.col("g.bin") == F.col("s.bin")) & F.col("g.tool").eqNullSafe(F.col("s.tool")), "left")
+    return found.select("g.bin", "g.tool", F.when(F.col("g.measured"), F.coalesce("s.wait", F.lit(0.0))).alias("wait"))
+
+
 def hour_grid(records: DataFrame, *, ts: str, us: str) -> DataFrame:
     """weekday (1 is Monday) x hour: distinct active minutes."""
     minutes = records.select((F.weekday(ts) + 1).alias("weekday"), F.hour(ts).alias("hour"), F.floor(F.col(us) / 60_000_000).alias("m")).distinct()

@@ -36,6 +36,24 @@ def sketch_quantiles(records: DataFrame, *, by: str, value: str, ranks: tuple[fl
     return buckets.groupBy("cls").agg(F.sum("k").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), *picks)
 
 
+def sketches(records: DataFrame, *, by: str, measures: dict[str, Column], ranks: tuple[float, ...] = SKETCH_RANKS) -> DataFrame:
+    """(cls, measure, seen, n, coverage_pct, zero_pct, all_zero, mean, min, max, p..) of several measures in one pass.
+
+    A null is not measured. Where all that is measured is zero, ``all_zero`` says so, as such a
+    counter may never have worked; a measure that no record of a class tells has null quantiles.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), c.cast("double").alias("value")) for k, c in measures.items())))
+    each = records.select(F.col(by).alias("cls"), pairs.alias("m")).select("cls", "m.*")
+    zeros = F.count_if(F.abs("value") <= TINY)
+    counts = each.groupBy("cls", "measure").agg(
+        F.count(F.lit(1)).alias("seen"), F.count("value").alias("n"), pct(F.count("value"), F.count(F.lit(1))).alias("coverage_pct"), pct(zeros, F.count("value")).alias("zero_pct"),
+        ((zeros > 0) & (zeros == F.count("value"))).alias("all_zero"), F.round(exact_sum("value") / F.nullif(F.count("value"), F.lit(0)), 4).alias("mean"),
+    )
+    found = sketch_quantiles(each.select(F.struct("cls", "measure").alias("grp"), "value"), by="grp", value="value", ranks=ranks)
+    found = found.select(F.col("cls.cls").alias("_c"), F.col("cls.measure").alias("_m"), "min", "max", *(f"p{round(q * 100)}" for q in ranks))
+    return counts.join(found, F.col("cls").eqNullSafe(F.col("_c")) & (F.col("measure") == F.col("_m")), "left").drop("_c", "_m")
+
+
 def nearest_ranks(records: DataFrame, *, by: str, value: str, qs: tuple[float, ...], rules: tuple[str, ...] = ("floor", "half_even", "ceil")) -> DataFrame:
     """Exact nearest-rank quantiles under each rank rule."""
     counts = records.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))

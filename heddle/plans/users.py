@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import roles
+from ..operators import jobs, live, panels, portraits, series, stats, views
 from ..operators import normalize as nz
-from ..operators import portraits
 from .mechanisms import ZONE
-from .queries import E_SQL, H, dsum, events, query
+from .queries import AS_OF, E_SQL, H, S, _sketch_sql, dpct, dsum, events, query, read
 from .records import _pick, _pick_sql
 
 #: Processes tagged as agents: type, command, line, terminal; then role, subcommand, surface, its detail and version, told by hand.
@@ -163,3 +163,187 @@ def user_portraits(spark, d):
 UNION ALL SELECT 'trait', name, count(*) FROM (SELECT unnest(string_split(traits, ',')) AS name FROM t WHERE traits <> '') GROUP BY 2) SELECT part, name, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
 def fleet_portrait(spark, d):
     return portraits.fleet(_work(spark, d))
+
+
+# --- costs by class: sketches of several measures, stalls, series
+
+COST_SQL = f"""{E_SQL}, m AS (SELECT *, CASE WHEN k % 9 > 0 THEN value / 10 END AS run, CASE WHEN k % 10 > 0 THEN k * 2.0::DOUBLE END AS life, CASE WHEN k % 4 > 0 THEN (k % 3) * value END AS wait, CASE WHEN k % 4 > 0 THEN k % 3 END AS episodes,
+  CASE WHEN k % 4 > 0 THEN (k % 3) * value / 2 END AS longest, CASE WHEN k % 4 > 0 THEN CASE WHEN k % 8 < 4 THEN 'trace' ELSE 'poll' END END AS source, CASE WHEN cls = 'view' THEN NULL ELSE (k % 2) * value END AS written FROM e)"""
+COSTS = {"run": "run", "life": "life", "wait": "wait", "written": "written", "on_cpu": "CASE WHEN life > 0 AND run <= life * 1.05::DOUBLE + 0.001::DOUBLE THEN least(1.0, run / life) END", "never": "CASE WHEN cls = 'error' THEN 0.0 END"}
+
+
+def _costs(spark, d):
+    k, v = F.col("k"), F.col("value")
+    told = k % 4 > 0
+    return events(spark, d).withColumns({
+        "run": F.when(k % 9 > 0, v / 10), "life": F.when(k % 10 > 0, k * F.lit(2.0)), "wait": F.when(told, (k % 3) * v), "episodes": F.when(told, k % 3), "longest": F.when(told, (k % 3) * v / 2),
+        "source": F.when(told, F.when(k % 8 < 4, "trace").otherwise("poll")), "written": F.when(F.col("cls") != "view", (k % 2) * v),
+    })
+
+
+_PAIRS_SQL = " UNION ALL ".join(f"SELECT cls, '{name}' AS measure, CAST({sql} AS DOUBLE) AS v FROM m" for name, sql in COSTS.items())
+
+
+@query(f"""WITH {COST_SQL}, p AS ({_PAIRS_SQL}), c AS (SELECT cls || '/' || measure AS cm, any_value(cls) AS cls, any_value(measure) AS measure, count(*) AS seen, count(v) AS n, {dpct("count(v)", "count(*)")} AS coverage_pct, {dpct("count(*) FILTER (abs(v) <= 1e-9)", "count(v)")} AS zero_pct,
+count(v) > 0 AND count(*) FILTER (abs(v) <= 1e-9) = count(v) AS all_zero, round({dsum("v")} / nullif(count(v), 0), 4) AS mean FROM p GROUP BY 1),
+q AS ({_sketch_sql("(SELECT cls || '/' || measure AS cm, v FROM p)", "cm", "v")}) SELECT c.* EXCLUDE (cm), q.* EXCLUDE (cls, n) FROM c LEFT JOIN q ON q.cls = c.cm""")
+def cost_sketches(spark, d):
+    """Five measures and one that never worked, by class, in one pass."""
+    c = F.col
+    measures = {"run": c("run"), "life": c("life"), "wait": c("wait"), "written": c("written"), "on_cpu": panels.on_cpu(c("run"), c("life")), "never": F.when(c("cls") == "error", 0.0)}
+    return stats.sketches(_costs(spark, d), by="cls", measures=measures)
+
+
+@query(f"""WITH {COST_SQL}, s AS (SELECT cls, string_agg(source || ':' || n, ',' ORDER BY source) AS sources FROM (SELECT cls, source, count(*) AS n FROM m WHERE source IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT m.cls, count(*) AS seen, count(wait) AS n, {dpct("count(wait)", "count(*)")} AS coverage_pct, count(*) FILTER (wait > 0) AS stalled, {dsum("wait")} AS wait, CAST(sum(episodes) AS BIGINT) AS episodes, coalesce(max(longest), 0.0) AS longest, coalesce(any_value(sources), '') AS sources FROM m LEFT JOIN s USING (cls) GROUP BY m.cls""")
+def stalls_by_class(spark, d):
+    return panels.stalls_by_class(_costs(spark, d), cls="cls", wait="wait", episodes="episodes", longest="longest", source="source")
+
+
+@query(f"""WITH {COST_SQL}, h AS (SELECT us // {H // 2} AS bin, cls, count(*) AS n, {dsum("wait")} AS wait, {dsum("written")} AS written FROM m WHERE us // {H} % 5 > 1 GROUP BY ALL), b AS (SELECT greatest(min(bin), max(bin) - 959) AS lo, max(bin) AS hi FROM h),
+g AS (SELECT unnest(range(lo, hi + 1)) AS bin FROM b), c AS (SELECT DISTINCT cls FROM h, b WHERE bin >= lo) SELECT bin, cls, n, wait, written FROM g CROSS JOIN c LEFT JOIN h USING (bin, cls)""")
+def measured_series(spark, d):
+    """Half hours of the newest twenty days; whole hours hold nothing."""
+    rows = _costs(spark, d).filter(F.floor(F.col("us") / H) % 5 > 1)
+    return series.measured_series(rows, us="us", cls="cls", fields=["wait", "written"], width_s=1800)
+
+
+@query(f"""WITH {COST_SQL}, h AS (SELECT us // {6 * H} AS bin, 't' || (k % 13) AS tool, count(wait) AS told, {dsum("wait")} AS wait FROM m WHERE us // {H} % 30 > 7 GROUP BY ALL), g AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM h),
+t AS (SELECT tool FROM h GROUP BY 1 HAVING sum(wait) > 0 ORDER BY {dsum("wait")} DESC, tool LIMIT 4), l AS (SELECT tool FROM t UNION ALL SELECT NULL),
+s AS (SELECT bin, CASE WHEN tool IN (FROM t) THEN tool END AS tool, {dsum("wait")} AS wait FROM h WHERE told > 0 GROUP BY ALL), d AS (SELECT DISTINCT bin, true AS measured FROM h WHERE told > 0)
+SELECT g.bin, l.tool, CASE WHEN measured THEN coalesce(s.wait, 0.0) END AS wait FROM g CROSS JOIN l LEFT JOIN d USING (bin) LEFT JOIN s ON s.bin = g.bin AND s.tool IS NOT DISTINCT FROM l.tool""")
+def stall_series(spark, d):
+    rows = _costs(spark, d).filter(F.floor(F.col("us") / H) % 30 > 7).withColumn("tool", F.concat(F.lit("t"), F.col("k") % 13))
+    return series.stall_series(rows, us="us", tool="tool", wait="wait", width_s=21600, tools=4)
+
+
+# --- hosts and accounts now
+
+CENSUS_SQL = f"""{E_SQL}, l AS (SELECT event_id, us, user_id % 20 AS host, k, unnest(CASE WHEN k % 17 = 3 THEN [NULL] WHEN k % 3 = 0 THEN ['agent'] WHEN k % 3 = 1 THEN ['agent', 'human'] ELSE ['agent', 'human', 'ide'] END) AS cls FROM e),
+n AS (SELECT user_id % 20 AS host, max((us, event_id)) AS newest FROM e GROUP BY 1),
+c AS (SELECT host, us AS last_at, cls, CASE WHEN cls IS NOT NULL AND k % 7 > 0 THEN k + length(cls) END AS n_procs, CASE WHEN cls IS NOT NULL THEN 2 * k END AS threads, CASE WHEN cls IS NOT NULL AND k % 5 > 0 THEN k * 10.0::DOUBLE END AS rss_mb, CASE WHEN cls IS NOT NULL THEN k % 2 END AS d_state, CASE WHEN cls IS NOT NULL THEN 1 END AS users
+  FROM l JOIN n USING (host) WHERE (us, event_id) = newest)"""
+
+
+def _census(spark, d):
+    """An event is a tick of one of twenty hosts; some hosts have no process, some classes do not tell all."""
+    k = F.col("k")
+    block = lambda cls: F.struct(F.when(k % 7 > 0, k + len(cls)).alias("n_procs"), (2 * k).alias("threads"), F.when(k % 5 > 0, k * F.lit(10.0)).alias("rss_mb"), (k % 2).alias("d_state"), F.lit(1).cast("bigint").alias("users"))
+    entries = lambda *names: F.array(*(F.struct(F.lit(c).alias("key"), block(c).alias("value")) for c in names))
+    told = F.when(k % 17 == 3, F.slice(entries("agent"), 1, 0)).when(k % 3 == 0, entries("agent")).when(k % 3 == 1, entries("agent", "human")).otherwise(entries("agent", "human", "ide"))
+    ticks = events(spark, d).select("event_id", "us", (F.col("user_id") % 20).alias("host"), F.map_from_entries(told).alias("census"))
+    return live.newest_census(ticks, host="host", at="us", key="event_id", census="census")
+
+
+@query(f"""WITH {CENSUS_SQL} SELECT host, max(last_at) AS last_at, coalesce(string_agg(cls || ':' || coalesce(n_procs, 0), ',' ORDER BY cls), '') AS by_class, CAST(coalesce(sum(n_procs), 0) AS BIGINT) AS procs, CAST(coalesce(sum(threads), 0) AS BIGINT) AS threads,
+CAST(coalesce(sum(d_state), 0) AS BIGINT) AS d_state, CAST(coalesce(sum(users), 0) AS BIGINT) AS users, round(nullif(sum(rss_mb) / 1024, 0.0), 2) AS rss_gb FROM c GROUP BY host""")
+def hosts_by_class(spark, d):
+    return live.hosts_by_class(_census(spark, d))
+
+
+@query(f"""WITH {CENSUS_SQL} SELECT cls, count(DISTINCT host) AS hosts, CAST(sum(n_procs) AS BIGINT) AS procs, CAST(sum(threads) AS BIGINT) AS threads, round(nullif(sum(rss_mb) / 1024, 0.0), 2) AS rss_gb, CAST(sum(d_state) AS BIGINT) AS d_state, CAST(sum(users) AS BIGINT) AS users FROM c WHERE cls IS NOT NULL GROUP BY cls""")
+def class_plates(spark, d):
+    return live.plates(_census(spark, d))
+
+
+NOW, WINDOW, WITHIN = AS_OF - 5 * 24 * H - 7 * H - 123 * S, 3 * 24 * H + 77 * S, 6 * H
+ROSTER_SQL = f"""{E_SQL}, a AS (SELECT event_id, us, host, k, value, 'u' || user_id AS "user", CASE WHEN cls IN ('click', 'purchase') THEN 'agent' WHEN cls = 'signup' THEN 'ide' ELSE 'human' END AS c, CASE WHEN cls = 'click' THEN 'claude' WHEN cls = 'purchase' THEN 'codex' ELSE '' END AS type FROM e),
+z AS (SELECT *, CASE WHEN us >= {NOW - live.FINE_SPAN_US} THEN {live.FINE_US} ELSE {live.COARSE_US} END AS size FROM (SELECT * REPLACE (least(us, {NOW}) AS us) FROM a WHERE us <= {NOW + live.SKEW_US} AND us >= {NOW - live.RETENTION_US})),
+u AS (SELECT "user", c, type, count(*) AS n, {dsum("value")} AS cpu, max(us) AS last_us FROM z WHERE us - us % size + size > {NOW - WINDOW} GROUP BY ALL),
+rr AS (SELECT "user", c, type, count(*) AS live, CAST(sum(procs) AS BIGINT) AS procs FROM (SELECT host, k % 40 AS root, arg_max("user", (us, k, event_id)) AS "user", arg_max(c, (us, k, event_id)) AS c, arg_max(type, (us, k, event_id)) AS type, max(us) AS us, arg_max(k, (us, k, event_id)) AS procs FROM a WHERE us <= {NOW} GROUP BY ALL) WHERE us >= {NOW - WITHIN} GROUP BY ALL),
+f AS (SELECT coalesce(u."user", rr."user") AS "user", coalesce(u.c, rr.c) AS c, coalesce(u.type, rr.type) AS type, n, cpu, last_us, live FROM u FULL JOIN rr ON u."user" = rr."user" AND u.c = rr.c AND u.type = rr.type)"""
+
+
+def _roster(spark, d):
+    cls = F.when(F.col("cls").isin("click", "purchase"), "agent").when(F.col("cls") == "signup", "ide").otherwise("human")
+    kind = F.when(F.col("cls") == "click", "claude").when(F.col("cls") == "purchase", "codex")
+    a = events(spark, d).select("us", "host", "k", F.col("value").alias("cpu"), F.concat(F.lit("u"), "user_id").alias("user"), cls.alias("cls"), kind.alias("type"))
+    used = live.usage(a, now_us=NOW, window_us=WINDOW, measures=["cpu"])
+    return used, live.running_sessions(_ticks(a), now_us=NOW, within_us=WITHIN)
+
+
+def _ticks(a):
+    return a.select("host", (F.col("k") % 40).alias("root"), "user", "cls", "type", "us", F.col("k").alias("procs"), F.when(F.col("k") % 3 > 0, F.col("k") * F.lit(2.0)).alias("rss"))
+
+
+@query(f"""WITH {ROSTER_SQL}, g AS (SELECT "user", CAST(coalesce(sum(live) FILTER (c = 'agent'), 0) AS BIGINT) AS running_agents, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, coalesce({dsum("cpu")}, 0.0) AS cpu,
+string_agg(c || CASE WHEN type = '' THEN '' ELSE '/' || type END || ':' || coalesce(n, 0), ',' ORDER BY c || CASE WHEN type = '' THEN '' ELSE '/' || type END || ':' || coalesce(n, 0)) AS by_class,
+coalesce(string_agg(c || CASE WHEN type = '' THEN '' ELSE '/' || type END || ':' || live, ',' ORDER BY c || CASE WHEN type = '' THEN '' ELSE '/' || type END || ':' || live) FILTER (live > 0), '') AS running, max(last_us) AS last_us FROM f GROUP BY 1)
+SELECT *, CAST(row_number() OVER (ORDER BY running_agents DESC, n DESC, "user") AS INTEGER) AS rank FROM g QUALIFY rank <= 100""")
+def ranked_roster(spark, d):
+    return live.ranked_roster(*_roster(spark, d), measures=["cpu"], limit=100)
+
+
+@query(f"""WITH {ROSTER_SQL}, p AS (SELECT 'all' AS part, '' AS name, "user" FROM f UNION ALL SELECT 'class', c, "user" FROM f UNION ALL SELECT 'running', c || '/' || type, "user" FROM f WHERE live > 0 UNION ALL SELECT 'live_agent', '', "user" FROM f WHERE live > 0 AND c = 'agent')
+SELECT part, name, count(DISTINCT "user") AS users FROM p GROUP BY ALL""")
+def roster_counts(spark, d):
+    return live.roster_counts(*_roster(spark, d))
+
+
+@query(f"""WITH {ROSTER_SQL}, o AS (SELECT host, k % 40 AS root, arg_max(c, (us, k, event_id)) AS cls, arg_max(type, (us, k, event_id)) AS type, arg_max(k, (us, k, event_id)) AS procs, min(us) AS first_us, max(us) AS us,
+max(k * 2.0::DOUBLE) FILTER (k % 3 > 0) AS rss_peak, round(CAST(sum(CAST(k * 2.0 AS DECIMAL(18,4))) FILTER (k % 3 > 0) AS DOUBLE) / nullif(count(*) FILTER (k % 3 > 0), 0), 1) AS rss_mean, count(*) FILTER (k % 3 > 0) AS rss_ticks FROM a WHERE "user" = 'u7' AND us <= {NOW} GROUP BY ALL)
+SELECT host, root, cls, nullif(type, '') AS type, procs, {NOW} - first_us AS age_us, rss_peak, rss_mean, rss_ticks, CAST(row_number() OVER (ORDER BY cls <> 'agent', procs DESC, host, root) AS INTEGER) AS rank FROM o WHERE us >= {NOW} - {8 * 24 * H}""")
+def sessions_of_account(spark, d):
+    a = events(spark, d).filter("user_id = 7")
+    cls = F.when(F.col("cls").isin("click", "purchase"), "agent").when(F.col("cls") == "signup", "ide").otherwise("human")
+    kind = F.when(F.col("cls") == "click", "claude").when(F.col("cls") == "purchase", "codex")
+    a = a.select("us", "host", "k", F.concat(F.lit("u"), "user_id").alias("user"), cls.alias("cls"), kind.alias("type"))
+    return live.sessions_of(_ticks(a), user="u7", now_us=NOW, within_us=8 * 24 * H)
+
+
+# --- accounting in full
+
+JOBS_SQL = f"""j AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'agent' ELSE 'other' END AS cls, o_orderkey AS job, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 8 END AS arr, CASE WHEN o_custkey % 40 > 0 THEN 'u' || (o_custkey % 200) END AS "user", CASE WHEN o_custkey % 5 = 0 THEN '' ELSE 'd' || (o_custkey % 30) END AS work_dir,
+  [{", ".join(f"'{s}'" for s in jobs.STATES)}, NULL][o_orderkey % 9 + 1] AS state, epoch_us(o_orderdate) + o_orderkey % 24 * {H} AS submit_us, CASE WHEN o_orderkey % 11 > 0 THEN submit_us + (o_orderkey % 50 - 3) * {17 * H} END AS start_us, o_orderkey * 7 % 5000 AS elapsed_s, CASE WHEN o_orderkey % 23 > 0 THEN o_orderkey % 5 END AS cpus,
+  o_orderkey % 7 * 37 AS limit_min, CASE WHEN o_orderkey % 6 > 0 THEN o_totalprice / 10 END AS cpu_s, o_totalprice AS rss, o_orderkey % 6 * 50000.0::DOUBLE AS mem, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 END AS gpus, o_orderkey % 2 AS gpus_asked, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 50 END AS gpu_util, 1 + (o_orderkey % 17 = 0)::INT AS generations FROM orders)"""
+
+
+def _jobs(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    submit = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k % 24 * H
+    return read(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "agent").otherwise("other").alias("cls"), k.alias("job"), F.when(k % 3 == 0, F.floor(k / 8)).alias("array"), F.when(c % 40 > 0, F.concat(F.lit("u"), c % 200)).alias("user"), F.when(c % 5 == 0, "").otherwise(F.concat(F.lit("d"), c % 30)).alias("work_dir"),
+        F.get(F.array(*map(F.lit, jobs.STATES)), (k % 9).cast("int")).alias("state"), submit.alias("submit_us"), F.when(k % 11 > 0, submit + (k % 50 - 3) * (17 * H)).alias("start_us"), (k * 7 % 5000).alias("elapsed_s"), F.when(k % 23 > 0, k % 5).alias("cpus"),
+        (k % 7 * 37).alias("limit_min"), F.when(k % 6 > 0, F.col("o_totalprice") / 10).alias("cpu_s"), F.col("o_totalprice").alias("rss"), (k % 6 * F.lit(50000.0)).alias("mem"), F.when(k % 4 == 0, k % 3).alias("gpus"), (k % 2).alias("gpus_asked"),
+        F.when(k % 5 == 1, 0).when(k % 5 > 1, 50).alias("gpu_util"), (1 + (k % 17 == 0).cast("int")).alias("generations"),
+    )
+
+
+@query(f"""WITH {JOBS_SQL} SELECT cls, count(*) AS jobs, count(DISTINCT coalesce(arr, job)) AS submissions, count(DISTINCT coalesce("user", '?')) AS users, count(DISTINCT nullif(work_dir, '')) AS work_dirs, {dsum("coalesce(cpus, 0) * elapsed_s / 3600.0::DOUBLE")} AS core_hours, {dsum("coalesce(gpus, 0) * elapsed_s / 3600.0::DOUBLE")} AS gpu_hours,
+count(*) FILTER (gpus > 0) AS gpu_jobs, {dpct("count(arr)", "count(*)")} AS array_pct, count(*) FILTER (generations > 1) AS requeued, {dpct("count(*) FILTER (generations > 1)", "count(*)")} AS requeued_pct, {dpct("count(*) FILTER (cpus = 1)", "count(*)")} AS single_core_pct, round(count(*)::DOUBLE / count(DISTINCT coalesce(arr, job)), 2) AS array_collapse,
+{", ".join(f"count(*) FILTER (state = '{s}') AS state_{s.lower()}" for s in jobs.STATES)}, count(*) FILTER (gpus > 0 AND gpu_util > 0) AS gpu_used, count(*) FILTER (gpus > 0 AND gpu_util = 0) AS gpu_idle, count(*) FILTER (gpus > 0 AND gpu_util IS NULL) AS gpu_util_unknown,
+count(*) FILTER (coalesce(gpus, 0) = 0 AND gpus_asked > 0) AS gpu_requested_unmet, concat_ws(',', {", ".join(f"count(*) FILTER (submit_us // {H} % 24 = {h})" for h in range(24))}) AS hours FROM j GROUP BY cls""")
+def account_by_class(spark, d):
+    return jobs.account(_jobs(spark, d)).withColumn("hours", F.array_join("hours", ","))
+
+
+QS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+_MEASURES_SQL = {
+    "walltime_used": "CASE WHEN limit_min > 0 AND elapsed_s > 0 THEN least(1.5::DOUBLE, elapsed_s / (limit_min * 60.0::DOUBLE)) END", "cpu_eff": "CASE WHEN cpu_s > 0 AND elapsed_s > 60 AND cpus > 0 THEN least(1.5::DOUBLE, cpu_s / (elapsed_s * cpus)) END", "mem_eff": "CASE WHEN rss > 0 AND mem > 0 THEN least(1.5::DOUBLE, rss / mem) END",
+    "queue_wait_s": "CASE WHEN start_us >= submit_us AND start_us - submit_us < 2592000000000 THEN (start_us - submit_us) / 1000000.0::DOUBLE END", "elapsed_s": "CASE WHEN elapsed_s > 0 THEN elapsed_s::DOUBLE END", "timelimit_s": "CASE WHEN limit_min > 0 THEN limit_min * 60.0::DOUBLE END",
+}
+
+
+@query(f"""WITH {JOBS_SQL}, p AS ({" UNION ALL ".join(f"SELECT cls AS grp, '{m}' AS measure, round({x}, 4) AS v FROM j" for m, x in _MEASURES_SQL.items())} UNION ALL SELECT cls, 'jobs_per_user', count(*)::DOUBLE FROM j GROUP BY cls, coalesce("user", '?') UNION ALL SELECT cls, 'jobs_per_work_dir', count(*)::DOUBLE FROM j WHERE work_dir <> '' GROUP BY cls, work_dir),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY grp, measure) AS n FROM p WHERE v IS NOT NULL)
+SELECT grp, measure, any_value(n) AS n, {dsum("v")} / any_value(n) AS mean, {", ".join(f"max(v) FILTER (i = round_even({q}::DOUBLE * (n - 1), 0)) AS p{round(q * 100)}" for q in QS)} FROM r GROUP BY ALL""")
+def account_distributions(spark, d):
+    """Six of jobs, and jobs by user and by folder, each user and folder as one."""
+    own = _jobs(spark, d)
+    each = views.distributions(own, by="cls", measures=jobs.account_measures(), qs=QS)
+    heads = views.distributions(jobs.per_capita(own), by="cls", measures={"jobs_per_user": F.col("jobs_per_user"), "jobs_per_work_dir": F.col("jobs_per_work_dir")}, qs=QS)
+    return each.unionByName(heads)
+
+
+@query(f"""WITH {JOBS_SQL}, l AS (SELECT 'u' || u AS "user", 'field' || (u % 12) AS domain FROM (SELECT unnest(range(200)) AS u) WHERE u % 7 > 0), c AS (SELECT cls, coalesce(domain, 'unknown') AS domain, count(*) AS jobs FROM j LEFT JOIN l USING ("user") GROUP BY ALL)
+SELECT cls, CAST(row_number() OVER (PARTITION BY cls ORDER BY jobs DESC, domain) AS INTEGER) AS rank, domain, jobs FROM c QUALIFY rank <= 8""")
+def account_domains(spark, d):
+    own = _jobs(spark, d)
+    number = F.substring("user", 2, 9).cast("bigint")
+    lookup = own.select("user").distinct().filter(number % 7 > 0).select("user", F.concat(F.lit("field"), number % 12).alias("domain"))
+    return jobs.domains(own, lookup)
+
+
+@query(f"""WITH {JOBS_SQL}, c AS (SELECT coalesce("user", '?') AS "user", count(*) AS jobs, CASE WHEN min(cls) = max(cls) THEN min(cls) ELSE 'mixed' END AS cls FROM j GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY jobs DESC, "user") AS INTEGER) AS rank, * FROM c QUALIFY rank <= 60""")
+def account_rank_size(spark, d):
+    return jobs.rank_size(_jobs(spark, d))
