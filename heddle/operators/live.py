@@ -40,6 +40,24 @@ def census_above(now: DataFrame, base: DataFrame, *, top: int = 5) -> DataFrame:
     return newest(over, by=["grp"], order=[F.desc("n"), F.asc("name")], n=top)
 
 
+START_AGE_US = 150_000_000  # a baseline began with its session if the root was this young, at most (fixed value)
+
+
+def running_state(sessions: DataFrame, above: DataFrame, *, fresh_us: int, start_age_us: int = START_AGE_US) -> DataFrame:
+    """(grp, state, commands) of each session: running, idle or unknown.
+
+    ``sessions``: grp, at_us of the newest census (null without one), told (whether it names commands) and
+    base_age_us of its baseline; ``above`` as from ``census_above``. A census that is missing or old tells
+    nothing; what runs beyond the baseline is told whatever its age; idle only of a baseline that began with
+    the session, since an older one may hold a call that was already up.
+    """
+    listed = above.groupBy("grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "name", "n").alias("c")))), lambda x: x["c"]), ",").alias("commands"))  # five at most
+    both = sessions.join(listed, "grp", "left")
+    read = F.coalesce((F.col("at_us") >= fresh_us) & F.col("told"), F.lit(False))
+    state = F.when(~read, "unknown").when(F.col("commands").isNotNull(), "running").when(F.col("base_age_us") <= start_age_us, "idle").otherwise("unknown")
+    return both.withColumn("state", state).select("grp", "state", F.when(F.col("state") == "running", F.col("commands")).alias("commands"))
+
+
 def health(hosts: DataFrame, *, as_of_us: int, heartbeat_us: int, lost_pct: float = 0.1) -> DataFrame:
     """verdict of each host from last_us, stopped, n and lost: stopped, silent, degraded, ok, unknown."""
     verdict = (

@@ -131,6 +131,28 @@ def node_series(snapshots: DataFrame, *, host: str, us: str, field: str, newest:
     return own.groupBy(F.col(host).alias("host"), "bin").agg(F.max(field).alias("most"), (exact_sum(field) / F.count(field)).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def node_history(snapshots: DataFrame, *, host: str, us: str, fields: dict[str, str], now_us: int, window_us: int, newest: int = 64) -> DataFrame:
+    """(host, bin, bin_s, snapshots, fields): every host seen in the window at every one of its bins; a hole is null.
+
+    ``fields`` says ``max`` or ``mean`` of each. Bins are the first width that is the window's own and at least
+    twice the usual gap: the median of the newest gaps of all hosts.
+    """
+    by_host = Window.partitionBy(host)
+    gaps = snapshots.filter(F.col(us).isNotNull()).select(host, us).distinct().withColumns({"gap": F.col(us) - F.lag(us).over(by_host.orderBy(us)), "r": F.row_number().over(by_host.orderBy(F.desc(us)))})
+    usual = gaps.filter((F.col("r") <= newest) & F.col("gap").isNotNull()).agg((F.median("gap") / 1_000_000).alias("every"))
+    least = bin_for(window_us // 1_000_000)
+    want = F.greatest(F.lit(least).cast("double"), 2 * F.round("every", 1))
+    width = F.coalesce(*(F.when(want <= w, F.lit(w)) for w in WIDTHS), F.lit(WIDTHS[-1])).cast("bigint")
+    size = usual.select(width.alias("bin_s"))  # one row
+    edges = size.select("bin_s", F.floor((F.lit(now_us) - window_us) / (F.col("bin_s") * 1_000_000)).alias("lo"), F.floor(F.lit(now_us) / (F.col("bin_s") * 1_000_000)).alias("hi"))
+    own = snapshots.crossJoin(F.broadcast(edges)).withColumn("bin", F.floor(F.col(us) / (F.col("bin_s") * 1_000_000))).filter("bin BETWEEN lo AND hi")
+    how = {"max": lambda f: F.max(f), "mean": lambda f: exact_sum(f) / F.nullif(F.count(f), F.lit(0))}
+    sums = own.groupBy(F.col(host).alias("host"), "bin").agg(F.count(F.lit(1)).alias("snapshots"), *(how[h](f).alias(f) for f, h in fields.items()))
+    sums = written(sums, "nodes")
+    spine = edges.select("bin_s", F.explode(F.sequence("lo", "hi")).alias("bin"))
+    return F.broadcast(spine).crossJoin(sums.select("host").distinct()).join(sums, ["host", "bin"], "left")
+
+
 def density(records: DataFrame, *, us: str, kind: str, key: str, widths: tuple[int, ...] = WIDTHS, most: int = 2400) -> DataFrame:
     """Starts per bin and kind, in the finest width that keeps to ``most`` bins."""
     span = records.agg(((F.max(us) - F.min(us)) / 1_000_000).alias("span"))

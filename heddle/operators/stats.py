@@ -105,6 +105,22 @@ def subset_top(sums: DataFrame, *, cls: str, key: str, measures: list[str], clas
     return top_union(totals, key=key, measures=measures, n=n, within=["subset"]).select(key).distinct()
 
 
+def rankings(rows: DataFrame, *, key: str, user: str, measures: dict[str, Column], weights: dict[str, Column] | None = None, only: dict[str, Column] | None = None, n: int = 15) -> DataFrame:
+    """(ranking, rank, key, user, value, user_share_pct, dominant_pct) of several top lists in one pass.
+
+    A null counts as 0, ties go to the smaller key. ``weights`` says what a user's share of a list is of
+    where that is not the measure, ``only`` which rows a list may hold. Each task keeps ``n`` rows a list.
+    """
+    weights, only = weights or {}, only or {}
+    entry = lambda m, c: F.when(only.get(m, F.lit(True)), F.struct(F.lit(m).alias("ranking"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("value"), F.coalesce(weights.get(m, c).cast("decimal(28,4)"), F.lit(0)).alias("w")))
+    each = rows.select(F.col(key).alias("key"), F.col(user).alias("user"), F.explode(F.array_compact(F.array(*(entry(m, c) for m, c in measures.items())))).alias("m")).select("key", "user", "m.*")
+    top = each.withColumn("rank", F.row_number().over(Window.partitionBy("ranking").orderBy(F.desc("value"), "key"))).filter(F.col("rank") <= n)
+    whole = Window.partitionBy("ranking")  # at most ``n`` rows
+    shared = top.withColumns({"own": F.sum("w").over(Window.partitionBy("ranking", "user")).cast("double"), "all": F.sum("w").over(whole).cast("double")})
+    share = shared.withColumn("user_share_pct", pct(F.col("own"), F.col("all")))
+    return share.withColumn("dominant_pct", F.max("user_share_pct").over(whole)).select("ranking", "rank", "key", "user", "value", "user_share_pct", "dominant_pct")
+
+
 def largest_rows(records: DataFrame, *, by: str, value: str, key: str, columns: list[str]) -> DataFrame:
     """The row behind the largest value of each group; the smaller key of a tie."""
     best = F.max_by(F.struct(*columns), F.struct(F.col(value), -F.col(key)))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import roles
-from ..operators import jobs, live, panels, portraits, series, stats, views
+from ..functions import roles, taxonomy, text
+from ..operators import jobs, live, panels, portraits, sequences, series, stats, views
 from ..operators import normalize as nz
 from .mechanisms import ZONE
 from .queries import AS_OF, E_SQL, H, S, _sketch_sql, dpct, dsum, events, query, read
@@ -347,3 +347,89 @@ def account_domains(spark, d):
 @query(f"""WITH {JOBS_SQL}, c AS (SELECT coalesce("user", '?') AS "user", count(*) AS jobs, CASE WHEN min(cls) = max(cls) THEN min(cls) ELSE 'mixed' END AS cls FROM j GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY jobs DESC, "user") AS INTEGER) AS rank, * FROM c QUALIFY rank <= 60""")
 def account_rank_size(spark, d):
     return jobs.rank_size(_jobs(spark, d))
+
+
+# --- pauses, rankings, states and reasons
+
+STEP_KINDS = ("test", "explore", "run", "git", "edit", "explore", "test", "build", "explore", "run")
+PAUSE_SQL = f"""{E_SQL}, st AS (SELECT user_id AS grp, event_id, us AS s, us + k * {H // 20} AS e, {_pick_sql(STEP_KINDS, "k")} AS kind, 'c' || (k % 2) AS c FROM e)"""
+
+
+@query(f"""WITH {PAUSE_SQL}, x AS (SELECT *, lag(e) OVER w AS f, lag(kind) OVER w AS was, last_value(CASE WHEN kind IN ('test', 'run', 'edit') THEN kind END IGNORE NULLS) OVER b AS mark, last_value(CASE WHEN kind NOT IN ('explore', 'git') THEN kind || '/' || c END IGNORE NULLS) OVER b AS act FROM st
+WINDOW w AS (PARTITION BY grp ORDER BY s, event_id), b AS (PARTITION BY grp ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, CASE WHEN kind IN ('test', 'run') AND s - f >= {H} AND s - f < {6 * H} AND mark IS DISTINCT FROM 'edit' THEN CASE WHEN act IN ('test/' || c, 'run/' || c) THEN 'between_runs' WHEN was = 'explore' THEN 'after_reading' END END AS why FROM x)
+SELECT grp, CASE WHEN s - f >= {6 * H} THEN 'idle' ELSE 'edit_guess' END AS what, f AS from_us, s AS to_us, why FROM y WHERE s - f >= {6 * H} OR why IS NOT NULL""")
+def pauses(spark, d):
+    """Hours stand for minutes here, as users' events are hours apart."""
+    steps = events(spark, d).select("user_id", "event_id", "us", (F.col("us") + F.col("k") * (H // 20)).alias("e"), _pick(STEP_KINDS, "k").alias("kind"), F.concat(F.lit("c"), F.col("k") % 2).alias("c"))
+    return sequences.pauses(steps, by="user_id", order=["us", "event_id"], start="us", end="e", kind="kind", command="c", idle_us=6 * H, guess_us=H)
+
+
+RANKED = ("recent", "events", "cpu_s", "peak_rss_mb", "io_mb", "net_mb", "distinct_tools")
+
+
+@query(f"""WITH {E_SQL}, s AS (SELECT user_id * 1000 + us // {24 * H} % 1000 AS key, user_id % 30 AS "user", count(*) AS events, {dsum("value")} AS cpu_s, max(CASE WHEN k % 5 > 0 THEN k END) AS peak_rss_mb, {dsum("CASE WHEN k % 3 > 0 THEN value / 4 END")} AS io_mb, {dsum("k * 2.5::DOUBLE")} AS net_mb, count(DISTINCT k % 8) AS distinct_tools, max(us) AS recent, bool_or(cls = 'click') AS rooted FROM e GROUP BY 1, 2),
+v AS (SELECT key, "user", unnest([{", ".join(f"'{r}'" for r in RANKED)}]) AS ranking, coalesce(unnest([recent::DOUBLE, events::DOUBLE, cpu_s, peak_rss_mb::DOUBLE, io_mb, net_mb, distinct_tools::DOUBLE]), 0.0) AS value, rooted FROM s),
+r AS (SELECT *, CASE WHEN ranking = 'recent' THEN 1.0 ELSE value END AS w, CAST(row_number() OVER (PARTITION BY ranking ORDER BY value DESC, key) AS INTEGER) AS rank FROM v WHERE ranking <> 'recent' OR rooted QUALIFY rank <= 15),
+o AS (SELECT ranking, "user", CAST(sum(CAST(w AS DECIMAL(28,4))) AS DOUBLE) AS own FROM r GROUP BY ALL), a AS (SELECT ranking, CAST(sum(CAST(w AS DECIMAL(28,4))) AS DOUBLE) AS total FROM r GROUP BY 1), p AS (SELECT ranking, "user", {dpct("own", "total")} AS user_share_pct FROM o JOIN a USING (ranking))
+SELECT ranking, rank, key, "user", value, user_share_pct, max(user_share_pct) OVER (PARTITION BY ranking) AS dominant_pct FROM r JOIN p USING (ranking, "user")""")
+def session_rankings(spark, d):
+    """All seven lists of sessions (a user's days); the newest lists rooted sessions alone, and shares there are of sessions."""
+    key, value = F.col("user_id") * 1000 + F.floor(F.col("us") / (24 * H)) % 1000, F.col("value")
+    money = lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
+    s = events(spark, d).groupBy(key.alias("key"), (F.col("user_id") % 30).alias("user")).agg(
+        F.count(F.lit(1)).alias("events"), money(value).alias("cpu_s"), F.max(F.when(F.col("k") % 5 > 0, F.col("k"))).alias("peak_rss_mb"), money(F.when(F.col("k") % 3 > 0, value / 4)).alias("io_mb"),
+        money(F.col("k") * 2.5).alias("net_mb"), F.count_distinct(F.col("k") % 8).alias("distinct_tools"), F.max("us").alias("recent"), F.bool_or(F.col("cls") == "click").alias("rooted"),
+    )
+    return stats.rankings(s, key="key", user="user", measures={r: F.col(r) for r in RANKED}, weights={"recent": F.lit(1)}, only={"recent": F.col("rooted")})
+
+
+@query(f"""WITH {E_SQL}, t AS (SELECT user_id AS grp, us // {24 * H} AS tick, cls AS name, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT grp, count(DISTINCT tick) AS ticks, max(tick) AS last FROM t GROUP BY 1),
+b AS (SELECT grp, name, min(n) AS n FROM t JOIN k USING (grp) GROUP BY grp, name, ticks HAVING count(DISTINCT tick) = ticks), o AS (SELECT t.grp, t.name, t.n - coalesce(b.n, 0) AS n FROM t JOIN k ON k.grp = t.grp AND k.last = t.tick AND t.grp % 3 > 0 LEFT JOIN b ON b.grp = t.grp AND b.name = t.name),
+l AS (SELECT grp, string_agg(name || ':' || n, ',' ORDER BY n DESC, name) AS commands FROM o WHERE n > 0 GROUP BY 1), s AS (SELECT grp, CASE WHEN grp % 7 > 0 THEN last * {24 * H} END AS at_us, grp % 11 > 0 AS told, CASE WHEN grp % 5 > 0 THEN grp % 4 * 60000000 END AS age FROM k)
+SELECT grp, CASE WHEN NOT coalesce(at_us >= {AS_OF - 3 * 24 * H} AND told, false) THEN 'unknown' WHEN commands IS NOT NULL THEN 'running' WHEN age <= 150000000 THEN 'idle' ELSE 'unknown' END AS state, CASE WHEN state = 'running' THEN commands END AS commands FROM s LEFT JOIN l USING (grp)""")
+def running_states(spark, d):
+    ticks = events(spark, d).groupBy("user_id", F.floor(F.col("us") / (24 * H)).alias("tick"), "cls").agg(F.count(F.lit(1)).alias("n"))
+    last = ticks.groupBy("user_id").agg(F.max("tick").alias("tick"))
+    now = ticks.join(last, ["user_id", "tick"]).filter("user_id % 3 > 0").select(F.col("user_id").alias("grp"), F.col("cls").alias("name"), "n")
+    above = live.census_above(now, live.least_census(ticks, by="user_id", tick="tick", name="cls", count="n"))
+    g = F.col("grp")
+    sessions = last.withColumnRenamed("user_id", "grp").select("grp", F.when(g % 7 > 0, F.col("tick") * (24 * H)).alias("at_us"), (g % 11 > 0).alias("told"), F.when(g % 5 > 0, g % 4 * 60_000_000).alias("base_age_us"))
+    return live.running_state(sessions, above, fresh_us=AS_OF - 3 * 24 * H)
+
+
+#: What a submission printed; then the reason and whether it is a refusal, told by hand.
+PRINTED = (
+    ("sbatch: error: Batch job submission failed: Invalid account 42\nexample: sbatch -A x", "sbatch: error: Batch job submission failed: Invalid account N", True), ("Submitted 1\n  \x1b[31msrun: error: Unable to allocate resources: QOS 7\x1b[0m \n", "srun: error: Unable to allocate resources: QOS N", True),
+    ("srun: error: holy7c24101: task 0: Exited with exit code 1", "srun: error: holyNcN: task N: Exited with exit code N", False), ("Unable to allocate 2.00 GiB for an array", "Unable to allocate N.N GiB for an array", False),
+    (None, None, False), (" \r\n\t", None, False), ("SALLOC: ERROR: Job submit/allocate failed: 9", "SALLOC: ERROR: Job submit/allocate failed: N", True), ("x" * 200, "x" * 160, False),
+)
+
+
+@query(f"""WITH {E_SQL}, t(i, reason, refused) AS (VALUES {", ".join(f"({i}, {_text(r)}, {x})" for i, (_, r, x) in enumerate(PRINTED))}), x AS (SELECT coalesce(reason, 'exit ' || coalesce(CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 3 END AS VARCHAR), 'None') || CASE WHEN event_id % 5 = 0 THEN ', signal 9' ELSE '' END || ', nothing printed') AS reason, refused, user_id FROM e JOIN t ON k % {len(PRINTED)} = i)
+SELECT reason, refused, count(*) AS n, count(DISTINCT user_id) AS users FROM x GROUP BY ALL""")
+def refusal_reasons(spark, d):
+    e = events(spark, d).withColumn("tail", F.element_at(F.array(*(F.lit(p) for p, _, _ in PRINTED)), (F.col("k") % len(PRINTED) + 1).cast("int")))
+    why = taxonomy.reason(F.col("tail"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3), F.when(F.col("event_id") % 5 == 0, 9))
+    return e.groupBy(why.alias("reason"), taxonomy.refused(F.col("tail")).alias("refused")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT user_id % 6 AS host, us, CASE WHEN k % 4 > 0 THEN k END AS load, value AS wait FROM e), d AS (SELECT DISTINCT host, us FROM n), g AS (SELECT *, us - lag(us) OVER (PARTITION BY host ORDER BY us) AS gap, row_number() OVER (PARTITION BY host ORDER BY us DESC) AS r FROM d),
+w AS (SELECT (SELECT min(x) FROM (SELECT unnest({list(series.WIDTHS)}) AS x) WHERE x >= greatest(3600, 2 * round(median(gap) / 1000000, 1)))::BIGINT AS bin_s FROM g WHERE r <= 64 AND gap IS NOT NULL), b AS (SELECT bin_s, ({AS_OF} - {6 * 24 * H}) // (bin_s * 1000000) AS lo, {AS_OF} // (bin_s * 1000000) AS hi FROM w),
+s AS (SELECT host, us // (bin_s * 1000000) AS bin, count(*) AS snapshots, max(load) AS load, {dsum("wait")} / count(wait) AS wait FROM n, b WHERE us // (bin_s * 1000000) BETWEEN lo AND hi GROUP BY ALL), p AS (SELECT bin_s, unnest(range(lo, hi + 1)) AS bin FROM b)
+SELECT host, bin, CAST(bin_s AS BIGINT) AS bin_s, snapshots, load, wait FROM p CROSS JOIN (SELECT DISTINCT host FROM s) LEFT JOIN s USING (host, bin)""")
+def node_history(spark, d):
+    snapshots = events(spark, d).select((F.col("user_id") % 6).alias("host"), "us", F.when(F.col("k") % 4 > 0, F.col("k")).alias("load"), F.col("value").alias("wait"))
+    return series.node_history(snapshots, host="host", us="us", fields={"load": "max", "wait": "mean"}, now_us=AS_OF, window_us=6 * 24 * H)
+
+
+_PADS = [bytes(b ^ pad for b in b"salt".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"""SELECT c_custkey, 'user-' || left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode('user:' || c_name)))), 8) AS alias, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 9 AS VARCHAR) END AS gpus,
+CASE WHEN c_custkey >= 864 THEN (c_custkey * 100 // 86400) || '-' ELSE '' END || strftime(make_timestamp(c_custkey * 100 % 86400 * 1000000), '%H:%M:%S') AS lasted FROM customer""")
+def keyed_aliases(spark, d):
+    """Aliases under a key, one resource of a list, and seconds written as durations."""
+    c, key = read(spark, d, "customer"), F.col("c_custkey")
+    listed = F.concat(F.lit("cpu=4,xgres/gpu=7"), F.when(key % 3 > 0, F.concat(F.lit(",gres/gpu="), key % 9)).otherwise(""))
+    return c.select("c_custkey", text.keyed_alias("user", F.col("c_name"), "salt").alias("alias"), text.resource(listed, "gres/gpu").alias("gpus"), text.as_duration(key * 100).alias("lasted"))
