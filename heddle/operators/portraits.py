@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import exact_sum
+from ..plans.scratch import written
 from . import sequences, stats
 
 # States that are counted, and what a trait or a summary needs.
@@ -44,6 +45,7 @@ def user_rows(sessions: DataFrame, calls: DataFrame, batch: DataFrame, *, zone:
     ``calls`` is null for a user with no session of a recognised agent.
     """
     own = sessions.filter("user IS NOT NULL").withColumns({"surface": F.coalesce("surface", F.lit("unknown")), "approval": F.coalesce("approval", F.lit("unknown")), "sandbox": F.coalesce("sandbox", F.lit("no_calls")), "wall_us": F.col("last_us") - F.col("first_us")})
+    own = written(own, "sessions")  # read five times
     states = [F.count_if(F.col(c) == s).alias(f"{c}_{s}") for c, names in (("surface", SURFACES), ("approval", APPROVALS), ("sandbox", SANDBOXES)) for s in names]
     rows = own.groupBy("user").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("running").alias("running"), *states, F.count_distinct(F.nullif("kind", F.lit(""))).alias("agent_types"), F.count_if(F.col("kind").isin(*READ_TYPES)).alias("read_sessions"),
@@ -55,7 +57,7 @@ def user_rows(sessions: DataFrame, calls: DataFrame, batch: DataFrame, *, zone:
     w = Window.partitionBy("user").orderBy(F.desc("n"), "project")
     named = said.withColumn("place", F.row_number().over(w)).groupBy("user").agg(F.count(F.lit(1)).alias("projects_total"), F.sort_array(F.collect_list(F.when(F.col("place") <= PROJECTS, F.struct("place", "project", "n")))).alias("projects"))
 
-    told = calls.filter(F.col("user").isNotNull() & F.col("kind").isin(*READ_TYPES))
+    told = written(calls.filter(F.col("user").isNotNull() & F.col("kind").isin(*READ_TYPES)).select("user", "us", "category", "said", "words"), "calls")
     cats = told.groupBy("user").agg(*(F.count_if(F.coalesce("category", F.lit("unknown")) == c).alias(f"cat_{c}") for c in CATEGORIES))
     # A minute counts once, whatever the calls in it: by local hour.
     minutes = told.select("user", F.floor(F.col("us") / MINUTE).alias("minute")).distinct()
