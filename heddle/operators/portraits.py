@@ -45,7 +45,7 @@ def user_rows(sessions: DataFrame, calls: DataFrame, batch: DataFrame, *, zone:
     ``calls`` is null for a user with no session of a recognised agent.
     """
     own = sessions.filter("user IS NOT NULL").withColumns({"surface": F.coalesce("surface", F.lit("unknown")), "approval": F.coalesce("approval", F.lit("unknown")), "sandbox": F.coalesce("sandbox", F.lit("no_calls")), "wall_us": F.col("last_us") - F.col("first_us")})
-    own = written(own, "sessions")  # read five times
+    own = written(own, "sessions")  # read four times
     states = [F.count_if(F.col(c) == s).alias(f"{c}_{s}") for c, names in (("surface", SURFACES), ("approval", APPROVALS), ("sandbox", SANDBOXES)) for s in names]
     rows = own.groupBy("user").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("running").alias("running"), *states, F.count_distinct(F.nullif("kind", F.lit(""))).alias("agent_types"), F.count_if(F.col("kind").isin(*READ_TYPES)).alias("read_sessions"),
