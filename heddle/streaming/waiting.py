@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,15 @@ HOUR_MS = 3_600_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+CHUNK = 1 << 16  # rows of a piece of state at most
+
+
 class Waiting(StatefulProcessor):
     """Of one key: children that wait, parents whose time the watermark hasn't passed.
 
     A parent takes the children at or before it, once the watermark has passed it: no
-    earlier parent can then come.
+    earlier parent can then come.  Rows are held as arrays in few pieces, and a key has one timer,
+    at the first time that any of its rows is due: a batch reads a key's rows once, however many are due.
     """
 
     def __init__(self, wait_ms: int):
@@ -36,39 +41,55 @@ class Waiting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "is_parent boolean, id bigint, ms bigint")
+        self.rows = handle.getListState("held", "is_parent binary, id binary, ms binary")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def pieces(self, is_parent: np.ndarray, ids: np.ndarray, ms: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
+        return [tuple(x[a : a + CHUNK].tobytes() for x in (is_parent, ids, ms)) for a in range(0, len(ms), CHUNK)]
+
+    def first_due(self, is_parent: np.ndarray, ms: np.ndarray) -> int:
+        return int((ms + np.where(is_parent, 0, self.wait_ms)).min())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = []
         for frame in rows:
-            for is_parent, row_id, ms in zip(frame["is_parent"], frame["id"], frame["ms"]):
-                self.rows.appendValue((bool(is_parent), int(row_id), int(ms)))
-                self.handle.registerTimer(int(ms) if is_parent else int(ms) + self.wait_ms)
+            is_parent, ids, ms = frame["is_parent"].astype(bool).to_numpy(), frame["id"].astype("int64").to_numpy(), frame["ms"].astype("int64").to_numpy()
+            if len(ms):
+                self.rows.appendList(self.pieces(is_parent, ids, ms))
+                due.append(self.first_due(is_parent, ms))
+        before = self.due.get()
+        if due and (before is None or min(due) < before[0]):
+            if before is not None:
+                self.handle.deleteTimer(before[0])
+            self.handle.registerTimer(min(due))
+            self.due.update((min(due),))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         held = list(self.rows.get())
-        children = sorted((ms, i) for is_parent, i, ms in held if not is_parent)
-        parents = sorted((ms, i) for is_parent, i, ms in held if is_parent)
-        done, left, at = [], [], 0
-        passed = [p for p in parents if p[0] <= now]
-        for ms, i in children:
-            while at < len(passed) and passed[at][0] < ms:
-                at += 1
-            if at < len(passed) and passed[at][0] <= ms + self.wait_ms:
-                done.append((i, passed[at][1], passed[at][0] - ms))
-            elif ms + self.wait_ms <= now:
-                done.append((i, None, None))
-            else:
-                left.append((False, i, ms))
-        left += [(True, i, ms) for ms, i in parents if ms > now]
-        if left:
-            self.rows.put(left)
+        is_parent, ids, ms = (np.concatenate([np.frombuffer(piece[i], kind) for piece in held]) for i, kind in enumerate((bool, np.int64, np.int64)))
+        order = np.lexsort((ids, ms))
+        is_parent, ids, ms = is_parent[order], ids[order], ms[order]
+        passed = is_parent & (ms <= now)
+        parent_ids, parent_ms = ids[passed], ms[passed]
+        at = np.searchsorted(parent_ms, ms)  # the first that passed at or after each row
+        next_ids, next_ms = (np.append(x, 0)[at] for x in (parent_ids, parent_ms))
+        found = ~is_parent & (at < len(parent_ms)) & (next_ms <= ms + self.wait_ms)
+        done = found | (~is_parent & (ms + self.wait_ms <= now))
+        left = ~done & ~passed
+        if left.any():
+            self.rows.put(self.pieces(is_parent[left], ids[left], ms[left]))
+            due = self.first_due(is_parent[left], ms[left])
+            self.handle.registerTimer(due)
+            self.due.update((due,))
         else:
             self.rows.clear()
-        if done:
-            child, parent, waited = zip(*done)
-            yield pd.DataFrame({"child": pd.array(child, "Int64"), "parent": pd.array(parent, "Int64"), "waited_ms": pd.array(waited, "Int64")})
+            self.due.clear()
+        if done.any():
+            parent, waited = (pd.array(x[done], "Int64") for x in (next_ids, next_ms - ms))
+            parent[~found[done]] = waited[~found[done]] = pd.NA
+            yield pd.DataFrame({"child": pd.array(ids[done], "Int64"), "parent": parent, "waited_ms": waited})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import random
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,68 @@ def test_waiting_is_brute_force(spark):
     assert not got
 
 
+class Handle:
+    """State of one key in memory, with its timers."""
+
+    def __init__(self):
+        self.held, self.now, self.timers, self.registered, self.reads = [], None, set(), 0, 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        h = self
+        return type("Value", (), {"get": lambda _: h.now, "update": lambda _, v: setattr(h, "now", v), "clear": lambda _: setattr(h, "now", None)})()
+
+    def get(self):
+        self.reads += 1
+        return iter(self.held)
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def appendList(self, rows):
+        self.held += rows
+
+    def appendValue(self, row):
+        self.held.append(row)
+
+    def clear(self):
+        self.held = []
+
+    def registerTimer(self, at):
+        self.registered += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_key_that_waits_reads_its_state_once_a_batch():
+    r = random.Random(6)
+    wait, handle = 40, Handle()
+    waits = waiting.Waiting(wait)
+    waits.init(handle)
+    rows = [(i, 10 * batch + r.randint(0, 14), r.random() < 0.1) for batch in range(50) for i in range(40 * batch, 40 * batch + 40)]
+    got, clock = {}, type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.now})()
+    for batch in range(51):
+        frame = pd.DataFrame(rows[40 * batch : 40 * batch + 40], columns=["id", "ms", "is_parent"])
+        handle.registered = handle.reads = 0
+        list(waits.handleInputRows(("k",), iter([frame] if len(frame) else []), None))
+        clock.now = 10 * batch - 1 if batch < 50 else 10_000
+        for due in sorted(t for t in handle.timers if t <= clock.now):
+            handle.timers.discard(due)
+            for out in waits.handleExpiredTimer(("k",), clock, None):
+                assert not got.keys() & set(out["child"])
+                got |= {c: (None, None) if pd.isna(p) else (p, w) for c, p, w in zip(out["child"], out["parent"], out["waited_ms"])}
+        assert handle.reads <= 1 and handle.registered <= 2
+    for i, ms, is_parent in rows:
+        if not is_parent:
+            ahead = min(((m, j) for j, m, p in rows if p and m >= ms), default=(10_000, None))
+            assert got.pop(i) == ((ahead[1], ahead[0] - ms) if ahead[0] - ms <= wait else (None, None))
+    assert not got and not handle.held and not handle.timers
+
+
 # --- ancestors
 
 NAMES = ancestry.Process()
