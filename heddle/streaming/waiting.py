@@ -113,11 +113,18 @@ def waiting_join(stream: DataFrame, *, key: list[str], is_parent: str, row_id: s
 
 
 def waited(records: DataFrame, *, key: list[str], is_parent: str, row_id: str, at: str, wait_ms: int = 24 * HOUR_MS) -> DataFrame:
-    """The same over all records at once: the next parent at or after each child, if it came in time."""
+    """The same over all records at once: the next parent at or after each child, if it came in time.
+
+    Time is cut into stretches of the wait, so that a child's parent stands in its stretch or the next; parents
+    are written to both.  A task then sorts the stretches of keys, however few keys there are, and looks
+    back over each once.
+    """
+    stretch = F.floor(F.col("ms") / F.lit(max(1, wait_ms)))
     rows = records.select(*key, F.col(is_parent).alias("is_parent"), F.col(row_id).alias("id"), F.unix_millis(at).alias("ms"))
-    # Of equal times the child comes first, and of parents the smaller id.
-    ahead = Window.partitionBy(*key).orderBy("ms", "is_parent", "id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("_stretch", F.explode(F.when(F.col("is_parent"), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
+    # From the last row back: of equal times the parents come first, of them the smaller id last.
+    after = Window.partitionBy(*key, "_stretch").orderBy(F.desc("ms"), F.desc("is_parent"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parent = F.when(F.col("is_parent"), F.struct("id", "ms"))
-    found = rows.withColumn("p", F.first(parent, ignorenulls=True).over(ahead)).filter(~F.col("is_parent"))
+    found = rows.withColumn("p", F.last(parent, ignorenulls=True).over(after)).filter(~F.col("is_parent"))
     in_time = F.col("p.ms") <= F.col("ms") + wait_ms
     return found.select(F.col("id").alias("child"), F.when(in_time, F.col("p.id")).alias("parent"), F.when(in_time, F.col("p.ms") - F.col("ms")).alias("waited_ms"))

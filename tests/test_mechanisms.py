@@ -160,6 +160,19 @@ def test_a_key_that_waits_reads_its_state_once_a_batch():
     assert not got and not handle.held and not handle.timers
 
 
+def test_waiting_looks_back_once_and_cuts_time(spark):
+    rows = spark.range(1).selectExpr("id", "true AS p", "current_timestamp() AS at", "'a' AS k")
+    plan = waiting.waited(rows, key=["k"], is_parent="p", row_id="id", at="at")._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedfollowing" not in plan and "_stretch" in plan  # a frame to the end is summed anew for each row
+
+
+def test_waiting_over_the_ends_of_stretches(spark):
+    rows = [(1, 23, False), (2, 47, True), (3, 48, False), (4, 72, True), (5, 72, True), (6, 72, False), (7, 73, False), (8, -1, False), (9, 22, False)]
+    df = spark.createDataFrame([(i, "a", h, p) for i, h, p in rows], "id bigint, k string, hour bigint, is_parent boolean").withColumn("at", F.timestamp_seconds(F.col("hour") * 3600))
+    got = {x.child: x.parent for x in waiting.waited(df, key=["k"], is_parent="is_parent", row_id="id", at="at").collect()}
+    assert got == {1: 2, 3: 4, 6: 4, 7: None, 8: None, 9: None}
+
+
 # --- ancestors
 
 NAMES = ancestry.Process()
