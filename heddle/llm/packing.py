@@ -30,7 +30,26 @@ from .common import keep_between_tasks, mapped, settle
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")  # no apostrophe or underscore
-CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 500_000, 1_500_000, 64  # some 350 MB in a worker at most, until another operator's task comes
+CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 100_000, 200_000, 64  # of each of two ages; some 130 MB in a worker at most, until another operator's task comes
+
+
+class Recent:
+    """What was learnt of late: when ``young`` holds ``most``, it becomes the older half, from which what is wanted again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.older = most, {}, {}
+
+    def lacking(self, wanted: set[str]) -> set[str]:
+        """What of ``wanted`` must be learnt; all else that is wanted stays in ``young`` until the next call."""
+        if len(self.young) > self.most:
+            self.young, self.older = {}, self.young
+        new = wanted.difference(self.young)
+        again = [w for w in new if w in self.older]  # a set's own methods would walk all that is older
+        self.young.update((w, self.older[w]) for w in again)
+        return new.difference(again)
+
+    def forget(self) -> None:
+        self.young, self.older = {}, {}
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +65,7 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
     tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-
-    parts: dict[str, bytes] = {}
+    known, parts = Recent(CACHED_WORDS), Recent(CACHED_PARTS)
 
     def encode(words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -68,37 +85,33 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
         # Letters with marks after them, the usual case, are two runs to the vocabulary.
         split = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
         wanted = {p for pair in split.values() for p in pair if p}
-        if len(parts) > CACHED_PARTS:
-            parts.clear()
-        new = list(wanted.difference(parts))
+        new = list(parts.lacking(wanted))
         fresh = dict(zip(new, encode_parts(new)))
-        parts.update(fresh)
-        known.update((w, parts[a] + parts[b] if b else parts[a]) for w, (a, b) in split.items())
+        held = parts.young
+        held.update(fresh)
+        known.young.update((w, held[a] + held[b] if b else held[a]) for w, (a, b) in split.items())
         other = [w for w in words if w not in split]
-        known.update(zip(other, encode(other)))
+        known.young.update(zip(other, encode(other)))
         for part in fresh:
             if len(part) > CACHED_LENGTH:
-                del parts[part]
+                del held[part]
 
     def ids(text: str) -> bytes:
         if _UNSURE.search(text):
             return encode([text])[0]
         words = text.split()
-        new = set(words).difference(known)
+        new = known.lacking(set(words))
         if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = set(words)
             learn(list(new))
-        out = b"".join(map(known.__getitem__, words))
+        out = b"".join(map(known.young.__getitem__, words))
         for word in new:
             if len(word) > CACHED_LENGTH:
-                del known[word]
+                del known.young[word]
         return out
 
     def forget() -> None:
-        known.clear()
-        parts.clear()
+        known.forget()
+        parts.forget()
 
     ids.forget = forget
     return ids

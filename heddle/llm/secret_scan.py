@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import keep_between_tasks, mapped
 from .spans import Span, scan_spans
 
 BASE, ADDED = ("assign", "access", "hex"), ("random",)
@@ -161,6 +161,7 @@ def redact_secrets(documents: DataFrame, *, text: str = "text", size: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_counter(vocabulary)
+        keep_between_tasks("redact_secrets.<locals>.run", token_counter.cache_clear)
         for batch in batches:
             texts, lengths = [], batch.column(size_at).to_pylist() if size_at is not None else []
             for i, value in enumerate(batch.column(at)):

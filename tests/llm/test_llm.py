@@ -388,6 +388,28 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert np.frombuffer(ids(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_word_cache_keeps_what_comes_again_and_is_bounded():
+    held, learnt = packing.Recent(10), 0
+    for i in range(200):
+        wanted = {"often", f"once{i}"}
+        new = held.lacking(wanted)
+        learnt += "often" in new
+        held.young.update((w, w.encode()) for w in new)
+        assert all(held.young[w] == w.encode() for w in wanted)
+        assert len(held.young) + len(held.older) <= 25
+    assert learnt == 1
+    assert 2 * (packing.CACHED_WORDS + packing.CACHED_PARTS) * 250 < 160e6  # bytes of a worker
+
+
+def test_words_are_the_same_whatever_the_cache_holds(monkeypatch):
+    texts = [f"word{i % 37}, x{i}y Don't {'long' * 30} é{i}!" for i in range(120)]
+    wide = [packing.id_bytes(None)(t) for t in texts]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 3)
+    narrow = packing.id_bytes.__wrapped__(None)
+    assert [narrow(t) for t in texts] == wide
+
+
 # 7
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
