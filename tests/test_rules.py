@@ -129,3 +129,22 @@ def test_top_exits(spark):
     df = spark.createDataFrame(rows, "c string, v string, code int, sig int")
     got = sorted((r.kind, r["rank"], r.value, r.n) for r in views.top_exits(df, cls="c", verdict=F.col("v"), code=F.col("code"), signal=F.col("sig")).collect())
     assert got == [("code", 1, 2, 2), *(("code", i, i + 1, 1) for i in range(2, 9)), ("signal", 1, 9, 2), ("signal", 2, 13, 1)]
+
+
+def test_masking_is_the_plain_chain_and_long_words_are_walked_once(spark):
+    import time
+
+    lines = [
+        "Authorization: Bearer abc", "AUTHORIZATION=x", "http://a:b@c https://u:p@q:pw@h", "curl -u me:pw --user you:pw --proxy-user=z:pw", "x --API-key 'v1' --pass-PASSWD=w2 --token $T", "my.Api_Key = abc; AUTHKEY:q, secret: 'a' token=sk-" + "a" * 24,
+        "-----BEGIN RSA PRIVATE KEY-----abc\ndef-----END RSA PRIVATE KEY-----", "mysqldump -h x -psecret", "redis-cli -h q -a pw; sshpass -p pw ssh", "SG." + "a" * 16 + "." + "b" * 16, "sk_test_" + "a" * 20, "rk_live_" + "a" * 20, "eyJ" + ("a" * 10 + ".") * 3 + "b",
+        "passwordpassword: x", "a-token.key-api-key\": \"v\"", "AKIA" + "A" * 16, "dop_v1_" + "a" * 40, "hvs." + "a" * 20, "ghp_" + "A" * 30, "Key api_key=1 İtoken: 2", "plain text", "", None,
+    ]
+    df = spark.createDataFrame([(line,) for line in lines], "x string")
+    plain = F.col("x")
+    for pattern in text.PLACES:
+        plain = F.regexp_replace(plain, pattern, "$1" + text.MARK)
+    plain = F.regexp_replace(plain, text.TOKEN_SHAPE, text.MARK)
+    assert [r[0] for r in df.select(text.mask(F.col("x"))).collect()] == [r[0] for r in df.select(plain).collect()]
+    start = time.monotonic()
+    long = spark.range(20).select(text.mask(F.concat(F.repeat(F.lit("x"), F.lit(40000)), F.lit(" key: a, api_key: b"))).alias("m")).collect()
+    assert {r.m[40000:] for r in long} == {" key: a, api_key: [REDACTED]"} and time.monotonic() - start < 8
