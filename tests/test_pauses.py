@@ -82,3 +82,8 @@ def test_node_history(spark):
     assert {(x.host, x.bin * x.bin_s // 60, x.snapshots, x.x, x.y) for x in r if x.snapshots} == {("a", 0, 3, 7.0, 3.0), ("b", 120, 1, 3.0, 1.0)} and {x.host for x in r} == {"a", "b"}
     assert {x.bin_s for x in r} == {7200} and all(x.x is None and x.y is None for x in r if x.snapshots is None) and len(r) == 2 * len({x.bin for x in r})
     assert series.node_history(df.limit(0), host="h", us="us", fields={"x": "max"}, now_us=H, window_us=H).count() == 0
+
+
+def test_a_reason_reads_the_lines_once(spark):
+    df = spark.createDataFrame([("a\nb", 1, 9)], "t string, c int, s int").select(taxonomy.reason(F.col("t"), F.col("c"), F.col("s")).alias("why"))
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1 and df.first()[0] == "b"
