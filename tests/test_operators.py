@@ -96,6 +96,50 @@ def test_tasks_and_phases(spark):
     assert [(r["token"], r["start_us"], r["end_us"], r["calls"]) for r in got] == [("r", 0, 17, 18), ("t", 18, 25, 8)]
 
 
+def absorbed_step_by_step(part, most_calls, most_us):
+    """The rule as it reads: the smallest run goes to its longer neighbour, then equal neighbours become one."""
+    runs = []
+    for us, tok in part:
+        if runs and tok is not None and runs[-1][0] == tok:
+            runs[-1] = [tok, runs[-1][1], us, runs[-1][3] + 1]
+        else:
+            runs.append([tok, us, us, 1])
+    while len(runs) > 1:
+        small = [(r[3], r[2] - r[1], i) for i, r in enumerate(runs) if r[3] <= most_calls and r[2] - r[1] <= most_us]
+        if not small:
+            break
+        i = min(small)[2]
+        j = max((j for j in (i - 1, i + 1) if 0 <= j < len(runs)), key=lambda j: (runs[j][3], -j))
+        if runs[j][3] < runs[i][3]:
+            break
+        lo, hi = min(i, j), max(i, j)
+        runs[lo : hi + 1] = [[runs[j][0], runs[lo][1], runs[hi][2], runs[lo][3] + runs[hi][3]]]
+        k = 1
+        while k < len(runs):
+            if runs[k][0] == runs[k - 1][0]:
+                runs[k - 1 : k + 1] = [[runs[k][0], runs[k - 1][1], runs[k][2], runs[k - 1][3] + runs[k][3]]]
+            else:
+                k += 1
+    return [tuple(r) for r in runs]
+
+
+def test_absorbed_runs_are_the_rule_and_long_sequences_end(spark):
+    import random
+    import time
+
+    r = random.Random(2)
+    rows = [(g, us, r.choice(("r", "r", "w", "t", None) if g % 2 else ("r", "w", "t"))) for g in range(60) for us in sorted(r.sample(range(400), r.randint(1, 60)))]
+    df = spark.createDataFrame(rows, "g bigint, us bigint, tok string").withColumn("key", F.col("us"))
+    got = {}
+    for x in sequences.absorbed_runs(df, by="g", token="tok", us="us", key="key", most_us=60).orderBy("grp", "phase").collect():
+        got.setdefault(x.grp, []).append((x.token, x.start_us, x.end_us, x.calls))
+    assert got == {g: absorbed_step_by_step([(us, t) for gg, us, t in rows if gg == g], 6, 60) for g in range(60)}
+    start = time.monotonic()
+    long = spark.range(60000).select(F.lit(1).alias("g"), F.col("id").alias("us"), (F.hash("id") % 3).cast("string").alias("tok"), F.col("id").alias("key"))
+    assert sequences.absorbed_runs(long, by="g", token="tok", us="us", key="key").agg(F.sum("calls")).first()[0] == 60000
+    assert time.monotonic() - start < 30
+
+
 def test_page_parameters():
     from heddle.operators import views
 
