@@ -818,3 +818,23 @@ def test_pipeline_against_brute_force(spark, labels, tmp_path):
         assert at <= 2048
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows)
     assert len(by_sequence) <= -(-sum(r["length"] for r in packed) // 2048) + 1
+
+
+def test_coding_a_block_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from heddle.llm.words import text_blocks
+
+    texts = pa.array([" ".join(f"w{i % 97}{j % 89}" for j in range(400)) for i in range(1200)])
+    codes = lm.Codes(np.arange(1, 5, dtype=np.uint64), np.arange(1, 5), 1, 1, np.ones(256, np.int64))
+    for _, data, offsets in text_blocks(texts.slice(0, 1), lm.BLOCK):
+        lm.Units(data, offsets, codes)  # what stays: powers
+    for block in (lm.BLOCK, getattr(lm, "SCORED", lm.BLOCK)):
+        tracemalloc.start()
+        for _, data, offsets in text_blocks(texts, block):
+            lm.Units(data, offsets, codes)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 256 * (1 << 19), peak
