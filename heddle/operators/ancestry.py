@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import written
 from .lineage import as_of
 
+STRETCH_US = 6 * 3_600_000_000  # a host's pid has many processes: they are looked up by stretches of time
 NO_PARENT = (0, 1)  # besides null: the kernel's and init's
 
 
@@ -48,7 +49,7 @@ def holder_at_start(children: DataFrame, holders: DataFrame, names: Process, *,
     asked = children.select(F.col(n.key).alias("key"), F.col(n.host).alias("host"), F.col(n.parent_pid).alias("pid"), F.col(n.start).alias("start"), (F.col(n.start) + slack_us).alias("_by"))
     asked = asked.filter(F.col("pid").isNotNull() & ~F.col("pid").isin(*NO_PARENT) & F.col("start").isNotNull())
     held = holders.select(F.col(n.key).alias("up"), F.col(n.host).alias("host"), F.col(n.pid).alias("pid"), F.col(n.start).alias("since"), F.col(n.end).alias("until")).filter("since IS NOT NULL")
-    found = as_of(asked, held, by=["host", "pid"], left_at="_by", right_at="since", take=["up", "until"], key="up")
+    found = as_of(asked, held, by=["host", "pid"], left_at="_by", right_at="since", take=["up", "until"], key="up", stretch=STRETCH_US)
     any_row = held.groupBy("host", "pid").agg(F.lit(True).alias("_any"))
     found = found.join(any_row, ["host", "pid"], "left")
     ended = F.coalesce(F.col("held_until") + slack_us < F.col("start"), F.lit(False))

@@ -87,11 +87,26 @@ def closure(edges: DataFrame, *, key: str, parent: str, depth: int) -> DataFrame
     return reduce(DataFrame.unionByName, levels)
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, take: list[str], key: str) -> DataFrame:
-    """Of each left row the latest right row at or before it, by union and a running last value: one shuffle, no range join."""
+def as_of(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, take: list[str], key: str, stretch: int | None = None) -> DataFrame:
+    """Of each left row the latest right row at or before it, by union and a running last value: one shuffle, no range join.
+
+    With ``stretch`` (times are then numbers), few values of ``by`` don't make large tasks: time is cut into stretches,
+    and each is given the last right row before it, from the last ones of all stretches.
+    """
     values = F.struct(F.col(right_at).alias("_at"), *take)
     r = right.select(*by, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.col(key).alias("_k"), values.alias("_v"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
     left_rows = left.select(*by, F.col(left_at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[key]).alias("_k"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = r.unionByName(left_rows).withColumn("_held", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    rows = r.unionByName(left_rows)
+    if stretch:
+        rows = rows.withColumn("_s", F.floor(F.col("_t") / F.lit(stretch)))
+        mine = F.col("_side") == 0
+        ends = rows.groupBy(*by, "_s").agg(F.max(F.when(mine, F.struct(F.col("_t"), F.col("_k"), F.col("_v")))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "_s", F.last("_end._v", ignorenulls=True).over(earlier).alias("_v")).filter("_v IS NOT NULL")
+        # Before all rows of its stretch: times sort nulls first.
+        typed = {f.name: f.dataType for f in rows.schema}
+        rows = rows.unionByName(carried.select(*by, "_s", "_v", F.lit(-1).alias("_side"), *(F.lit(None).cast(typed[c]).alias(c) for c in ("_t", "_k", "_row"))))
+        w = Window.partitionBy(*by, "_s").orderBy("_t", "_side", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.withColumn("_held", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
     return both.select("_row.*", F.col("_held._at").alias("held_at"), *(F.col(f"_held.{c}").alias(f"held_{c}") for c in take))

@@ -427,3 +427,19 @@ def test_tasks_merge_by_session(spark):
         own = [x for x in rows if x[0] == s]
         head = merged_one_by_one([x[2] for x in own], [x[3] for x in own], [set(x[4]) for x in own], 2)
         assert [got[s, x[1]] for x in own] == [own[h][1] for h in head]
+
+
+def test_as_of_by_stretches_is_as_of(spark):
+    from heddle.operators import lineage
+
+    r = random.Random(8)
+    some = lambda n, *xs: [(i, r.choice([1, 2, None]), r.choice([None, *range(0, 300, 7)]) if r.random() < 0.9 else r.randint(-50, 400), *xs) for i in range(n)]
+    left, right = spark.createDataFrame(some(300), "id bigint, g int, at bigint"), spark.createDataFrame(some(80), "k bigint, g int, since bigint")
+    plain, cut = (lineage.as_of(left, right, by=["g"], left_at="at", right_at="since", take=["k"], key="k", stretch=s) for s in (None, 20))
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_holders_are_looked_up_by_stretches(spark):
+    df = spark.createDataFrame([(1, "h", 5, 3, "u", 0, 10)], ROWS)
+    plan = ancestry.holder_at_start(df, df, NAMES, slack_us=1)._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(host#" in plan and "_s#" in plan
