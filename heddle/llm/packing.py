@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,10 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep_between_tasks, mapped, settle
+from .words import _powers, mix, text_blocks, word_spans
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")  # no apostrophe or underscore
-CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 100_000, 200_000, 64  # of each of two ages; some 130 MB in a worker at most, until another operator's task comes
+CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 20_000, 20_000, 64  # of each of two ages; some 20 MB in a worker at most, until another operator's task comes
+PLACE_BITS, WIDTH = 20, 8  # the tables of words and of parts: 2 ** 20 of at most 8 ids, some 25 MB each
+BLOCK = 1 << 18  # bytes of text that are looked up at once
+_U = np.uint64
 
 
 class Recent:
@@ -52,12 +56,65 @@ class Recent:
         self.young, self.older = {}, {}
 
 
+class Table:
+    """Ids of short words, each at the place that its hash names; the last one learnt of a place stays."""
+
+    def __init__(self, kind: type):
+        self.kind, self.hashes = kind, np.empty(0, np.uint64)
+
+    def forget(self) -> None:
+        self.__init__(self.kind)
+
+    def spell(self, data: np.ndarray, offsets: np.ndarray, of: Callable[[Collection[str]], dict[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of texts, and where each text's begin (with a closing total); ``of`` tells what is not held."""
+        if not len(self.hashes):
+            self.hashes, self.sizes, self.ids = np.zeros(1 << PLACE_BITS, np.uint64), np.zeros(1 << PLACE_BITS, np.uint8), np.zeros(WIDTH << PLACE_BITS, self.kind)
+            self.hashes[0] = ~_U(0)  # no hash of an empty place leads to it
+        value, starts, ends, first = word_spans(data, offsets, False)
+        powers, inverse = _powers(max(1 << 20, 1 << max(1, len(data)).bit_length()) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value * powers[: len(data)], out=total[1:])
+        length = ends - starts
+        hashes = mix((total.take(ends) - total.take(starts)) * inverse.take(starts) + length.astype(np.uint64))
+        place = (hashes >> _U(64 - PLACE_BITS)).view(np.int64)
+        missed = (self.hashes.take(place) != hashes) | (length > CACHED_LENGTH)
+        size, which = self.sizes.take(place).astype(np.int64), np.flatnonzero(missed)
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+        told = of(set(words))
+        new = [told[w] for w in words]
+        size[which] = np.fromiter(map(len, new), np.int64, len(new)) // 4
+        stop = np.cumsum(size)
+        begin = stop - size
+        out = self.ids.take(np.arange(size.sum()) + np.repeat(place * WIDTH - begin, size), mode="clip").astype("<u4")
+        out[np.repeat(missed, size)] = np.frombuffer(b"".join(new), "<u4")
+        # Only now may what was held give way.
+        keep = which[(size[which] <= WIDTH) & (length[which] <= CACHED_LENGTH)]
+        at, some = np.unique(place[keep], return_index=True)
+        keep = keep[some]
+        self.hashes[at], self.sizes[at] = hashes[keep], size[keep]
+        within = np.arange(size[keep].sum()) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
+        self.ids[np.repeat(at * WIDTH, size[keep]) + within] = out[np.repeat(begin[keep], size[keep]) + within]
+        return out, np.append(0, stop)[first]
+
+
+def stretches(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of some BLOCK bytes, cut at white space."""
+    space = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    cuts = space[np.searchsorted(space, np.arange(BLOCK, len(data), BLOCK)).clip(max=max(0, len(space) - 1))] if len(space) else space
+    edges = np.unique(np.concatenate([[0], cuts, [len(data)]])).tolist()
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield data[a:b]
+
+
 @lru_cache(maxsize=2)
 def id_bytes(path: str | None) -> Callable[[str], bytes]:
     """From a text to its ids as little-endian 32-bit words.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are its words' ids in a row; words are remembered, up to a bound.
+    are its words' ids in a row; words are remembered, up to a bound.  ``each`` goes over
+    an Arrow array of texts by blocks: there a word is told by the 64-bit hash of its bytes
+    and ends at ASCII white space alone (of other kinds the tokenizer takes care).
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
@@ -72,48 +129,74 @@ def id_bytes(path: str | None) -> Callable[[str], bytes]:
 
     seam = tokenizer.encode("\x01", add_special_tokens=False).ids
 
-    def encode_parts(new: list[str]) -> list[bytes]:
+    def of_parts(new: Collection[str]) -> dict[str, bytes]:
         # Many at a time, with a character between them that no part holds.
-        out = []
-        for i in range(0, len(new), 5000):
-            (ids,) = encode([" \x01 ".join(new[i : i + 5000])])
+        out, wanted = [], list(new)
+        for i in range(0, len(wanted), 5000):
+            (ids,) = encode([" \x01 ".join(wanted[i : i + 5000])])
             cut = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == seam[0])
             out += [ids[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(ids)])]
-        return out
+        return dict(zip(wanted, out))
+
+    kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    table, table_of_parts = Table(kind), Table(kind)
+
+    def encode_parts(new: list[str]) -> dict[str, bytes]:
+        raw = [p.encode() for p in new]
+        ids, bounds = table_of_parts.spell(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), of_parts)
+        whole, edges = ids.tobytes(), (4 * bounds).tolist()
+        return {p: whole[a:b] for p, a, b in zip(new, edges[:-1], edges[1:])}
 
-    def learn(words: list[str]) -> None:
+    def learn(words: Collection[str], parts_of: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
         # Letters with marks after them, the usual case, are two runs to the vocabulary.
-        split = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
-        wanted = {p for pair in split.values() for p in pair if p}
-        new = list(parts.lacking(wanted))
-        fresh = dict(zip(new, encode_parts(new)))
-        held = parts.young
-        held.update(fresh)
-        known.young.update((w, held[a] + held[b] if b else held[a]) for w, (a, b) in split.items())
-        other = [w for w in words if w not in split]
-        known.young.update(zip(other, encode(other)))
-        for part in fresh:
-            if len(part) > CACHED_LENGTH:
-                del held[part]
+        split, other = {}, []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                split[w] = (m[1].lower(), m[2])
+            else:
+                other.append(w)
+        held = parts_of(list({p for pair in split.values() for p in pair if p}))
+        held[""] = b""
+        out = {w: held[a] + held[b] for w, (a, b) in split.items()}
+        out.update(zip(other, encode(other)))
+        return out
+
+    def remembered(cache: Recent, wanted: Collection[str], tell: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        new = list(cache.lacking(set(wanted)))
+        if new:
+            cache.young.update(tell(new))
+        out = {w: cache.young[w] for w in wanted}
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del cache.young[w]
+        return out
 
     def ids(text: str) -> bytes:
         if _UNSURE.search(text):
             return encode([text])[0]
         words = text.split()
-        new = known.lacking(set(words))
-        if new:
-            learn(list(new))
-        out = b"".join(map(known.young.__getitem__, words))
-        for word in new:
-            if len(word) > CACHED_LENGTH:
-                del known.young[word]
-        return out
+        own = remembered(known, set(words), lambda new: learn(new, lambda wanted: remembered(parts, wanted, of_parts)))
+        return b"".join(map(own.__getitem__, words))
+
+    def of(words: Collection[str]) -> dict[str, bytes]:
+        return learn(words, encode_parts)
+
+    def each(texts: pa.Array) -> Iterator[bytes]:
+        for _, data, offsets in text_blocks(texts, BLOCK):
+            if len(data) > 2 * BLOCK:  # one text
+                yield b"".join(table.spell(part, np.array([0, len(part)]), of)[0].tobytes() for part in stretches(data))
+                continue
+            found, bounds = table.spell(data, offsets, of)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield found[a:b].tobytes()
 
     def forget() -> None:
         known.forget()
         parts.forget()
+        table.forget()
+        table_of_parts.forget()
 
-    ids.forget = forget
+    ids.each, ids.forget = each, forget
     return ids
 
 
@@ -164,8 +247,8 @@ def cut_documents(
         keep_between_tasks("cut_documents.<locals>.run", ids.forget)
         for batch in batches:
             source, piece, start, length, crc = [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                data = ids(value.as_py() or "") + end
+            for i, own in enumerate(ids.each(batch.column(1))):
+                data = own + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     source.append(i)

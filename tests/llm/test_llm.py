@@ -410,6 +410,63 @@ def test_words_are_the_same_whatever_the_cache_holds(monkeypatch):
     assert [narrow(t) for t in texts] == wide
 
 
+def test_blocks_of_texts_give_the_tokenizers_ids(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    odd = ["Don't STOP, l'été... <|endoftext|> a b\x1cc 12ab_c İx ΑΣ ÀÉ!!%% é x", None, "", " \n\t", "a\u00a0b\u2003c\x85d e\x01f \x01", "J\u030c j\u030c Ψ\u0301", "x" * 90 + " " + "ab!" * 60, "end", "of", "\u00a0", "\u00a0 \u2028"]
+    odd += [f"word{i % 37}, Word{i % 7}! x{i}y zz{chr(97 + i % 26)}q{chr(97 + i % 25)}$$ é{i}!" for i in range(300)] + ["the cat, sat. " * 400, "y" * 3000]
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    for places, block in ((20, 1 << 18), (2, 64), (6, 500)):  # few places: words drive each other out
+        monkeypatch.setattr(packing, "PLACE_BITS", places)
+        monkeypatch.setattr(packing, "BLOCK", block)
+        ids = packing.id_bytes.__wrapped__(None)
+        for _ in range(2):
+            assert list(ids.each(pa.array(odd))) == want
+            assert list(ids.each(pa.array(["before", *odd]).slice(1))) == want
+        ids.forget()
+        assert list(ids.each(pa.array(odd[:3]))) == want[:3]
+        assert list(ids.each(pa.array([], pa.string()))) == []
+
+
+def test_many_rare_words_are_not_encoded_again(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    class Spy:
+        letters = 0
+
+        @classmethod
+        def from_file(cls, path):
+            spy = cls()
+            spy.own = kept.from_file(path)
+            return spy
+
+        def encode_batch_fast(self, texts, **more):
+            Spy.letters += sum(map(len, texts))
+            return self.own.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    kept = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    ids, r, took = packing.id_bytes.__wrapped__(None), np.random.default_rng(8), []
+    letters = r.integers(97, 123, (450_000, 8), np.uint8)
+    letters[:, 7] = 32
+    texts = pa.array([row.tobytes().decode() for row in letters.reshape(450, -1)])
+    each = getattr(ids, "each", lambda texts: map(ids, texts.to_pylist()))
+    for _ in (0, 1):
+        Spy.letters = 0
+        for _ in each(texts):
+            pass
+        took.append(Spy.letters)
+    assert took[1] < took[0] / 2  # what was learnt 450,000 words ago was forgotten before
+
+
 # 7
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
