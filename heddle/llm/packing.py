@@ -71,7 +71,7 @@ class Table:
             self.hashes, self.sizes, self.ids = np.zeros(1 << PLACE_BITS, np.uint64), np.zeros(1 << PLACE_BITS, np.uint8), np.zeros(WIDTH << PLACE_BITS, self.kind)
             self.hashes[0] = ~_U(0)  # no hash of an empty place leads to it
         value, starts, ends, first = word_spans(data, offsets, False)
-        powers, inverse = _powers(max(1 << 20, 1 << max(1, len(data)).bit_length()) + 1)
+        powers, inverse = _powers(max(2 * BLOCK, 1 << max(1, len(data)).bit_length()) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(value * powers[: len(data)], out=total[1:])
         length = ends - starts

@@ -960,3 +960,26 @@ def test_coding_a_block_takes_bounded_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 256 * (1 << 19), peak
+
+
+def test_workers_get_long_texts_by_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from heddle.llm import common
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    texts = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("0123456789"), 5000).alias("text"))  # 30 MB
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        seen = texts.transform(common.mapped, run, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in seen) == 600
+        assert max(r["bytes"] for r in seen) < (4 << 20) + 100_000
+        spark.conf.set(key, str(10 << 20))  # the user's own bound stays
+        seen = texts.transform(common.mapped, run, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in seen) == 600
+        assert 8 << 20 < max(r["bytes"] for r in seen) < (10 << 20) + 100_000
+    finally:
+        spark.conf.unset(key)
