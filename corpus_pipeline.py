@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm.common import settle, table
+from heddle.llm.common import bound_batches, settle, table
 from heddle.llm.decontaminate import keep_clean
 from heddle.llm.ngram_join import one_of_each
 from heddle.llm.packing import pack
@@ -25,6 +25,7 @@ from heddle.llm.secret_scan import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)  # for the training too
     return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 

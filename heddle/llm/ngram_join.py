@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import broadcastable, mapped, settle
+from .common import bound_batches, broadcastable, mapped, settle
 from .components import connected_components
 from .words import mix, shingles, signed, text_blocks, word_hashes
 
@@ -301,6 +301,7 @@ def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 75, extra: i
     Texts without words are in no component and stay.  Of rows with the same id and
     equal sets one stays.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     own, placed = _classes(docs, k=k, percent=percent, extra=extra, heavy=heavy, turns=turns)
     # The rows of each set and id, and which of them come first in their component.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_between_tasks, mapped, settle
+from .common import bound_batches, keep_between_tasks, mapped, settle
 from .words import _powers, mix, text_blocks, word_spans
 
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # separators for str.split, symbols for the tokenizer
@@ -239,6 +239,7 @@ def cut_documents(
     vocabulary: str | None = None,
 ) -> DataFrame:
     """Pieces (doc_id, row, piece, start, length, ids_crc32); row tells repeated ids apart."""
+    bound_batches(documents.sparkSession)
     id_type = documents.schema[doc_id].dataType
     end = np.asarray([end_id], "<u4").tobytes()
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import bound_batches, mapped
 from .labelled import fit_logistic, held_out, labelled_sample, predict_logistic
 
 LEVEL = 3
@@ -130,6 +130,7 @@ def score_quality(documents: DataFrame, model, *, doc_id: str = "doc_id", text:
 
 def keep_good(documents: DataFrame, model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows, with all their columns, whose text scores at least the threshold."""
+    bound_batches(documents.sparkSession)
     at = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keep_between_tasks, mapped
+from .common import bound_batches, keep_between_tasks, mapped
 from .spans import Span, scan_spans
 
 BASE, ADDED = ("assign", "access", "hex"), ("random",)
@@ -156,6 +156,7 @@ def without_secrets(text: str, spans: list[Span]) -> str:
 
 def redact_secrets(documents: DataFrame, *, text: str = "text", size: str | None = "n_chars", ratio: float = 1.9, vocabulary: str | None = None) -> DataFrame:
     """All rows and columns, secrets in the text replaced, and the size column set to match; null texts stay null."""
+    bound_batches(documents.sparkSession)
     at = documents.columns.index(text)
     size_at = documents.columns.index(size) if size in documents.columns else None
 

@@ -971,13 +971,18 @@ def test_workers_get_long_texts_by_batches_of_bounded_bytes(spark):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["rows", "bytes"])
 
-    texts = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("0123456789"), 5000).alias("text"))  # 30 MB
+    texts = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 5000).alias("text"))  # 30 MB
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    few = texts.limit(2)
     try:
-        seen = texts.transform(common.mapped, run, "rows long, bytes long").collect()
-        assert sum(r["rows"] for r in seen) == 600
-        assert max(r["bytes"] for r in seen) < (4 << 20) + 100_000
+        for step in (packing.cut_documents, secret_scan.redact_secrets, lambda d: quality.keep_good(d, 0.5), ngram_join.one_of_each):
+            spark.conf.unset(key)
+            step(few)
+            seen = texts.transform(common.mapped, run, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in seen) == 600
+            assert max(r["bytes"] for r in seen) < (4 << 20) + 100_000
         spark.conf.set(key, str(10 << 20))  # the user's own bound stays
+        packing.cut_documents(few)
         seen = texts.transform(common.mapped, run, "rows long, bytes long").collect()
         assert sum(r["rows"] for r in seen) == 600
         assert 8 << 20 < max(r["bytes"] for r in seen) < (10 << 20) + 100_000
